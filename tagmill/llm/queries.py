@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can say it, their oracles."""
 
-from tagmill.llm import chat, mixing, sharding, url_filter
+from tagmill.llm import bpe, chat, langid, mixing, sharding, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_sharding": sharding.op4_sharding,
     "op5_chat": chat.op5_chat,
+    "op6_langid": langid.op6_langid,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLES = {
