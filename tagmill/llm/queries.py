@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their oracles."""
 
-from tagmill.llm import bpe, chat, langid, mixing, sharding, url_filter
+from tagmill.llm import bpe, chat, dedup, langid, mixing, sharding, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_langid": langid.op6_langid,
     "op7_bpe": bpe.op7_bpe,
+    "op8_dedup": dedup.op8_dedup,
 }
 
 ORACLES = {
