@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say it, their oracles."""
 
-from tagmill.llm import ann, bpe, chat, dedup, langid, mixing, sharding, topk, url_filter
+from tagmill.llm import ann, bpe, chat, dedup, langid, lm, mixing, sharding, topk, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_dedup": dedup.op8_dedup,
     "op9_topk": topk.op9_topk,
+    "op10_lm": lm.op10_lm,
 }
 
 ORACLES = {
