@@ -26,7 +26,7 @@ def glob_regex(glob: str) -> str:
 
 def normal_tag(c: Column) -> Column:
     """Lower case, white space runs as one underscore; null if nothing is left."""
-    return F.nullif(F.lower(F.regexp_replace(F.trim(F.regexp_replace(c, r"[\p{Cntrl}&&[^\s]]", "")), r"\s+", "_")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\p{Cntrl}&&[^\s]]", ""), r"^\s+|\s+$", ""), r"\s+", "_")), F.lit(""))
 
 
 def tag_list(c: Column) -> Column:
@@ -35,7 +35,7 @@ def tag_list(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\R"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def id_list(c: Column) -> Column:

@@ -26,6 +26,8 @@ class Catalog:
         return Catalog(lambda fields: posts, {k: (lambda v=v: v) for k, v in (sidecars or {}).items()}, tags)
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.sidecars:
+            raise ValueError(f"the catalog has no table {name}")
         return self.sidecars[name]()
 
     def missing(self, required: set[str]) -> set[str]:

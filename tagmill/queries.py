@@ -11,7 +11,11 @@ from tagmill.functions import scalars as S
 from tagmill.operators import merge
 from tagmill.operators import tags as T
 from tagmill.plans.compile import search
+from tagmill.plans.explain import explain
+from tagmill.sources import export, snapshot
 from tagmill.sources.star import ALIASES, IMPLICATIONS, POSTS_SQL, Star
+from tagmill.streaming import events as streams
+from tagmill.streaming import jobs
 
 NOW = datetime(2001, 8, 1)
 QUERIES: dict = {}
@@ -321,3 +325,153 @@ def _scalars(spark, d):
         S.epoch_ms(F.col("created_at")).alias("ms"),
         S.packed_flags(*(F.col(c) for c in S.FLAG_BITS)).alias("flags"),
     )
+
+
+# ingest
+_PAYLOAD_SQL = """SELECT o_orderkey AS post_id, CASE o_orderstatus WHEN 'F' THEN 's' WHEN 'O' THEN 'q' ELSE 'x' END AS rating,
+CAST(floor(o_totalprice / 1000) AS INTEGER) AS score, o_orderkey % 9 <> 0 AS has_file FROM orders"""
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as JSON payloads, some without a file, some with an unknown rating, some that are no JSON."""
+    o = Star(spark, d).table("orders")
+    file = F.when(F.col("o_orderkey") % 9 != 0, F.struct(F.lit("png").alias("ext"), F.lit(4).alias("width"), F.lit(3).alias("height")))
+    rating = F.when(F.col("o_orderstatus") == "F", "s").when(F.col("o_orderstatus") == "O", "questionable").otherwise("x")
+    total = F.struct(F.floor(F.col("o_totalprice") / 1000).cast("int").alias("total"))
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("id"), rating.alias("rating"), file.alias("file"), total.alias("score"), (-F.col("o_orderkey") % 3).alias("fav_count")))
+    wrapped = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('{"post":'), body, F.lit("}"))).otherwise(body)
+    return o.select(F.when(F.col("o_orderkey") % 50 == 0, "not json").otherwise(wrapped).alias("value"))
+
+
+@keyed("ingest_payloads", f"SELECT post_id, rating, score, CAST(0 AS BIGINT) AS favcount FROM ({_PAYLOAD_SQL}) WHERE post_id % 50 <> 0 AND has_file AND rating <> 'x'")
+def _ingested(spark, d):
+    return snapshot.accepted(snapshot.from_payloads(_payloads(spark, d))).select("post_id", "rating", "score", F.col("favcount").cast("long").alias("favcount"))
+
+
+@keyed("ingest_rejects", f"""SELECT CASE WHEN post_id % 50 = 0 THEN 'post id is no number' WHEN NOT has_file THEN 'file is missing' ELSE 'rating is unknown' END AS reason, count(*) AS n
+FROM ({_PAYLOAD_SQL}) WHERE post_id % 50 = 0 OR NOT has_file OR rating = 'x' GROUP BY 1""")
+def _rejected(spark, d):
+    return snapshot.rejections(snapshot.from_payloads(_payloads(spark, d))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@keyed("latest_shared_date", """SELECT CAST(max(day) AS VARCHAR) AS date FROM (SELECT CAST(ts AS DATE) AS day FROM events
+WHERE event_type IN ('click', 'view', 'error') GROUP BY 1 HAVING count(DISTINCT event_type) = 3)""")
+def _shared(spark, d):
+    files = Star(spark, d).table("events").select(F.col("event_type").alias("kind"), F.to_date("ts").cast("string").alias("date"))
+    return snapshot.latest_shared(files, ("click", "view", "error"))
+
+
+@keyed("unknown_tags", sql("SELECT tag AS name, count(*) AS posts FROM (SELECT DISTINCT post_id, tag FROM ptags) WHERE tag NOT IN (SELECT DISTINCT tag FROM ptags WHERE category IN ('general', 'species')) GROUP BY 1"))
+def _unknown(spark, d):
+    star = Star(spark, d)
+    return snapshot.unknown_tags(star.posts({"post_id", "all_tags"}), star.tags())
+
+
+# jobs and coverage
+AT = datetime(2024, 1, 1, 12)
+_JOBS_SQL = """jobs AS (SELECT event_id AS job_id, user_id % 7 AS run_id,
+CASE event_type WHEN 'click' THEN 'fetch_page' WHEN 'view' THEN 'enrich_notes' WHEN 'purchase' THEN 'download_sample' ELSE 'evaluate_query' END AS kind,
+CASE event_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'leased' WHEN 2 THEN 'done' ELSE CASE WHEN user_id % 7 < 3 THEN 'failed' ELSE 'done' END END AS state,
+CAST(event_id % 5 AS INTEGER) AS priority, TIMESTAMP '2024-01-01 12:00:00' + to_minutes(CAST(event_id % 21 - 10 AS INTEGER)) AS due FROM events)"""
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    e = Star(spark, d).table("events")
+    shift = F.expr("make_interval(0, 0, 0, 0, 0, cast(event_id % 21 - 10 as int))")
+    due = F.lit(AT) + shift
+    kind = F.when(F.col("event_type") == "click", "fetch_page").when(F.col("event_type") == "view", "enrich_notes").when(F.col("event_type") == "purchase", "download_sample").otherwise("evaluate_query")
+    state = F.when(F.expr("event_id % 4 = 0"), "ready").when(F.expr("event_id % 4 = 1"), "leased").when(F.expr("event_id % 4 = 3 and user_id % 7 < 3"), "failed").otherwise("done")
+    none = F.lit(None)
+    return e.select(
+        F.col("event_id").alias("job_id"), (F.col("user_id") % 7).alias("run_id"), kind.alias("kind"), F.to_json(F.struct(F.col("event_id").alias("post_id"))).alias("payload"), state.alias("state"),
+        (F.col("event_id") % 5).cast("int").alias("priority"), due.alias("available_at"), F.lit(1).alias("attempts"), F.lit(3).alias("max_attempts"),
+        none.cast("string").alias("locked_by"), due.alias("lease_until"), none.cast("string").alias("last_error"), F.lit(AT).alias("updated_at"),
+    )
+
+
+_CLAIMABLE = "state IN ('ready', 'leased') AND due <= TIMESTAMP '2024-01-01 12:00:00'"
+
+
+@keyed("queue_claim", f"WITH {_JOBS_SQL} SELECT job_id, priority FROM jobs WHERE {_CLAIMABLE} ORDER BY priority DESC, due, job_id LIMIT 25")
+def _claim(spark, d):
+    return jobs.claim(_jobs(spark, d), AT, "w1", n=25).where("locked_by = 'w1'").select("job_id", "priority")
+
+
+@keyed("queue_claim_kinds", f"WITH {_JOBS_SQL} SELECT job_id, priority FROM jobs WHERE {_CLAIMABLE} AND kind = 'fetch_page' ORDER BY priority DESC, due, job_id LIMIT 8")
+def _claim_kinds(spark, d):
+    return jobs.next_jobs(_jobs(spark, d), AT, 8, ["fetch_page"]).select("job_id", "priority")
+
+
+@keyed("queue_metrics", f"""WITH {_JOBS_SQL} SELECT run_id, count(*) AS jobs, count(*) FILTER (state IN ('ready', 'leased')) AS pending, count(*) FILTER (state = 'done') AS done,
+count(*) FILTER (state = 'failed') AS failed, CASE WHEN count(*) FILTER (state = 'failed') > 0 THEN 'paused' WHEN count(*) FILTER (state IN ('ready', 'leased')) > 0 THEN 'pending' ELSE 'success' END AS state FROM jobs GROUP BY 1""")
+def _metrics(spark, d):
+    return jobs.metrics(_jobs(spark, d)).select("run_id", "jobs", "pending", "done", "failed", "state")
+
+
+@keyed("job_family_counts", f"WITH {_JOBS_SQL} SELECT CASE kind WHEN 'fetch_page' THEN 'fetch' WHEN 'enrich_notes' THEN 'enrich' WHEN 'download_sample' THEN 'download' ELSE 'evaluate' END AS family, count(*) AS jobs FROM jobs GROUP BY 1")
+def _families(spark, d):
+    return jobs.family_counts(_jobs(spark, d))
+
+
+@keyed("queue_clear_by_query", sql(f"SELECT job_id FROM (WITH {_JOBS_SQL} SELECT * FROM jobs) WHERE state IN ('ready', 'leased') AND job_id IN (SELECT post_id FROM posts WHERE score > 200 AND NOT is_deleted)"))
+def _clear(spark, d):
+    hits = search("score:>200", Star(spark, d).catalog(), now=NOW, ordered=False)
+    return jobs.cancel_matching(_jobs(spark, d), hits, AT).where("state = 'cancelled'").select("job_id")
+
+
+@keyed("rolling_rate", """SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 600000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM events""")
+def _rate(spark, d):
+    rows = Star(spark, d).table("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("started_at"))
+    return jobs.rolling_rate(rows, 600, ["event_type"]).select("event_id", "in_window")
+
+
+@keyed("coverage_missing", "SELECT event_id AS key FROM events WHERE event_type = 'view' AND event_id % 3 <> 0")
+def _uncovered(spark, d):
+    e = Star(spark, d).table("events")
+    views = e.where("event_type = 'view'").select(F.col("event_id").alias("key"))
+    none = spark.createDataFrame([], "scope string, key long, dependency string, state string")
+    return jobs.uncovered(views, jobs.cover(none, e.where("event_id % 3 = 0").select(F.col("event_id").alias("key")), "notes", "ready"), "notes")
+
+
+@keyed("job_fan_out", "SELECT k AS kind, '{\"post_id\":' || o_orderkey || '}' AS payload FROM orders, (VALUES ('enrich_notes'), ('enrich_note_versions')) t(k) WHERE o_orderkey < 500 AND o_orderkey % 2 = 1")
+def _fan(spark, d):
+    posts = Star(spark, d).own().where("post_id < 500").select("post_id")
+    none = spark.createDataFrame([], "scope string, key long, dependency string, state string")
+    coverage = jobs.cover(none, posts.where("post_id % 2 = 0").select(F.col("post_id").alias("key")), "notes", "pending")
+    return jobs.fan_out(posts, coverage, {"notes", "users"}).select("kind", "payload")
+
+
+# reports and sinks
+@keyed("export_json", sql("""SELECT lpad(CAST(post_id AS VARCHAR), 12, '0') || '/post.json' AS path,
+'{"post_id":' || post_id || ',"rating":"' || rating || '","score":' || score || ',"width":' || coalesce(CAST(width AS VARCHAR), 'null') || '}' AS json FROM posts WHERE score > 300 AND NOT is_deleted"""))
+def _export(spark, d):
+    return export.documents(search("score:>300", Star(spark, d).catalog(), now=NOW, columns=("post_id", "rating", "score", "width"), ordered=False))
+
+
+@keyed("stale_files", "SELECT o_orderkey AS post_id FROM orders WHERE o_orderkey % 6 = 0")
+def _stale(spark, d):
+    posts = Star(spark, d).own().select("post_id", "md5", F.when(F.col("post_id") % 6 == 0, F.md5(F.lit("x"))).otherwise(F.upper("md5")).alias("checksum"))
+    return export.stale_files(posts).select("post_id")
+
+
+_EXPLAINED = ["cat -dog ~a ~b", "( ~x ~( y z ) ) score:>3 order:score", "rating:s type:png status:any"]
+
+
+@keyed("explain_counts", "SELECT * FROM (VALUES ('cat -dog ~a ~b', 4, 4, 0, 0), ('( ~x ~( y z ) ) score:>3 order:score', 5, 3, 2, 2), ('rating:s type:png status:any', 3, 0, 3, 0)) t(query, terms, tags, metatags, groups)")
+def _explained(spark, d):
+    rows = [explain(x, now=NOW) for x in _EXPLAINED]
+    return spark.createDataFrame([(r["query"], r["parse"]["terms"], r["parse"]["tags"], r["parse"]["metatags"], r["groups"]) for r in rows], "query string, terms int, tags int, metatags int, groups int")
+
+
+# streams over events
+@keyed("stream_windowed", """SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2""")
+def _windowed(spark, d):
+    rows = streams.windowed(Star(spark, d).table("events"))
+    return rows.withColumn("start", F.unix_seconds("start"))
+
+
+@keyed("stream_sessions", """SELECT user_id, epoch_us(min(ts)) // 1000000 AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
+SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, k""")
+def _sessions(spark, d):
+    rows = streams.sessions(Star(spark, d).table("events"))
+    return rows.withColumn("start", F.unix_seconds("start"))
