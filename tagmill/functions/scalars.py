@@ -117,3 +117,17 @@ def md5_path(md5: Column, ext: Column) -> Column:
 def human_bytes(c: Column) -> Column:
     step = lambda n: F.format_string("%.1f", c / 1024**n)
     return F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B"))).when(c < 1024**2, F.concat(step(1), F.lit(" KB"))).when(c < 1024**3, F.concat(step(2), F.lit(" MB"))).otherwise(F.concat(step(3), F.lit(" GB")))
+
+
+def human_count(c: Column) -> Column:
+    """950, 1.2k, 3.4M."""
+    step = lambda n, unit: F.concat(F.format_string("%.1f", c / n), F.lit(unit))
+    return F.when(c < 1000, c.cast("string")).when(c < 1_000_000, step(1e3, "k")).otherwise(step(1e6, "M"))
+
+
+def human_duration(seconds: Column) -> Column:
+    """h:mm:ss, or m:ss below an hour."""
+    s = F.floor(seconds).cast("long")
+    h, m, r = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), two(r)))

@@ -22,7 +22,13 @@ from tagmill.plans.catalog import Catalog
 
 #: Up to so many names a tag's closure is a literal; more are joined.
 LITERAL_NAMES = 64
-SIDECARS = {"user", "vote", "member"}
+#: columns of common results, for search(columns=...)
+PROFILES = {
+    "ids": ("post_id",),
+    "summary": ("post_id", "rating", "score", "created_at"),
+    "card": ("post_id", "rating", "score", "favcount", "file_ext", "md5", "width", "height"),
+    "result": ("post_id", "rating", "score", "favcount", "comment_count", "file_ext", "md5", "width", "height", "all_tags", "created_at", "is_deleted"),
+}
 
 
 def tag_field(name: str) -> str:

@@ -26,6 +26,8 @@ def test_scalars(spark):
     assert [one(spark, S.truthy, x) for x in ("t", "YES", "1", "f", None)] == [True, True, True, False, False]
     assert one(spark, S.url_extension, "https://x/y/a.PNG?b=c.d") == "png" and one(spark, S.alias_status, "weird") == "active"
     assert one(spark, lambda x: S.flag(x, "rating_locked"), 8, "int") is True and one(spark, S.human_bytes, 1536, "long") == "1.5 KB"
+    assert [one(spark, S.human_count, x, "long") for x in (950, 1200, 3_400_000)] == ["950", "1.2k", "3.4M"]
+    assert [one(spark, S.human_duration, x, "long") for x in (65, 3725)] == ["1:05", "1:02:05"]
     assert S.glob_regex("a.*?") == r"(?s)^a\..*.$"
 
 
