@@ -16,18 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder; one of our own only where none is named (tests on one machine)."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named, own = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if not named and own.isDefined():
+        return own.get()
     if not named:
         import tempfile
 
         named = "file://" + tempfile.gettempdir() + "/tagmill-checkpoints"
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if own.isEmpty():
         sc.setCheckpointDir(named)
     return named
 
 
 def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df under the shared folder and read it again: short lineage that outlives executors."""
+    """Write df under the shared folder and read it again: short lineage that outlives executors.
+
+    The files stay until clear(): a lazy result may still read them.
+    """
     import uuid
 
     path = f"{checkpoint_dir(spark)}/tagmill/{name}-{uuid.uuid4().hex}"
@@ -38,3 +43,9 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 def lowered(column):
     """A-Z lower-cased; every other character stays."""
     return F.translate(column, UPPER, LOWER)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what saved() wrote; no result that reads it may be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tagmill")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -32,7 +32,7 @@ SAMPLE = 1500
 GRAMS = 20_000
 RATIO = 0.5
 SLOTS = 1 << 19
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 128
 #: In the pipeline: documents whose best language holds a smaller share of their n-grams go.
 LEAST_SCORE = 0.3
 

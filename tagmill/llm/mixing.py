@@ -210,6 +210,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as many times as the mix takes it."""
-    mixed, _, _ = mix(docs, "doc_id", n_words(F.col("text")), F.array("source"), repeating())
-    names = [F.col(c) for c in docs.columns]
-    return mixed.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # no column of the input can clash with the mix's own
+    at = dict(zip(names, inner, strict=True))
+    mixed, _, _ = mix(docs.toDF(*inner), at["doc_id"], n_words(F.col(at["text"])), F.array(at["source"]), repeating())
+    taken = mixed.where("copies > 0").select(*inner, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return taken.drop("_copy").toDF(*names)
