@@ -5,11 +5,11 @@ Words flow from patterns to the sources' quotas; pass k over a pattern costs (k
 a word, so repeats are spread before anything is repeated more often, and no pattern is
 passed more than max_passes times. A pattern that gets t words of its s is taken
 t // s times as a whole; for the rest of t % s words documents are selected in the
-order of a seeded hash, each that still fits.
+order of a seeded hash, the last few of them so that their words add up.
 
 The selection needs no global order: histograms over hash digits find the digit where
 the words run out, digit by digit, until no more than LEAF distinct documents of a
-pattern are left; those are fitted one by one. Patterns (at most MAX_PATTERNS, checked),
+pattern are left; those are fitted on the driver. Patterns (at most MAX_PATTERNS, checked),
 histograms and leaves are what reaches the driver.
 
 Null membership is a source of its own. Null and empty texts have size 0 and are taken
@@ -31,7 +31,7 @@ from tagmill.llm.common import WORD, table
 MAX_PASSES = 3
 SEED = 20240607
 MAX_PATTERNS = 20_000
-LEAF = 2000
+LEAF, POOL = 2000, 64
 DIGIT, DIGITS = 10, 6
 
 
@@ -75,6 +75,7 @@ def min_cost_flow(patterns: dict, quotas: dict, max_passes: int = MAX_PASSES) ->
             cost.append(v)
 
     start, end = node("start"), node("end")
+    graph += [[], []]
     for s, words in quotas.items():
         arc(node(("s", s)), end, words, 0)
     member = {}
@@ -113,12 +114,37 @@ def min_cost_flow(patterns: dict, quotas: dict, max_passes: int = MAX_PASSES) ->
 
 
 def _fit(rows: list, left: int) -> list:
-    """Of (hash, id, size) in seeded order, the ids that still fit."""
-    out = []
-    for _, doc, size in sorted(rows, key=lambda r: (r[0], str(r[1]))):
-        if size <= left:
-            out.append(doc)
-            left -= size
+    """Of (hash, id, size), ids whose sizes add up to as near left as their seeded order allows.
+
+    In that order documents are taken until one does not fit; the last of those taken and
+    the next ones after make a pool of POOL documents, of which the subset is chosen that
+    comes nearest (reachable sums as the bits of one number), with early ones preferred.
+    """
+    rows = sorted(rows, key=lambda r: (r[0], str(r[1])))
+    at = 0
+    while at < len(rows) and rows[at][2] <= left:
+        left -= rows[at][2]
+        at += 1
+    first = max(0, at - POOL // 4)
+    left += sum(r[2] for r in rows[first:at])
+    pool = rows[first : first + POOL]
+    reach = [1]
+    for _, _, size in pool:
+        reach.append(reach[-1] | reach[-1] << size)
+    below = (reach[-1] & (1 << left + 1) - 1).bit_length() - 1
+    above = reach[-1] >> left + 1
+    best = below
+    if above and (over := (above & -above).bit_length()) < left - below:
+        best = left + over
+    out = [r[1] for r in rows[:first]]
+    for k in range(len(pool), 0, -1):
+        size = pool[k - 1][2]
+        if size == 0:
+            if first + k - 1 < at:
+                out.append(pool[k - 1][1])
+        elif not reach[k - 1] >> best & 1:
+            out.append(pool[k - 1][1])
+            best -= size
     return out
 
 
