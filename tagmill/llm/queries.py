@@ -19,5 +19,6 @@ ORACLES = {
     "op3_url_filter": url_filter.op3_sql,
     "op4_sharding": sharding.op4_sql,
     "op5_chat": chat.op5_sql,
+    "op8_dedup": dedup.op8_sql,
     "op9_topk": topk.op9_sql,
 }
