@@ -34,8 +34,10 @@ FOLDS, HELD = 5, 1
 MAX_DISHES = 1 << 20
 #: Bytes of text of a chunk; words of a bucket; counted sequences a task holds before it sends them.
 CHUNK, BUCKET, PENDING = 8 << 20, 1 << 21, 3 << 20
-PIECE = 1 << 20
+PIECE = 1 << 19
 _END, _BLANK = 10, 32
+#: What a row of the seating holds: masses of dishes, weights of contexts, tables of the lowest level.
+DISH, WEIGHT, TABLES = range(3)
 
 
 def letters(text: np.ndarray, offsets: np.ndarray, found=None) -> tuple[np.ndarray, np.ndarray]:
@@ -120,17 +122,17 @@ def fit(train: DataFrame) -> dict:
         found = py.levels(frame["key"].to_numpy(np.int64)[order], frame["n"].to_numpy(np.int64)[order], least, 2)
         table1 = shared.value
         best, low = py.seat(found, 2, lambda k: table1[(k >> 8) & 255, k & 255], int(frame["part"].iloc[0]))
-        out = [pd.DataFrame({"kind": 2, "depth": 2, "key": low["keys"], "value": low["tables"].astype(float)})]
+        out = [(TABLES, 2, low["keys"], low["tables"])]
         for depth, (a, b) in best.items():
             dishes, _, rest = found[depth]
             first = np.flatnonzero(np.diff(rest, prepend=-1))
-            out.append(pd.DataFrame({"kind": 0, "depth": depth, "key": dishes, "value": a}))
-            out.append(pd.DataFrame({"kind": 1, "depth": depth, "key": dishes[first] >> 8, "value": b}))
-        return pd.concat(out)
+            out += [(DISH, depth, dishes, a), (WEIGHT, depth, dishes[first] >> 8, b)]
+        return pd.DataFrame([(kind, depth, k.astype(np.int64).tobytes(), v.astype(np.float32).tobytes()) for kind, depth, k, v in out], columns=["kind", "depth", "keys", "vals"])
 
     grouped = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
-    rows = saved(spark, grouped.groupBy("part").applyInPandas(seated, "kind int, depth int, key long, value double"), "seating").toPandas().sort_values("key")
-    return assemble(rows)
+    rows = saved(spark, grouped.groupBy("part").applyInPandas(seated, "kind int, depth int, keys binary, vals binary"), "seating")
+    # 12 bytes a dish or context, packed: at most a few times MAX_DISHES
+    return assemble([(r.kind, r.depth, bytes(r.keys), bytes(r.vals)) for r in rows.toLocalIterator()])
 
 
 def upper(keys: np.ndarray, tables: np.ndarray) -> np.ndarray:
@@ -156,24 +158,30 @@ def upper(keys: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def assemble(rows) -> dict:
+def assemble(rows: list[tuple]) -> dict:
     """Full probabilities of all dishes and parents' weights, in hash tables keyed with the depth."""
-    low = rows[rows["kind"] == 2]
-    model = {"empty": False, "one": upper(low["key"].to_numpy(np.int64), low["value"].to_numpy().astype(np.int64))}
+
+    def gathered(kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [r for r in rows if r[:2] == (kind, depth)]
+        keys = np.frombuffer(b"".join(r[2] for r in own), np.int64)
+        values = np.frombuffer(b"".join(r[3] for r in own), np.float32)
+        order = np.argsort(keys)
+        return keys[order], values[order].astype(float)
+
+    keys, tables = gathered(TABLES, 2)
+    model = {"empty": False, "one": upper(keys, tables.astype(np.int64))}
     dishes, weights = [], []
     before = None
     for depth in range(2, py.DEPTH + 1):
-        d = rows[(rows["kind"] == 0) & (rows["depth"] == depth)]
-        w = rows[(rows["kind"] == 1) & (rows["depth"] == depth)]
-        keys, a = d["key"].to_numpy(np.int64), d["value"].to_numpy()
-        contexts, b = w["key"].to_numpy(np.int64), w["value"].to_numpy()
+        keys, a = gathered(DISH, depth)
+        contexts, b = gathered(WEIGHT, depth)
         up = model["one"][(keys >> 8) & 255, keys & 255] if depth == 2 else py.look(*before, keys & py.mask(depth - 1), 0.0)
         full = a + py.look(contexts, b, keys >> 8, 1.0) * up
         before = (keys, full)
-        dishes.append((keys | depth << 56, full))
-        weights.append((contexts | depth << 56, b))
-    model["dish"] = py.Table(np.concatenate([k for k, _ in dishes]), np.concatenate([v for _, v in dishes]))
-    model["weight"] = py.Table(np.concatenate([k for k, _ in weights]), np.concatenate([v for _, v in weights]))
+        dishes.append((keys | depth << 56, full.astype(np.float32)))
+        weights.append((contexts | depth << 56, b.astype(np.float32)))
+    model["dish"] = py.hash_table(np.concatenate([k for k, _ in dishes]), np.concatenate([v for _, v in dishes]))
+    model["weight"] = py.hash_table(np.concatenate([k for k, _ in weights]), np.concatenate([v for _, v in weights]))
     return model
 
 
@@ -185,11 +193,11 @@ def log_chances(model: dict, keys: np.ndarray) -> np.ndarray:
     todo, scale = np.arange(len(keys)), np.ones(len(keys))
     for depth in range(py.DEPTH, 1, -1):
         own = keys[todo] & py.mask(depth)
-        p = model["dish"].get(own | depth << 56)
+        p = py.get(model["dish"], own | depth << 56)
         hit = ~np.isnan(p)
         out[todo[hit]] = p[hit] * scale[todo[hit]]
         todo, own = todo[~hit], own[~hit]
-        w = model["weight"].get(own >> 8 | depth << 56)
+        w = py.get(model["weight"], own >> 8 | depth << 56)
         scale[todo] *= np.where(np.isnan(w), 1.0, w)
     own = keys[todo]
     out[todo] = model["one"][(own >> 8) & 255, own & 255] * scale[todo]

@@ -166,44 +166,45 @@ def _parent(found, chance, best, depth, top, lowest):
     return chance[depth - 1, "own"][at]
 
 
-class Table:
-    """A read-only hash table from 64-bit keys to floats, looked up by arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros(1 << self.bits, np.float32)
-        keys, values = keys.astype(np.int64), values.astype(np.float32)
-        at, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            spot = at[todo]
-            free = self.keys[spot] == -1
-            _, first = np.unique(spot[free], return_index=True)
-            won = todo[free][first]
-            self.keys[at[won]], self.values[at[won]] = keys[won], values[won]
-            left = np.ones(len(keys), bool)
-            left[won] = False
-            todo = todo[left[todo]]
-            at[todo] = (at[todo] + (self.keys[at[todo]] != -1)) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The values; NaN where a key is missing."""
-        at = self._slot(keys)
-        out = np.full(len(keys), np.nan, np.float32)
-        there = self.keys[at]
-        hit = there == keys
-        out[hit] = self.values[at[hit]]
-        todo = np.flatnonzero(~hit & (there != -1))
-        at = at[todo]
-        while len(todo):
-            at = (at + 1) & ((1 << self.bits) - 1)
-            there = self.keys[at]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.values[at[hit]]
-            go = ~hit & (there != -1)
-            todo, at = todo[go], at[go]
-        return out
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """A read-only hash table from 64-bit keys to floats: bits, slots' keys (-1: free), slots' values.
+
+    Plain arrays, so a broadcast of it needs no class on the executors.
+    """
+    bits = max(4, (len(keys) * 4 // 3).bit_length())
+    slots, held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+    at, todo = _slot(keys, bits), np.arange(len(keys))
+    while len(todo):
+        spot = at[todo]
+        free = np.flatnonzero(slots[spot] == -1)
+        _, first = np.unique(spot[free], return_index=True)
+        won = todo[free[first]]
+        slots[at[won]], held[at[won]] = keys[won], values[won]
+        todo = todo[slots[at[todo]] != keys[todo]]
+        at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
+    return bits, slots, held
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def get(table: tuple[int, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The values; NaN where a key is missing."""
+    bits, slots, held = table
+    at = _slot(keys, bits)
+    out = np.full(len(keys), np.nan, np.float32)
+    there = slots[at]
+    hit = there == keys
+    out[hit] = held[at[hit]]
+    todo = np.flatnonzero(~hit & (there != -1))
+    at = at[todo]
+    while len(todo):
+        at = (at + 1) & ((1 << bits) - 1)
+        there = slots[at]
+        hit = there == keys[todo]
+        out[todo[hit]] = held[at[hit]]
+        go = ~hit & (there != -1)
+        todo, at = todo[go], at[go]
+    return out
