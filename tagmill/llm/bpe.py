@@ -30,7 +30,7 @@ from tagmill.llm.common import table
 from tagmill.llm.kernel import buffers
 
 #: Characters that array code works on at once; a longer document is worked on alone.
-CHARS = 1 << 20
+CHARS = 1 << 19
 #: Slices kept in the merge cache of a task before a batch; slices up to LONGEST bytes merge side by side.
 CACHE, LONGEST = 200_000, 64
 BLOCK = 64
@@ -361,29 +361,45 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
-def encode(df: DataFrame, ranks: dict, column: str = "text", offsets: bool = False) -> DataFrame:
-    """df without the text, with ids array<int> and, if asked for, each id's byte offset."""
+def vocabulary(ranks: dict) -> tuple[list[bytes], np.ndarray]:
+    """Token by id, and its length."""
+    token = [b""] * (max(ranks.values()) + 1)
+    for x, k in ranks.items():
+        token[k] = x
+    return token, np.fromiter(map(len, token), np.int64, len(token))
+
+
+def decoded_lists(ids: np.ndarray, n: np.ndarray, token: list[bytes], size: np.ndarray) -> pa.Array:
+    """The bytes that the ids of each row (n of them) stand for."""
+    data = b"".join(map(token.__getitem__, ids.tolist()))
+    ends = np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def encode(df: DataFrame, ranks: dict, column: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """df without the text, with ids array<int> and, if asked for, each id's byte offset
+    and the bytes the ids decode to (in the same pass, so a task needs one worker)."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, code_classes()))
-    names = [c for c in df.columns if c not in (column, "ids", "offsets")]
-    schema = df.select(*names).schema.add("ids", T.ArrayType(T.IntegerType()))
-    schema = schema.add("offsets", T.ArrayType(T.IntegerType())) if offsets else schema
+    names = [c for c in df.columns if c not in (column, "ids", "offsets", "decoded")]
+    ints = T.ArrayType(T.IntegerType())
+    more = [("ids", ints)] + [("offsets", ints)] * offsets + [("decoded", T.BinaryType())] * decoded
+    schema = T.StructType([*df.select(*names).schema, *(T.StructField(*x) for x in more)])
 
     def run(batches):
         ranks, classes = shared.value
         own = encoder(ranks, classes)
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, k in ranks.items():
-            size[k] = len(token)
+        token, size = vocabulary(ranks)
         for batch in batches:
             for part, texts in _batches(batch, column):
                 ids, n = own(texts)
-                more = [_lists(ids, n)]
+                out = [_lists(ids, n)]
                 if offsets:
                     ends = np.cumsum(size[ids])
-                    begin = ends - size[ids]
                     base = np.concatenate(([0], ends))[np.cumsum(n) - n]
-                    more.append(_lists(begin - np.repeat(base, n), n))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *more], schema.names)
+                    out.append(_lists(ends - size[ids] - np.repeat(base, n), n))
+                if decoded:
+                    out.append(decoded_lists(ids, n, token, size))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *out], schema.names)
 
     return df.select(*names, column).mapInArrow(run, schema)
 
@@ -394,21 +410,14 @@ def decode(df: DataFrame, ranks: dict, column: str = "ids") -> DataFrame:
     schema = df.drop("decoded").schema.add("decoded", "binary")
 
     def run(batches):
-        ranks = shared.value
-        token = [b""] * (max(ranks.values()) + 1)
-        for x, k in ranks.items():
-            token[k] = x
-        size = np.fromiter(map(len, token), np.int64, len(token))
+        token, size = vocabulary(shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 lists = part.column(column)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                n = np.asarray(pa.compute.list_value_length(lists).fill_null(0))
-                data = b"".join(map(token.__getitem__, ids.tolist()))
-                ends = np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))]
-                out = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], schema.names)
+                n = np.asarray(pa.compute.list_value_length(lists).fill_null(0)).astype(np.int64)
+                out = decoded_lists(lists.flatten().to_numpy(zero_copy_only=False), n, token, size)
+                yield pa.RecordBatch.from_arrays([*part.columns, out], schema.names)
 
     return df.drop("decoded").mapInArrow(run, schema)
 
@@ -420,7 +429,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks: dict) -> DataFrame:
-    read = decode(encode(docs, ranks), ranks)
+    read = encode(docs, ranks, decoded=True)
     said = F.array_join(F.col("ids").cast("array<string>"), " ")
     return read.select(
         "doc_id",
