@@ -27,15 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.llm import dedup_kernel as kernel
-from tagmill.llm.common import LOWER, UPPER, checkpoint_dir, saved, table
+from tagmill.llm.common import LOWER, UPPER, checkpoint_dir, saved, small_batches, table
 from tagmill.llm.kernel import buffers, pieces
 
 WIDTH, PERCENT = 3, 85
 #: A set of ids up to this many rows may be broadcast (8 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1 << 20
 #: Rows and shingles of one side of a block comparison.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
-_COLUMNS = 4096
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+_COLUMNS = 2048
 
 
 def _longs(rows: np.ndarray) -> pa.Array:
@@ -169,7 +169,6 @@ def _block_links(percent: int):
             na, nb = (np.array([len(s) for s in x], np.float64) for x in (left, right))
             ca, cb = (x["comp"].to_numpy() for x in sides)
             ia, ib = (x["doc_id"].to_numpy() for x in sides)
-            ok = (100 * shared >= percent * (na[:, None] + nb[None, :] - shared)) & (ca[:, None] != cb[None, :])
             parent: dict = {}
 
             def root(x):
@@ -178,11 +177,13 @@ def _block_links(percent: int):
                     x = parent[x]
                 return x
 
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = root(ca[i]), root(cb[j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    found.append((ia[i], ib[j]))
+            for i, row in enumerate(shared):
+                ok = (100 * row >= percent * (na[i] + nb - row)) & (cb != ca[i])
+                for j in np.flatnonzero(ok).tolist():
+                    x, y = root(ca[i]), root(cb[j])
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((ia[i], ib[j]))
         import pandas as pd
 
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
@@ -205,6 +206,7 @@ def rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = saved(spark, signatures(docs, width), "signatures")
     light = marked.select("doc_id", "n_shingles", "f1", "f2")
