@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagmill.llm.common import table
+from tagmill.llm.common import small_batches, table
 from tagmill.llm.kernel import buffers
 
 #: Characters that array code works on at once; a longer document is worked on alone.
@@ -379,6 +379,7 @@ def decoded_lists(ids: np.ndarray, n: np.ndarray, token: list[bytes], size: np.n
 def encode(df: DataFrame, ranks: dict, column: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """df without the text, with ids array<int> and, if asked for, each id's byte offset
     and the bytes the ids decode to (in the same pass, so a task needs one worker)."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((ranks, code_classes()))
     names = [c for c in df.columns if c not in (column, "ids", "offsets", "decoded")]
     ints = T.ArrayType(T.IntegerType())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import table
+from tagmill.llm.common import small_batches, table
 from tagmill.llm.kernel import buffers, mix64, pieces
 
 SAMPLE = 1500
@@ -131,6 +131,7 @@ def fold(key: Column, parts: int) -> Column:
 def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = GRAMS, ratio: float = RATIO) -> dict:
     """A filter from labelled rows (doc_id, text, lang)."""
     spark = labelled.sparkSession
+    small_batches(spark)
     known = labelled.where(F.col("lang").isNotNull())
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     drawn = known.select("doc_id", "lang").withColumn("_k", place).where(F.col("_k") <= sample).select("doc_id", "lang").distinct()
@@ -150,6 +151,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = GRAMS, ratio: flo
 
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
     """df's columns with lang_pred and score."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = df.drop("lang_pred", "score").schema
     flagged = df.drop("lang_pred", "score").withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.llm import pitman_yor as py
-from tagmill.llm.common import saved, table
+from tagmill.llm.common import saved, small_batches, table
 from tagmill.llm.kernel import _LOWER, buffers, pieces, word_hashes, words
 
 FOLDS, HELD = 5, 1
@@ -96,6 +96,7 @@ def _count(batches):
 def fit(train: DataFrame) -> dict:
     """The model, from rows (text)."""
     spark = train.sparkSession
+    small_batches(spark)
     counts = train.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = saved(spark, counts, "sequences")
     context = counts.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
@@ -323,6 +324,7 @@ def totals(chunks: DataFrame) -> DataFrame:
 def score(docs: DataFrame, held: str = "held") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held)."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text", F.col(held).alias("held"))
     chunks = saved(spark, chunked(docs, fit(docs.where("not held"))), "chunks")
     found = totals(chunks)
