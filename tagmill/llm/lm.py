@@ -2,14 +2,13 @@
 
 A text is the sequence of its words (A-Z lower-cased) and one end; its letters are the
 bytes of the words, a blank between words, and the end (a line feed, which no word
-holds). Restaurants are contexts of up to five bytes. Counts of all six-byte sequences
-of all training texts are gathered; contexts that at least `least` training bytes follow
-get a restaurant of their own, others share that of their longest ending that has one.
-`least` is the smallest power of two with at most MAX_DISHES / 2 dishes at the deepest
-level: the model's size is bounded, what it counts is not. Restaurants whose contexts
-end with the same two bytes are seated in one task, level by level, by Gibbs moves; the
-two levels above, at most 65,536 dishes, on the driver. A text's score is the sum of
-log10 of the averaged predictive probabilities of its bytes.
+holds). Restaurants are contexts of up to five bytes, every one that occurs. Counts of
+all six-byte sequences of all training texts are gathered and seated: contexts that end
+with the same two bytes in one task, level by level, by Gibbs sweeps; the two levels
+above, at most 65,536 dishes, on the driver. The seating stays a table, partitioned by
+those two bytes, and grows with the text. A text's score is the sum of log10 of the
+averaged predictive probabilities of its bytes: a chunk of texts sends its distinct
+sequences to the parts of the seating, which answer with their probabilities.
 
 Base scores need each word's training count. Words are exchanged by chunk: a chunk of
 texts sends its distinct words to buckets by hash, which answer with the totals.
@@ -31,12 +30,13 @@ from tagmill.llm.common import saved, small_batches, table
 from tagmill.llm.kernel import _LOWER, buffers, pieces, word_hashes, words
 
 FOLDS, HELD = 5, 1
-MAX_DISHES = 1 << 20
 #: Bytes of text of a chunk; words of a bucket; counted sequences a task holds before it sends them.
 CHUNK, BUCKET, PENDING = 8 << 20, 1 << 21, 3 << 20
 PIECE = 1 << 19
 _END, _BLANK = 10, 32
-#: What a row of the seating holds: masses of dishes, weights of contexts, tables of the lowest level.
+#: Sequences seated in a task, on average.
+SEATED = 200_000
+#: What a row of the seating holds: masses of dishes, weights of contexts, tables by the low two bytes.
 DISH, WEIGHT, TABLES = range(3)
 
 
@@ -93,51 +93,55 @@ def _count(batches):
         yield from sent()
 
 
-def fit(train: DataFrame) -> dict:
-    """The model, from rows (text)."""
+def part_of(keys, parts: int):
+    """The part of the seating that holds a key: by the last two bytes of its context (arrays and Columns)."""
+    if isinstance(keys, np.ndarray):
+        return ((keys >> 8 & 0xFFFF) * 40503 & 0xFFFF) * parts >> 16
+    mixed = (F.shiftright(keys, 8).bitwiseAND(F.lit(0xFFFF)) * F.lit(40503)).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftright(mixed * F.lit(parts), 16)
+
+
+def fit(train: DataFrame, asked: int = 0) -> dict:
+    """The model, from rows (text); asked: sequences it will be asked for."""
     spark = train.sparkSession
     small_batches(spark)
     counts = train.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = saved(spark, counts, "sequences")
-    context = counts.groupBy(F.shiftright("key", 8).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    sizes = context.groupBy(F.floor(F.log2("n")).cast("int").alias("log")).agg(F.sum("kinds").alias("kinds")).collect()
-    least, total = 1, sum(r.kinds for r in sizes)
-    if not total:
-        return {"empty": True}
-    for r in sorted(sizes, key=lambda r: r.log):
-        if total <= MAX_DISHES // 2:
-            break
-        total -= r.kinds
-        least = 1 << r.log + 1
-    # at most 2^24 sequences of three bytes; two levels on the driver
-    three = counts.groupBy(F.col("key").bitwiseAND(F.lit(py.mask(2))).alias("key")).agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    keys = three["key"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(upper(keys, np.ones(len(keys), np.int64)))
-    parts = max(8, min(4096, counts.count() // 200_000 + 1))
-    suffix = F.col("key").bitwiseAND(F.lit(0xFFFF00))
+    # two levels on the driver: at most 65,536 rows
+    low = lambda depth: F.col("key").bitwiseAND(F.lit(py.mask(depth))).alias("key")
+    two = counts.select(low(2)).distinct().groupBy(low(1)).count().toPandas().sort_values("key")
+    shared = spark.sparkContext.broadcast(upper(two["key"].to_numpy(np.int64), two["count"].to_numpy(np.int64)))
+    parts = min(1 << 16, max(8, counts.count() // SEATED + 1, asked // BUCKET))
 
     def seated(frame):
         import pandas as pd
 
         order = np.argsort(frame["key"].to_numpy())
-        found = py.levels(frame["key"].to_numpy(np.int64)[order], frame["n"].to_numpy(np.int64)[order], least, 2)
-        table1 = shared.value
-        best, low = py.seat(found, 2, lambda k: table1[(k >> 8) & 255, k & 255], int(frame["part"].iloc[0]))
-        out = [(TABLES, 2, low["keys"], low["tables"])]
+        found = py.levels(frame["key"].to_numpy(np.int64)[order], frame["n"].to_numpy(np.int64)[order], 2)
+        table1, part = shared.value, int(frame["part"].iloc[0])
+        best, low = py.seat(found, 2, lambda k: table1[(k >> 8) & 255, k & 255], part)
+        keys, tables = py.summed(low["keys"] & py.mask(1), low["tables"])
+        out = [(part, TABLES, 1, keys.tobytes(), tables.astype(np.int64).tobytes())]
         for depth, (a, b) in best.items():
             dishes, _, rest = found[depth]
             first = np.flatnonzero(np.diff(rest, prepend=-1))
-            out += [(DISH, depth, dishes, a), (WEIGHT, depth, dishes[first] >> 8, b)]
-        return pd.DataFrame([(kind, depth, k.astype(np.int64).tobytes(), v.astype(np.float32).tobytes()) for kind, depth, k, v in out], columns=["kind", "depth", "keys", "vals"])
+            out.append((part, DISH, depth, dishes.tobytes(), a.astype(np.float32).tobytes()))
+            out.append((part, WEIGHT, depth, (dishes[first] >> 8).tobytes(), b.astype(np.float32).tobytes()))
+        return pd.DataFrame(out, columns=["part", "kind", "depth", "keys", "vals"])
 
-    grouped = counts.withColumn("part", F.pmod(F.xxhash64(suffix), F.lit(parts)).cast("int"))
-    rows = saved(spark, grouped.groupBy("part").applyInPandas(seated, "kind int, depth int, keys binary, vals binary"), "seating")
-    # 12 bytes a dish or context, packed: at most a few times MAX_DISHES
-    return assemble([(r.kind, r.depth, bytes(r.keys), bytes(r.vals)) for r in rows.toLocalIterator()])
+    grouped = counts.withColumn("part", part_of(F.col("key"), parts).cast("int"))
+    seating = saved(spark, grouped.groupBy("part").applyInPandas(seated, "part int, kind int, depth int, keys binary, vals binary"), "seating")
+    tables = np.zeros(1 << 16, np.int64)
+    for r in seating.where(F.col("kind") == TABLES).select("keys", "vals").toLocalIterator():
+        tables[np.frombuffer(r["keys"], np.int64)] += np.frombuffer(r["vals"], np.int64)
+    keys = np.flatnonzero(tables)
+    return {"one": upper(keys, tables[keys]), "seating": seating, "parts": parts}
 
 
 def upper(keys: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Depth-1 probabilities [context, byte] from the depth-2 tables of each (two bytes, byte)."""
+    """Depth-1 probabilities [context, byte] from the tables sent to each dish (byte, byte)."""
+    if not len(keys):
+        return np.full((256, 256), 1 / 256)
     k1, n1 = py.summed(keys & py.mask(1), tables)
     k0, _ = py.summed(k1 & py.mask(0), np.ones(len(k1), np.int64))
     chance = np.full(256, 1 / 256)
@@ -159,8 +163,8 @@ def upper(keys: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return out
 
 
-def assemble(rows: list[tuple]) -> dict:
-    """Full probabilities of all dishes and parents' weights, in hash tables keyed with the depth."""
+def assemble(rows: list[tuple], one: np.ndarray) -> dict:
+    """Of rows (kind, depth, keys, vals) of some parts: full probabilities of all dishes and parents' weights, in hash tables keyed with the depth."""
 
     def gathered(kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         own = [r for r in rows if r[:2] == (kind, depth)]
@@ -169,14 +173,13 @@ def assemble(rows: list[tuple]) -> dict:
         order = np.argsort(keys)
         return keys[order], values[order].astype(float)
 
-    keys, tables = gathered(TABLES, 2)
-    model = {"empty": False, "one": upper(keys, tables.astype(np.int64))}
+    model = {"one": one}
     dishes, weights = [], []
     before = None
     for depth in range(2, py.DEPTH + 1):
         keys, a = gathered(DISH, depth)
         contexts, b = gathered(WEIGHT, depth)
-        up = model["one"][(keys >> 8) & 255, keys & 255] if depth == 2 else py.look(*before, keys & py.mask(depth - 1), 0.0)
+        up = one[(keys >> 8) & 255, keys & 255] if depth == 2 else py.look(*before, keys & py.mask(depth - 1), 0.0)
         full = a + py.look(contexts, b, keys >> 8, 1.0) * up
         before = (keys, full)
         dishes.append((keys | depth << 56, full.astype(np.float32)))
@@ -186,10 +189,8 @@ def assemble(rows: list[tuple]) -> dict:
     return model
 
 
-def log_chances(model: dict, keys: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each byte after its context."""
-    if model["empty"]:
-        return np.full(len(keys), -np.log10(256.0))
+def chances(model: dict, keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each byte after its context, from the tables of its part."""
     out = np.empty(len(keys))
     todo, scale = np.arange(len(keys)), np.ones(len(keys))
     for depth in range(py.DEPTH, 1, -1):
@@ -205,6 +206,23 @@ def log_chances(model: dict, keys: np.ndarray) -> np.ndarray:
     return np.log10(out)
 
 
+def log_chances(model: dict, keys: np.ndarray) -> np.ndarray:
+    """chances() of a few keys, on the driver: it fetches their parts."""
+    parts = np.unique(part_of(keys, model["parts"])).tolist()
+    rows = model["seating"].where(F.col("part").isin(parts)).collect()
+    return chances(assemble([(r["kind"], r["depth"], r["keys"], r["vals"]) for r in rows], model["one"]), keys)
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """Sorted keys: their steps by byte planes, compressed."""
+    return pa.compress(np.ascontiguousarray(np.diff(keys, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, 8 * n, "zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
 def _planes(x: np.ndarray) -> bytes:
     """32-bit numbers by byte planes, compressed."""
     return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
@@ -215,29 +233,28 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def chunked(docs: DataFrame, model: dict) -> DataFrame:
-    """A row per chunk: its documents with scores, its distinct words with training counts, its tokens as word numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def chunked(docs: DataFrame) -> DataFrame:
+    """A row per chunk: its documents, their text, its distinct words with training counts, its tokens as word numbers, its distinct sequences."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, docs array<struct<doc_id:{id_type},held:boolean,n:bigint,score:double>>, n bigint, kinds bigint, words binary, train binary, tokens binary"
+    schema = f"chunk long, docs array<struct<doc_id:{id_type},held:boolean,n:bigint,bytes:bigint>>, n bigint, kinds bigint, words binary, train binary, tokens binary, seqs bigint, keys binary, text binary"
 
     def run(batches):
         from pyspark import TaskContext
 
-        model, part, number = shared.value, TaskContext.get().partitionId(), 0
+        part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             text, offsets = buffers(batch.column("text"))
             ids, held = batch.column("doc_id"), batch.column("held")
             for i, j in pieces(offsets, CHUNK):
-                hashes, sizes, scores = [], [], []
+                hashes, sizes, seqs = [], [], []
                 for a, b in pieces(offsets[i : j + 1], PIECE):
                     a, b = a + i, b + i
                     own, at = text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                     found = words(own, at)
                     hashes.append(word_hashes(own, *found[:2]))
                     sizes.append(np.bincount(found[2], minlength=b - a))
-                    keys, n = letters(own, at, found)
-                    scores.append(np.add.reduceat(log_chances(model, keys), np.cumsum(n) - n))
+                    seqs.append(np.unique(letters(own, at, found)[0]))
+                keys = np.unique(np.concatenate(seqs))
                 hashed, size = np.concatenate(hashes), np.concatenate(sizes)
                 out = np.asarray(held.slice(i, j - i).to_numpy(zero_copy_only=False), bool)
                 kinds, token = np.unique(hashed, return_inverse=True)
@@ -245,7 +262,7 @@ def chunked(docs: DataFrame, model: dict) -> DataFrame:
                 # frequent words get small numbers, which pack better
                 rank = np.empty(len(kinds), np.int64)
                 rank[np.argsort(-np.bincount(token, minlength=len(kinds)), kind="stable")] = np.arange(len(kinds))
-                docs = pa.StructArray.from_arrays([ids.slice(i, j - i), pa.array(out), pa.array(size.astype(np.int64)), pa.array(np.concatenate(scores))], ["doc_id", "held", "n", "score"])
+                docs = pa.StructArray.from_arrays([ids.slice(i, j - i), pa.array(out), pa.array(size.astype(np.int64)), pa.array(np.diff(offsets[i : j + 1]).astype(np.int64))], ["doc_id", "held", "n", "bytes"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part << 32 | number], pa.int64()),
@@ -255,8 +272,11 @@ def chunked(docs: DataFrame, model: dict) -> DataFrame:
                         pa.array([kinds.tobytes()], pa.binary()),
                         pa.array([_planes(train)], pa.binary()),
                         pa.array([_pair(rank, token)], pa.binary()),
+                        pa.array([len(keys)], pa.int64()),
+                        pa.array([_pack(keys)], pa.binary()),
+                        pa.array([pa.compress(text[offsets[i] : offsets[j]].tobytes(), "zstd", asbytes=True)], pa.binary()),
                     ],
-                    ["chunk", "docs", "n", "kinds", "words", "train", "tokens"],
+                    ["chunk", "docs", "n", "kinds", "words", "train", "tokens", "seqs", "keys", "text"],
                 )
                 number += 1
 
@@ -321,13 +341,41 @@ def totals(chunks: DataFrame) -> DataFrame:
     return saved(spark, dealt.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, counts binary, tokens long, known long"), "totals")
 
 
+def answered(chunks: DataFrame, model: dict) -> DataFrame:
+    """chunk, part, chances (32-bit, in the order of the chunk's sequences of the part)."""
+    parts, shared = model["parts"], chunks.sparkSession.sparkContext.broadcast(model["one"])
+
+    def deal(frames):
+        import pandas as pd
+
+        for f in frames:
+            for r in f.itertuples():
+                keys = _unpack(r.keys, r.seqs)
+                part = part_of(keys, parts)
+                keys, ends = keys[np.argsort(part, kind="stable")], np.cumsum(np.bincount(part, minlength=parts))
+                cuts = [(p, keys[a:b]) for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+                yield pd.DataFrame([(r.chunk, p, len(k), _pack(k)) for p, k in cuts], columns=["chunk", "part", "seqs", "keys"])
+
+    def answer(asked, rows):
+        import pandas as pd
+
+        own = assemble(list(rows[["kind", "depth", "keys", "vals"]].itertuples(index=False, name=None)), shared.value)
+        found = [chances(own, _unpack(k, n)).astype(np.float32).tobytes() for k, n in zip(asked["keys"], asked["seqs"], strict=True)]
+        return pd.DataFrame({"chunk": asked["chunk"], "part": asked["part"], "chances": found})
+
+    dealt = chunks.select("chunk", "seqs", "keys").mapInPandas(deal, "chunk long, part int, seqs long, keys binary")
+    seating = model["seating"].where(F.col("kind") != TABLES)
+    return dealt.groupBy("part").cogroup(seating.groupBy("part")).applyInPandas(answer, "chunk long, part int, chances binary")
+
+
 def score(docs: DataFrame, held: str = "held") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (doc_id, text, held)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.col(held).alias("held"))
-    chunks = saved(spark, chunked(docs, fit(docs.where("not held"))), "chunks")
-    found = totals(chunks)
+    chunks = saved(spark, chunked(docs), "chunks")
+    model = fit(docs.where("not held"), chunks.agg(F.sum("seqs")).first()[0] or 0)
+    spread, found = model["parts"], totals(chunks)
     ends = docs.where("not held").count()
     sums = found.agg(F.sum("tokens"), F.sum("known")).first()
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
@@ -348,13 +396,24 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
                 row_of = np.repeat(np.arange(len(size)), size)
                 base = np.bincount(row_of, weights=logs[token], minlength=len(size)) + np.log10((ends + 0.5) / width)
                 known = np.bincount(row_of, weights=(count > 0)[token], minlength=len(size)).astype(np.int64) + (ends > 0)
+                keys = _unpack(row["keys"].as_py(), row["seqs"].as_py())
+                keys = keys[np.argsort(part_of(keys, spread), kind="stable")]
+                chance = py.hash_table(keys, np.frombuffer(b"".join(p["chances"] for p in sorted(row["answers"].as_py(), key=lambda p: p["part"])), np.float32))
+                offsets = np.concatenate([[0], np.cumsum(np.asarray(inner.field("bytes")))]).astype(np.int64)
+                text = np.frombuffer(pa.decompress(row["text"].as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+                scores = []
+                for i, j in pieces(offsets, PIECE):
+                    asked, width_of = letters(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    scores.append(np.add.reduceat(py.get(chance, asked).astype(float), np.cumsum(width_of) - width_of))
                 yield pa.RecordBatch.from_arrays(
-                    [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), inner.field("score")],
+                    [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(np.concatenate(scores))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     parts = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
-    return chunks.select("chunk", "docs", "n", "kinds", "tokens").join(parts, "chunk").mapInArrow(finish, schema)
+    answers = answered(chunks, model).groupBy("chunk").agg(F.collect_list(F.struct("part", "chances")).alias("answers"))
+    rows = chunks.select("chunk", "docs", "n", "kinds", "tokens", "seqs", "keys", "text").join(parts, "chunk").join(answers, "chunk")
+    return rows.mapInArrow(finish, schema)
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,37 +77,18 @@ def mask(depth: int) -> int:
     return (1 << 8 * (depth + 1)) - 1
 
 
-def levels(keys: np.ndarray, counts: np.ndarray, least: int, lowest: int) -> dict:
+def levels(keys: np.ndarray, counts: np.ndarray, lowest: int) -> dict:
     """Dishes (keys, direct counts, restaurant numbers) of depths DEPTH to lowest.
 
-    A context is a restaurant if at least that many tokens follow it; the tokens of one
-    that is not sit in the deepest restaurant of its ending (at the lowest depth: always one).
+    Every context is a restaurant; only those of DEPTH have direct customers.
     """
     out = {}
-    every = {}
     k, c = keys, counts
     for depth in range(DEPTH, lowest - 1, -1):
-        k, c = (keys, counts) if depth == DEPTH else summed(k & mask(depth), c)
-        every[depth] = (k, c)
-    direct = (keys, counts)
-    for depth in range(DEPTH, lowest - 1, -1):
-        k, c = every[depth]
-        context = k >> 8
-        first = np.flatnonzero(np.diff(context, prepend=-1))
-        total = np.add.reduceat(c, first) if len(first) else c
-        size = np.diff(np.append(first, len(k)))
-        is_open = np.repeat((total >= least) | (depth == lowest), size)
-        dishes = k[is_open]
-        dk, dc = direct
-        at = np.searchsorted(dishes, dk)
-        at[at == len(dishes)] = 0
-        here = dishes[at] == dk if len(dishes) else np.zeros(len(dk), bool)
-        own = np.zeros(len(dishes), np.int64)
-        own[at[here]] = dc[here]
-        rest = np.cumsum(np.diff(dishes >> 8, prepend=-1) != 0) - 1
-        out[depth] = (dishes, own, rest)
-        if depth > lowest:
-            direct = summed(dk[~here] & mask(depth - 1), dc[~here])
+        if depth < DEPTH:
+            k, _ = summed(k & mask(depth), c)
+            c = np.zeros(len(k), np.int64)
+        out[depth] = (k, c, np.cumsum(np.diff(k >> 8, prepend=-1) != 0) - 1)
     return out
 
 

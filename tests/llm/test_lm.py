@@ -81,3 +81,30 @@ def test_gibbs_keeps_counts_possible():
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string, held boolean")).count() == 0
+
+
+def test_every_context_of_a_large_corpus_keeps_its_dishes(spark):
+    r = np.random.default_rng(3)
+    # more than 2^19 six-byte sequences, nearly all of them once
+    texts = ["".join(map(chr, row)) for row in r.integers(97, 123, (70, 10_000))]
+    model = lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    import pyarrow as pa
+
+    from tagmill.llm.kernel import buffers
+
+    want = len(np.unique(lm.letters(*buffers(pa.array(texts)))[0]))
+    rows = model["seating"].where(f"kind = {lm.DISH} and depth = {py.DEPTH}").selectExpr("sum(length(keys) / 8)").first()
+    assert want > 1 << 19 and rows[0] == want
+
+
+def test_scores_are_the_sums_of_the_letters_chances(spark):
+    import pyarrow as pa
+
+    from tagmill.llm.kernel import buffers
+
+    docs = spark.createDataFrame([(d, t, d % 5 == 1) for d, t in corpus()[:60]], "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    model = lm.fit(docs.where("not held"))
+    keys, n = lm.letters(*buffers(pa.array([t for _, t in corpus()[:60]])))
+    sums = np.add.reduceat(lm.log_chances(model, keys), np.cumsum(n) - n)
+    assert [got[d] for d in range(60)] == pytest.approx(sums.tolist(), rel=1e-4)
