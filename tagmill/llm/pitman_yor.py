@@ -11,49 +11,139 @@ import numpy as np
 
 DEPTH = 5
 DISCOUNT, STRENGTH = 0.75, 0.5
-#: Customers of each dish moved by the sampler before and between samples, and samples averaged.
+#: Sweeps of the sampler over all customers before and between samples, and samples averaged.
 BURN, THIN, SAMPLES = 12, 4, 4
 
 
+#: Customers up to which a dish's number of tables is drawn from a list of all; proposed tables from which it is normal.
+LISTED, MANY = 64, 1024
+
+
+def _stirling() -> np.ndarray:
+    """[c, t]: log of the weight of all seatings of c customers at t tables, a table of n weighing (1 - DISCOUNT)(2 - DISCOUNT)...(n - 1 - DISCOUNT)."""
+    out = np.full((LISTED + 1, LISTED + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, LISTED + 1)
+    for c in range(LISTED):
+        with np.errstate(divide="ignore"):
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.log(np.maximum(0, c - DISCOUNT * t)) + out[c, 1:])
+    return out
+
+
+_WAYS = _stirling()
+
+
+def _listed(customers: np.ndarray, theta: np.ndarray, rng) -> np.ndarray:
+    """Tables of dishes of few customers, drawn in proportion to theta^tables times the ways to fill them."""
+    out = np.ones(len(customers), np.int64)
+    low = 1
+    for width in (4, 16, LISTED):
+        rows = np.flatnonzero((customers > low) & (customers <= width))
+        for some in np.array_split(rows, len(rows) * width // (1 << 21) + 1):
+            log = _WAYS[customers[some], 1 : width + 1] + np.log(theta[some])[:, None] * np.arange(1, width + 1)
+            sums = np.cumsum(np.exp(log - log.max(axis=1, initial=-np.inf)[:, None]), axis=1)
+            out[some] = 1 + (sums <= (rng.random(len(some)) * sums[:, -1])[:, None]).sum(axis=1)
+        low = width
+    return out
+
+
+def _log_size(n: np.ndarray) -> np.ndarray:
+    """log of Gamma(n - DISCOUNT) / Gamma(n), n at least 1."""
+    shift = sum(np.log((n + k) / (n + k - DISCOUNT)) for k in range(8))
+    a, b = n + 8 - DISCOUNT, n + 8
+    half = lambda z: (z - 0.5) * np.log(z) - z + 1 / (12 * z) - 1 / (360 * z**3)
+    return shift + half(a) - half(b)
+
+
+def _tilt(customers: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """y of (1 - y) * y^(DISCOUNT - 1) = customers / theta: with it, that many customers are expected."""
+    goal = np.log(customers / theta)
+    w = np.maximum(goal / (1 - DISCOUNT), np.exp(np.minimum(goal, 0) - (1 - DISCOUNT)))
+    for _ in range(12):  # Newton on -log y, from below a concave function's root
+        w -= (np.log(-np.expm1(-w)) + (1 - DISCOUNT) * w - goal) / (1 / np.expm1(w) + 1 - DISCOUNT)
+    return np.exp(-w)
+
+
+def _drawn(n: np.ndarray, theta: np.ndarray, tables: np.ndarray, last: np.ndarray, rng) -> None:
+    """Redraws, in place, the tables of dishes of many customers, and the customers of one of the tables.
+
+    All tables but one are proposed at once, as a Poisson number of Sibuya sizes tilted by
+    x; the last one takes the rest, and its weight in proportion to its size decides (an
+    independence move). Where MANY would be proposed their number is normal.
+    """
+    y = _tilt(n, theta)
+    mean = theta * (1 - y**DISCOUNT) / DISCOUNT
+    many = theta >= DISCOUNT * MANY
+    x = -np.expm1(np.log(y))
+    spread = mean - n * n / (n + theta * (1 - DISCOUNT) * x * x * y ** (DISCOUNT - 2))
+    normal = np.rint(mean + np.sqrt(np.maximum(spread, 0)) * rng.standard_normal(len(n)))
+    # also for dishes without a state of the move yet, until a proposal of theirs fits
+    free = many | (last == 0)
+    tables[free] = np.clip(normal, 1, n)[free].astype(np.int64)
+    last[many] = 0
+    rows = np.flatnonzero(~many)
+    for some in np.array_split(rows, int(theta[rows].sum() / DISCOUNT) // (1 << 20) + 1):
+        proposed = rng.poisson(theta[some] / DISCOUNT)
+        of = np.repeat(np.arange(len(some)), proposed)
+        p = rng.beta(DISCOUNT, 1 - DISCOUNT, len(of))
+        with np.errstate(divide="ignore"):
+            size = np.maximum(1, np.ceil(np.log1p(-rng.random(len(of))) / np.log1p(-p)))
+        log_x = np.log1p(-y[some])
+        kept = np.log1p(-rng.random(len(of))) < size * log_x[of]
+        rest = n[some] - np.bincount(of, weights=np.where(kept, size, 0), minlength=len(some))
+        weight = lambda r, log_x=log_x: _log_size(np.maximum(r, 1)) + r * log_x
+        ahead = np.where(last[some] > 0, weight(rest) - weight(last[some]), 0.0)
+        go = (rest >= 1) & (np.log1p(-rng.random(len(some))) < ahead)
+        tables[some[go]] = 1 + np.bincount(of[kept], minlength=len(some))[go]
+        last[some[go]] = rest[go]
+
+
+def _start(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, number: int) -> np.ndarray:
+    """Tables of all restaurants to start from: one a dish, or, above LISTED customers, the total that its own gamma's mean gives back.
+
+    From one table a dish the sweeps would gain but a few tables each, and never reach the
+    thousands that large restaurants have.
+    """
+    ones = np.bincount(rest, minlength=number).astype(float)
+    total = np.bincount(rest, weights=customers, minlength=number)
+    big = np.flatnonzero(total > LISTED)
+    own = np.flatnonzero((total > LISTED)[rest])
+    of, n, base = np.searchsorted(big, rest[own]), customers[own].astype(float), np.maximum(parent[own], 1e-12)
+    low, high = np.log(ones[big]), np.log(total[big])
+    for _ in range(12):
+        middle = (low + high) / 2
+        theta = DISCOUNT * (STRENGTH / DISCOUNT + np.exp(middle))[of] * base
+        mean = np.minimum(n, 1 + theta * (1 - _tilt(n, theta) ** DISCOUNT) / DISCOUNT)
+        more = np.bincount(of, weights=mean, minlength=len(big)) > np.exp(middle)
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    ones[big] = np.exp((low + high) / 2)
+    return ones
+
+
 def gibbs(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean number of tables of each dish over the samples, and the tables of the last one.
 
     rest: restaurant of each dish (0, 1, ...); customers: of each dish; parent: the
-    parent's probability of the dish. All start at one table. A move takes a random
-    customer of every dish from its table and seats it again: at a table with n others in
-    proportion to n - DISCOUNT, at a new one in proportion to (STRENGTH + DISCOUNT * tables
-    of the restaurant) * parent. Dishes move side by side; restaurants' totals follow after
-    each move.
+    parent's probability of the dish. A sweep seats every customer
+    again: given a gamma variable of the restaurant, of shape STRENGTH / DISCOUNT + tables,
+    its dishes are independent, and t tables of a dish have the weight theta^t times the
+    ways to fill them, theta = DISCOUNT * gamma * parent.
     """
     rng = np.random.default_rng(seed)
     tables = np.ones(len(rest), np.int64)
     mean = np.zeros(len(rest))
-    rows = np.flatnonzero(customers > 1)  # one customer alone always sits at one table
-    moves = BURN + THIN * SAMPLES
-    whole = np.bincount(rest, minlength=int(rest[-1]) + 1 if len(rest) else 0)
-    own, n, base = rest[rows], customers[rows].astype(float), parent[rows]
-    sizes = np.zeros((len(rows), moves + 2), np.float64)
-    sizes[:, 0] = n
-    free = np.ones(len(rows), np.int64)
-    each = np.arange(len(rows))
-    for move in range(1, moves + 1):
-        width = move + 1
-        now = sizes[:, :width]
-        at = (np.cumsum(now, axis=1) > (rng.random(len(rows)) * n)[:, None]).argmax(axis=1)
-        now[each, at] -= 1
-        seated = (now > 0).sum(axis=1)
-        total = whole[own] - (tables[rows] - seated)
-        new = (STRENGTH + DISCOUNT * total) * base
-        old = n - 1 - DISCOUNT * seated
-        fresh = rng.random(len(rows)) * (new + old) < new
-        weight = np.cumsum(np.where(now > 0, now - DISCOUNT, 0.0), axis=1)
-        join = (weight > (rng.random(len(rows)) * weight[:, -1])[:, None]).argmax(axis=1)
-        spot = np.where(fresh, free, join)
-        sizes[each, spot] += 1
-        free += fresh
-        tables[rows] = seated + fresh
-        whole = np.bincount(rest, weights=tables, minlength=len(whole)).astype(np.int64)
-        if move > BURN and (move - BURN) % THIN == 0:
+    rows = np.flatnonzero((customers > 1) & (customers <= LISTED))  # one customer alone always sits at one table
+    large = np.flatnonzero(customers > LISTED)
+    number = int(rest[-1]) + 1 if len(rest) else 0
+    n, some, last = customers[large].astype(float), np.ones(len(large), np.int64), np.zeros(len(large))
+    whole = _start(rest, customers, parent, number)
+    for sweep in range(1, BURN + THIN * SAMPLES + 1):
+        theta = np.maximum(DISCOUNT * rng.gamma(STRENGTH / DISCOUNT + whole)[rest] * parent, 1e-12)
+        tables[rows] = _listed(customers[rows], theta[rows], rng)
+        _drawn(n, theta[large], some, last, rng)
+        tables[large] = some
+        whole = np.bincount(rest, weights=tables, minlength=number)
+        if sweep > BURN and (sweep - BURN) % THIN == 0:
             mean += tables / SAMPLES
     return mean, tables
 

@@ -108,3 +108,31 @@ def test_scores_are_the_sums_of_the_letters_chances(spark):
     keys, n = lm.letters(*buffers(pa.array([t for _, t in corpus()[:60]])))
     sums = np.add.reduceat(lm.log_chances(model, keys), np.cumsum(n) - n)
     assert [got[d] for d in range(60)] == pytest.approx(sums.tolist(), rel=1e-4)
+
+
+def test_every_customer_of_a_dish_is_seated_again():
+    # a restaurant of one dish that its parent always serves is a Chinese restaurant process
+    d, s = py.DISCOUNT, py.STRENGTH
+    for c in (40, 400, 40_000):
+        want = math.exp(math.lgamma(s + 1) - math.lgamma(s + d) + math.lgamma(s + d + c) - math.lgamma(s + c)) / d - s / d
+        n = 1500
+        mean, last = py.gibbs(np.arange(n), np.full(n, c), np.ones(n), 3)
+        assert mean.mean() == pytest.approx(want, rel=0.1) and (last >= 1).all() and (last <= c).all()
+
+
+def test_tables_follow_their_conditional():
+    r = np.random.default_rng(5)
+    c, theta = 90, 2.5
+    ways = np.zeros(c + 2)
+    ways[0] = 1.0
+    t = np.arange(1, c + 2)
+    for k in range(c):  # scaled by k + 1 at each step
+        ways[1:] = (ways[:-1] + np.maximum(0, k - py.DISCOUNT * t) * ways[1:]) / (k + 1)
+        ways[0] = 0
+    p = ways * theta ** np.arange(c + 2)
+    want = (p / p.sum() * np.arange(c + 2)).sum()
+    n = 4000
+    tables, last = np.ones(n, np.int64), np.full(n, float(c))
+    for _ in range(40):
+        py._drawn(np.full(n, float(c)), np.full(n, theta), tables, last, r)
+    assert tables.mean() == pytest.approx(want, rel=0.03)
