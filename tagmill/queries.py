@@ -18,6 +18,7 @@ from tagmill.streaming import events as streams
 from tagmill.streaming import jobs
 
 NOW = datetime(2001, 8, 1)
+#: Queries named ..._all run over whole tables what the one of the plain name runs on a subset.
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -228,6 +229,13 @@ def _implied(spark, d):
     return T.implied_membership(star.post_tags().where("category = 'species'"), T.closure(star.implications()))
 
 
+@keyed("implied_membership_all", sql("""SELECT DISTINCT post_id, t.tag FROM (SELECT post_id, tag FROM ptags UNION ALL
+SELECT post_id, c.b FROM ptags JOIN (VALUES ('bolt', 'fastener'), ('rod', 'fastener'), ('bolt', 'hardware'), ('rod', 'hardware'), ('gear', 'hardware'), ('fastener', 'hardware')) c(a, b) ON tag = c.a) t"""))
+def _implied_all(spark, d):
+    star = Star(spark, d)
+    return T.implied_membership(star.post_tags(), T.closure(star.implications()))
+
+
 @keyed("tags_of_posts", sql("SELECT post_id, k.category, string_agg(DISTINCT tag, ',' ORDER BY tag) AS names FROM ptags JOIN (SELECT tag, min(category) AS category FROM ptags WHERE category IN ('general', 'species') GROUP BY 1) k USING (tag) GROUP BY 1, 2"))
 def _tags_of(spark, d):
     star = Star(spark, d)
@@ -304,6 +312,12 @@ def _pool(spark, d):
     return rows.groupBy("pool").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["post_id"].cast("string")), ",").alias("posts"))
 
 
+@keyed("pool_order_all", "SELECT l_suppkey AS pool, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey) - 1 AS INTEGER) AS position, l_orderkey AS post_id FROM lineitem")
+def _pool_all(spark, d):
+    rows = Star(spark, d).pools().select(F.col("collection_id").alias("pool"), "sequence", "post_id")
+    return rows.select("pool", (F.row_number().over(Window.partitionBy("pool").orderBy("sequence", "post_id")) - 1).alias("position"), "post_id")
+
+
 @keyed("embedded_ids_join", "SELECT o_custkey AS owner_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_custkey < 50")
 def _embedded(spark, d):
     orders = Star(spark, d).table("orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("price"))
@@ -311,6 +325,13 @@ def _embedded(spark, d):
     return merge.embedded(lists, "id", "ids", orders.select("o_orderkey", "price"), "o_orderkey").select("owner_id", "position", "price")
 
 
+@keyed("embedded_ids_join_all", "SELECT o_custkey AS owner_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders")
+def _embedded_all(spark, d):
+    orders = Star(spark, d).table("orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("price"))
+    lists = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
+    return merge.embedded(lists, "id", "ids", orders.select("o_orderkey", "price"), "o_orderkey").select("owner_id", "position", "price")
+
+
 @keyed("scalar_functions", """SELECT o_orderkey AS post_id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '/original.png' AS path,
 substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) || '/' || substr(md5(CAST(o_orderkey AS VARCHAR)), 3, 2) || '/' || md5(CAST(o_orderkey AS VARCHAR)) || '.png' AS cdn,
 sha256(CAST(o_orderkey AS VARCHAR)) AS digest, epoch_ms(o_orderdate) AS ms,
@@ -441,6 +462,14 @@ def _fan(spark, d):
     return jobs.fan_out(posts, coverage, {"notes", "users"}).select("kind", "payload")
 
 
+@keyed("job_fan_out_all", "SELECT k AS kind, '{\"post_id\":' || o_orderkey || '}' AS payload FROM orders, (VALUES ('enrich_notes'), ('enrich_note_versions')) t(k) WHERE o_orderkey % 2 = 1")
+def _fan_all(spark, d):
+    posts = Star(spark, d).own().select("post_id")
+    none = spark.createDataFrame([], "scope string, key long, dependency string, state string")
+    coverage = jobs.cover(none, posts.where("post_id % 2 = 0").select(F.col("post_id").alias("key")), "notes", "pending")
+    return jobs.fan_out(posts, coverage, {"notes", "users"}).select("kind", "payload")
+
+
 # reports and sinks
 @keyed("export_json", sql("""SELECT lpad(CAST(post_id AS VARCHAR), 12, '0') || '/post.json' AS path,
 '{"post_id":' || post_id || ',"rating":"' || rating || '","score":' || score || ',"width":' || coalesce(CAST(width AS VARCHAR), 'null') || '}' AS json FROM posts WHERE score > 300 AND NOT is_deleted"""))
