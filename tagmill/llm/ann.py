@@ -133,6 +133,10 @@ def search(q: np.ndarray, far: np.ndarray, r: np.ndarray, keep: int) -> tuple[np
             found = np.concatenate((best[rows], q[rows] @ r[own].T), axis=1)
             names = np.concatenate((at[rows], np.broadcast_to(own, (len(rows), len(own)))), axis=1)
             top = np.argpartition(-found, keep + _SPARE - 1, axis=1)[:, : keep + _SPARE]
+            # where equal cosines reach beyond the cut, the smaller rows stay: ids ascend with them
+            least = np.take_along_axis(found, top, axis=1).min(axis=1)
+            for k in np.flatnonzero(((found >= least[:, None]).sum(axis=1) > keep + _SPARE) & np.isfinite(least)):
+                top[k] = np.lexsort((names[k], -found[k]))[: keep + _SPARE]
             best[rows], at[rows] = np.take_along_axis(found, top, axis=1), np.take_along_axis(names, top, axis=1)
         worst = -np.sort(-best[live], axis=1)[:, keep - 1]
         far[live] = np.minimum(far[live], np.maximum(0, 2 - 2 * worst))

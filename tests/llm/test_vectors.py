@@ -85,3 +85,15 @@ def test_projections_keep_distances():
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df).count() == 0 and ann.nearest(df).count() == 0
+
+
+def test_smaller_rows_stay_among_many_equal_cosines():
+    import numpy as np
+
+    from tagmill.llm import ann
+
+    one = np.zeros((1, 64))
+    one[0, :4] = 0.5
+    r = np.repeat(one, 400, axis=0)
+    at, _ = ann.search(one, np.full(1, np.inf), r, 6)
+    assert sorted(at[0].tolist()) == list(range(6 + ann._SPARE))
