@@ -2,7 +2,7 @@
 
 A text's set holds the hashes of its distinct word shingles (A-Z lower-cased); equal
 sets form one class, whose smallest document id stands for it. A class has 128 minima:
-25 bands of 5 full minima give candidates, and the low 4 bits of all are kept, packed
+25 bands of 5 full minima (32 of 4 at 0.80) give candidates, and the low 4 bits of all are kept, packed
 into eight words. Every member of a band's bucket meets the bucket's smallest id; equal
 low bits, counted on the packed words and corrected for chance, estimate the
 similarity, and pairs within five standard deviations of the threshold are confirmed on
@@ -10,7 +10,7 @@ the full sets. Buckets whose other members still fall into several components ar
 compared exhaustively, on full sets, in blocks; only links that join components come
 out of a block. Components are found by alternating large and small stars.
 
-At the threshold 0.85 a pair shares no band with probability under one in a million;
+At the threshold a pair shares no band with probability under one in a million;
 all that shares a band is decided exactly.
 
 Null or empty text, or text without words: empty set, linked with nothing. Rows that
@@ -43,7 +43,7 @@ def _longs(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel().view(np.int64)))
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, rows: int = kernel.ROWS) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (the set's fingerprint), bands, low (packed low bits)."""
     longs = T.ArrayType(T.LongType())
     schema = docs.select("doc_id").schema
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 prints = np.array([kernel.fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _longs(kernel.band_keys(least)), _longs(kernel.pack(least))],
+                    [ids.slice(i, j - i), pa.array(n), pa.array(prints[:, 0]), pa.array(prints[:, 1]), _longs(kernel.band_keys(least, rows)), _longs(kernel.pack(least))],
                     schema.names,
                 )
 
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = saved(spark, signatures(docs, width), "signatures")
+    marked = saved(spark, signatures(docs, width, kernel.rows_for(percent)), "signatures")
     light = marked.select("doc_id", "n_shingles", "f1", "f2")
     classes = light.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     classes = saved(spark, classes, "classes")

@@ -8,7 +8,6 @@ from tagmill.llm.kernel import mix64, seeded, word_hashes, words
 
 #: Minima of a signature, low bits kept of each, rows of a band.
 MINIMA, BITS, ROWS = 128, 4, 5
-BANDS = MINIMA // ROWS
 
 _MUL = seeded(MINIMA, 21) | np.uint64(1)
 _ADD = seeded(MINIMA, 22)
@@ -60,12 +59,19 @@ def pack(least: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(low.reshape(*least.shape[:-1], -1, per) << shifts, axis=-1)
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band of ROWS full minima."""
+def rows_for(percent: int) -> int:
+    """Minima of a band, at most ROWS: the most with which a pair right at the threshold shares no band once in a million or less."""
+    miss = lambda rows: (1 - (percent / 100) ** rows) ** (MINIMA // rows)
+    return next((rows for rows in range(ROWS, 1, -1) if miss(rows) <= 1e-6), 1)
+
+
+def band_keys(least: np.ndarray, size: int = ROWS) -> np.ndarray:
+    """A 64-bit key of each band of size full minima."""
+    bands = MINIMA // size
     with np.errstate(over="ignore"):
-        key = np.broadcast_to(seeded(BANDS, 23), (*least.shape[:-1], BANDS)).copy()
-        rows = least[..., : BANDS * ROWS].reshape(*least.shape[:-1], BANDS, ROWS)
-        for k in range(ROWS):
+        key = np.broadcast_to(seeded(bands, 23), (*least.shape[:-1], bands)).copy()
+        rows = least[..., : bands * size].reshape(*least.shape[:-1], bands, size)
+        for k in range(size):
             key = mix64(key ^ (rows[..., k] + _MIX[0])) * _MIX[2]
     return key
 

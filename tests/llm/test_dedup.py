@@ -81,3 +81,13 @@ def test_stage_keeps_one_of_each(spark, tmp_path):
     df = spark.createDataFrame([(d, t, "s", "x") for d, t in rows] + [(0, rows[0][1], "s", "x")], "doc_id long, text string, source string, comp string")
     kept = [r.doc_id for r in dedup.stage_dedup(spark, df, "").collect()]
     assert sorted(kept) == sorted(d for d, (_, c) in brute(rows, 5, 80).items() if c == d)
+
+
+def test_bands_follow_the_threshold():
+    import numpy as np
+
+    from tagmill.llm import dedup_kernel as kernel
+
+    assert (kernel.rows_for(85), kernel.rows_for(80)) == (5, 4)
+    least = np.arange(kernel.MINIMA, dtype=np.uint64)[None]
+    assert kernel.band_keys(least, kernel.rows_for(80)).shape == (1, 32) and kernel.band_keys(least).shape == (1, 25)
