@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that array code works on at once; a longer document is worked on alone.
+#: Bytes of text that array code works on at once; a longer document is worked on in sections.
 PIECE = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -67,6 +67,36 @@ def pieces(offsets: np.ndarray, limit: int = PIECE):
         i = min(j, n)
 
 
+def sections(text: np.ndarray, offsets: np.ndarray, limit: int = PIECE):
+    """(i, j, a, b, first, last): whole rows i to j and their bytes a to b, or a part of one longer row.
+
+    Parts begin where a word begins after white space, so no word is cut (a single word
+    longer than the limit stays whole); first and last: the row's first and last part.
+    """
+    for i, j in pieces(offsets, limit):
+        a, b, first = int(offsets[i]), int(offsets[j]), True
+        while b - a > limit and (cut := _word_start(text, a + limit, b)) is not None:
+            yield i, j, a, cut, first, False
+            a, first = cut, False
+        yield i, j, a, b, first, True
+
+
+def _word_start(text: np.ndarray, at: int, end: int) -> int | None:
+    """The first place from at on where a word begins after white space."""
+    for low in range(at, end, 1 << 16):
+        space = _SPACE[text[low - 1 : min(end, low + (1 << 16))]]
+        found = np.flatnonzero(space[:-1] & ~space[1:])
+        if len(found):
+            return low + int(found[0])
+    return None
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted (by a sort, which is faster here than a hash table)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of the words [^\\x20\\x09-\\x0D]+, and the row of each."""
     if not len(text):

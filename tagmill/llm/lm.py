@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tagmill.llm import pitman_yor as py
 from tagmill.llm.common import saved, small_batches, table
-from tagmill.llm.kernel import _LOWER, buffers, pieces, word_hashes, words
+from tagmill.llm.kernel import _LOWER, buffers, distinct, pieces, sections, word_hashes, words
 
 FOLDS, HELD = 5, 1
 #: Bytes of text of a chunk; words of a bucket; counted sequences a task holds before it sends them.
@@ -40,22 +40,26 @@ SEATED = 200_000
 DISH, WEIGHT, TABLES = range(3)
 
 
-def letters(text: np.ndarray, offsets: np.ndarray, found=None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context and byte) of all predicted bytes, and the number of each row's."""
+def letters(text: np.ndarray, offsets: np.ndarray, found=None, before: int | None = None, last: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (context and byte) of all predicted bytes, and the number of each row's.
+
+    Of a row that comes in parts: before, the five bytes that precede this part; last, whether the row ends with it.
+    """
     n = len(offsets) - 1
     starts, lengths, row = found if found is not None else words(text, offsets)
     count = np.bincount(row, minlength=n)
-    size = np.bincount(row, weights=lengths + 1, minlength=n).astype(np.int64) + (count == 0)
+    size = np.bincount(row, weights=lengths + 1, minlength=n).astype(np.int64) + ((count == 0) & last)
     ends = np.cumsum(size + py.DEPTH)
     flat = np.full(int(ends[-1]) if n else 0, _BLANK, np.uint8)
     begin = ends - size - py.DEPTH
     for k in range(py.DEPTH):
-        flat[begin + k] = _END
-    flat[ends - 1] = _END
+        flat[begin + k] = _END if before is None else before >> 8 * (py.DEPTH - 1 - k) & 255
+    if last:
+        flat[ends - 1] = _END
     if len(starts):
-        before = np.cumsum(lengths + 1) - (lengths + 1)
         first = np.cumsum(count) - count
-        own = begin[row] + py.DEPTH + before - before[np.minimum(first, len(before) - 1)][row]
+        ahead = np.cumsum(lengths + 1) - (lengths + 1)
+        own = begin[row] + py.DEPTH + ahead - ahead[np.minimum(first, len(ahead) - 1)][row]
         place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         flat[np.repeat(own, lengths) + place] = _LOWER[text[np.repeat(starts, lengths) + place]]
     wide = flat.astype(np.int64)
@@ -68,28 +72,37 @@ def letters(text: np.ndarray, offsets: np.ndarray, found=None) -> tuple[np.ndarr
     return keys[real[py.DEPTH :]], size
 
 
+def spelled(text: np.ndarray, offsets: np.ndarray):
+    """(i, j, words' hashes, words of each row, keys, keys of each row) of rows i to j, or of a part of a row."""
+    tail = None
+    for i, j, a, b, first, last in sections(text, offsets, PIECE):
+        own, at = text[a:b], offsets[i : j + 1] - a if first and last else np.array([0, b - a])
+        found = words(own, at)
+        keys, size = letters(own, at, found, None if first else tail, last)
+        if len(keys):
+            tail = int(keys[-1]) & py.mask(py.DEPTH - 1)
+        yield i, j, word_hashes(own, *found[:2]), np.bincount(found[2], minlength=j - i), keys, size
+
+
 def _count(batches):
+    """Sums of the chunks' counted sequences, merged up to PENDING of them."""
     held: list = []
 
-    def merged():
-        keys, n = py.summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        held[:] = [(keys, n)]
-        return keys, n
-
     def sent():
-        keys, n = merged()
-        held.clear()
+        keys, n = held.pop()
         for i in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)].astype(np.int64))], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)])], ["key", "n"])
 
     for batch in batches:
-        text, offsets = buffers(batch.column("text"))
-        for i, j in pieces(offsets, PIECE):
-            keys, _ = letters(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            held.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in held) > PENDING and len(merged()[0]) > PENDING // 2:
-                yield from sent()
+        for seqs, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("seqs", "keys", "counts")), strict=True):
+            n = _unplanes(counts, seqs).astype(np.int64)
+            held.append((_unpack(keys, seqs)[n > 0], n[n > 0]))
+            if sum(len(k) for k, _ in held) > PENDING:
+                held[:] = [py.summed(*map(np.concatenate, zip(*held, strict=True)))]
+                if len(held[0][0]) > PENDING // 2:
+                    yield from sent()
     if held:
+        held[:] = [py.summed(*map(np.concatenate, zip(*held, strict=True)))]
         yield from sent()
 
 
@@ -101,116 +114,125 @@ def part_of(keys, parts: int):
     return F.shiftright(mixed * F.lit(parts), 16)
 
 
-def fit(train: DataFrame, asked: int = 0) -> dict:
-    """The model, from rows (text); asked: sequences it will be asked for."""
-    spark = train.sparkSession
-    small_batches(spark)
-    counts = train.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def fit(train: DataFrame) -> dict:
+    """The model, from rows (text)."""
+    small_batches(train.sparkSession)
+    return seated(saved(train.sparkSession, chunked(train.select(F.lit(0).alias("doc_id"), "text", F.lit(False).alias("held"))), "chunks"))
+
+
+def seated(chunks: DataFrame) -> dict:
+    """The model, from the chunks' counts of training sequences."""
+    spark = chunks.sparkSession
+    counts = chunks.select("seqs", "keys", "counts").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = saved(spark, counts, "sequences")
     # two levels on the driver: at most 65,536 rows
     low = lambda depth: F.col("key").bitwiseAND(F.lit(py.mask(depth))).alias("key")
     two = counts.select(low(2)).distinct().groupBy(low(1)).count().toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast(upper(two["key"].to_numpy(np.int64), two["count"].to_numpy(np.int64)))
+    asked = chunks.agg(F.sum("seqs")).first()[0] or 0
     parts = min(1 << 16, max(8, counts.count() // SEATED + 1, asked // BUCKET))
 
-    def seated(frame):
+    def run(frame):
         import pandas as pd
 
         order = np.argsort(frame["key"].to_numpy())
         found = py.levels(frame["key"].to_numpy(np.int64)[order], frame["n"].to_numpy(np.int64)[order], 2)
         table1, part = shared.value, int(frame["part"].iloc[0])
-        best, low = py.seat(found, 2, lambda k: table1[(k >> 8) & 255, k & 255], part)
-        keys, tables = py.summed(low["keys"] & py.mask(1), low["tables"])
-        out = [(part, TABLES, 1, keys.tobytes(), tables.astype(np.int64).tobytes())]
+        best, tables = py.seat(found, 2, lambda k: table1[(k >> 8) & 255, k & 255], part)
+        pairs = found[2][0] & py.mask(1)
+        keys = distinct(pairs)
+        sums = np.stack([np.bincount(np.searchsorted(keys, pairs), weights=t, minlength=len(keys)) for t in tables.T], axis=1)
+        out = [(part, TABLES, 1, len(keys), _pack(keys), sums.tobytes())]
         for depth, (a, b) in best.items():
             dishes, _, rest = found[depth]
             first = np.flatnonzero(np.diff(rest, prepend=-1))
-            out.append((part, DISH, depth, dishes.tobytes(), a.astype(np.float32).tobytes()))
-            out.append((part, WEIGHT, depth, (dishes[first] >> 8).tobytes(), b.astype(np.float32).tobytes()))
-        return pd.DataFrame(out, columns=["part", "kind", "depth", "keys", "vals"])
+            out.append((part, DISH, depth, len(dishes), _pack(dishes), _planes(a.astype(np.float32).view(np.uint32))))
+            out.append((part, WEIGHT, depth, len(first), _pack(dishes[first] >> 8), _planes(b.astype(np.float32).view(np.uint32))))
+        return pd.DataFrame(out, columns=["part", "kind", "depth", "n", "keys", "vals"])
 
     grouped = counts.withColumn("part", part_of(F.col("key"), parts).cast("int"))
-    seating = saved(spark, grouped.groupBy("part").applyInPandas(seated, "part int, kind int, depth int, keys binary, vals binary"), "seating")
-    tables = np.zeros(1 << 16, np.int64)
-    for r in seating.where(F.col("kind") == TABLES).select("keys", "vals").toLocalIterator():
-        tables[np.frombuffer(r["keys"], np.int64)] += np.frombuffer(r["vals"], np.int64)
-    keys = np.flatnonzero(tables)
-    return {"one": upper(keys, tables[keys]), "seating": seating, "parts": parts}
+    seating = saved(spark, grouped.groupBy("part").applyInPandas(run, "part int, kind int, depth int, n long, keys binary, vals binary"), "seating")
+    tables = np.zeros((py.SAMPLES, 1 << 16))
+    for r in seating.where(F.col("kind") == TABLES).select("n", "keys", "vals").toLocalIterator():
+        tables[:, _unpack(r["keys"], r["n"])] += np.frombuffer(r["vals"], float).reshape(-1, py.SAMPLES).T
+    keys = np.flatnonzero(tables[0])
+    ones = [upper(keys, t[keys].astype(np.int64)) for t in tables]
+    return {"one": np.stack(ones, axis=-1), "seating": seating, "parts": parts}
 
 
 def upper(keys: np.ndarray, tables: np.ndarray) -> np.ndarray:
     """Depth-1 probabilities [context, byte] from the tables sent to each dish (byte, byte)."""
     if not len(keys):
         return np.full((256, 256), 1 / 256)
-    k1, n1 = py.summed(keys & py.mask(1), tables)
-    k0, _ = py.summed(k1 & py.mask(0), np.ones(len(k1), np.int64))
-    chance = np.full(256, 1 / 256)
-    c0 = py.summed(k1 & 255, np.ones(len(k1), np.int64))[1]
-    for _ in range(2):
-        zero = np.zeros(len(k0), np.int64)
-        t0, _ = py.gibbs(zero, c0, np.full(len(k0), 1 / 256), 5)
+    rng = np.random.default_rng(5)
+    rest = np.cumsum(np.diff(keys >> 8, prepend=-1) != 0) - 1
+    k0 = distinct(keys & 255)
+    zero, flat = np.zeros(len(k0), np.int64), np.full(len(k0), 1 / 256)
+    chance, state0, state1 = np.full(256, 1 / 256), None, None
+    for _ in range(py.BURN):
+        t1, state1 = py.gibbs(rest, tables, chance[keys & 255], rng, state1)
+        c0 = np.bincount(np.searchsorted(k0, keys & 255), weights=t1).astype(np.int64)
+        t0, state0 = py.gibbs(zero, c0, flat, rng, state0)
         a, b = py.predictive(zero, c0, t0)
         chance = np.full(256, b[0] / 256)
         chance[k0] += a
-        rest = np.cumsum(np.diff(k1 >> 8, prepend=-1) != 0) - 1
-        t1, last = py.gibbs(rest, n1, chance[k1 & 255], 7)
-        c0 = py.summed(k1 & 255, last)[1]
-    a, b = py.predictive(rest, n1, t1)
+    a, b = py.predictive(rest, tables, t1)
     out = np.tile(chance, (256, 1))
-    open_ = (k1 >> 8)[np.flatnonzero(np.diff(rest, prepend=-1))]
+    open_ = (keys >> 8)[np.flatnonzero(np.diff(rest, prepend=-1))]
     out[open_] *= b[:, None]
-    out[k1 >> 8, k1 & 255] += a
+    out[keys >> 8, keys & 255] += a
     return out
 
 
 def assemble(rows: list[tuple], one: np.ndarray) -> dict:
-    """Of rows (kind, depth, keys, vals) of some parts: full probabilities of all dishes and parents' weights, in hash tables keyed with the depth."""
+    """Of rows (kind, depth, n, keys, vals) of some parts: full probabilities of all dishes and parents' weights, in hash tables keyed with the depth; a column a sample."""
 
     def gathered(kind: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         own = [r for r in rows if r[:2] == (kind, depth)]
-        keys = np.frombuffer(b"".join(r[2] for r in own), np.int64)
-        values = np.frombuffer(b"".join(r[3] for r in own), np.float32)
+        keys = np.concatenate([_unpack(r[3], r[2]) for r in own] or [np.zeros(0, np.int64)])
+        values = np.concatenate([_unplanes(r[4], r[2] * py.SAMPLES).view(np.float32).reshape(-1, py.SAMPLES) for r in own] or [np.zeros((0, py.SAMPLES), np.float32)])
         order = np.argsort(keys)
         return keys[order], values[order].astype(float)
 
-    model = {"one": one}
-    dishes, weights = [], []
-    before = None
+    dishes, weights, before = [], [], None
     for depth in range(2, py.DEPTH + 1):
         keys, a = gathered(DISH, depth)
         contexts, b = gathered(WEIGHT, depth)
-        up = one[(keys >> 8) & 255, keys & 255] if depth == 2 else py.look(*before, keys & py.mask(depth - 1), 0.0)
-        full = a + py.look(contexts, b, keys >> 8, 1.0) * up
+        # every dish's context has a weight, and its ending a dish one level up
+        up = one[(keys >> 8) & 255, keys & 255] if depth == 2 else before[1][np.searchsorted(before[0], keys & py.mask(depth - 1))]
+        full = a + b[np.searchsorted(contexts, keys >> 8)] * up
         before = (keys, full)
-        dishes.append((keys | depth << 56, full.astype(np.float32)))
-        weights.append((contexts | depth << 56, b.astype(np.float32)))
-    model["dish"] = py.hash_table(np.concatenate([k for k, _ in dishes]), np.concatenate([v for _, v in dishes]))
-    model["weight"] = py.hash_table(np.concatenate([k for k, _ in weights]), np.concatenate([v for _, v in weights]))
-    return model
+        dishes.append((keys | depth << 56, full))
+        weights.append((contexts | depth << 56, b))
+    return {"one": one} | {name: py.hash_table(*map(np.concatenate, zip(*found, strict=True))) for name, found in (("dish", dishes), ("weight", weights))}
 
 
 def chances(model: dict, keys: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each byte after its context, from the tables of its part."""
+    """log10 of the probability of each byte after its context, averaged over the samples, from the tables of its part."""
     out = np.empty(len(keys))
-    todo, scale = np.arange(len(keys)), np.ones(len(keys))
-    for depth in range(py.DEPTH, 1, -1):
-        own = keys[todo] & py.mask(depth)
-        p = py.get(model["dish"], own | depth << 56)
-        hit = ~np.isnan(p)
-        out[todo[hit]] = p[hit] * scale[todo[hit]]
-        todo, own = todo[~hit], own[~hit]
-        w = py.get(model["weight"], own >> 8 | depth << 56)
-        scale[todo] *= np.where(np.isnan(w), 1.0, w)
-    own = keys[todo]
-    out[todo] = model["one"][(own >> 8) & 255, own & 255] * scale[todo]
-    return np.log10(out)
+    for low in range(0, len(keys), 1 << 18):
+        some = keys[low : low + (1 << 18)]
+        p = np.empty((len(some), py.SAMPLES))
+        todo, scale = np.arange(len(some)), np.ones(p.shape)
+        for depth in range(py.DEPTH, 1, -1):
+            own = some[todo] & py.mask(depth)
+            found = py.get(model["dish"], own | depth << 56)
+            hit = ~np.isnan(found[:, 0])
+            p[todo[hit]] = found[hit] * scale[todo[hit]]
+            todo, own = todo[~hit], own[~hit]
+            w = py.get(model["weight"], own >> 8 | depth << 56)
+            scale[todo] *= np.where(np.isnan(w), 1.0, w)
+        own = some[todo]
+        p[todo] = model["one"][(own >> 8) & 255, own & 255] * scale[todo]
+        out[low : low + len(some)] = np.log10(p.mean(axis=1))
+    return out
 
 
 def log_chances(model: dict, keys: np.ndarray) -> np.ndarray:
     """chances() of a few keys, on the driver: it fetches their parts."""
     parts = np.unique(part_of(keys, model["parts"])).tolist()
     rows = model["seating"].where(F.col("part").isin(parts)).collect()
-    return chances(assemble([(r["kind"], r["depth"], r["keys"], r["vals"]) for r in rows], model["one"]), keys)
+    return chances(assemble([(r["kind"], r["depth"], r["n"], r["keys"], r["vals"]) for r in rows], model["one"]), keys)
 
 
 def _pack(keys: np.ndarray) -> bytes:
@@ -234,9 +256,9 @@ def _unplanes(data: bytes, n: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """A row per chunk: its documents, their text, its distinct words with training counts, its tokens as word numbers, its distinct sequences."""
+    """A row per chunk: its documents, their text, its distinct words and sequences, each with its count in training texts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, docs array<struct<doc_id:{id_type},held:boolean,n:bigint,bytes:bigint>>, n bigint, kinds bigint, words binary, train binary, tokens binary, seqs bigint, keys binary, text binary"
+    schema = f"chunk long, docs array<struct<doc_id:{id_type},held:boolean,n:bigint,bytes:bigint>>, kinds bigint, words binary, train binary, seqs bigint, keys binary, counts binary, text binary"
 
     def run(batches):
         from pyspark import TaskContext
@@ -246,99 +268,84 @@ def chunked(docs: DataFrame) -> DataFrame:
             text, offsets = buffers(batch.column("text"))
             ids, held = batch.column("doc_id"), batch.column("held")
             for i, j in pieces(offsets, CHUNK):
-                hashes, sizes, seqs = [], [], []
-                for a, b in pieces(offsets[i : j + 1], PIECE):
-                    a, b = a + i, b + i
-                    own, at = text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                    found = words(own, at)
-                    hashes.append(word_hashes(own, *found[:2]))
-                    sizes.append(np.bincount(found[2], minlength=b - a))
-                    seqs.append(np.unique(letters(own, at, found)[0]))
-                keys = np.unique(np.concatenate(seqs))
-                hashed, size = np.concatenate(hashes), np.concatenate(sizes)
                 out = np.asarray(held.slice(i, j - i).to_numpy(zero_copy_only=False), bool)
-                kinds, token = np.unique(hashed, return_inverse=True)
-                train = np.bincount(token[np.repeat(~out, size)], minlength=len(kinds))
-                # frequent words get small numbers, which pack better
-                rank = np.empty(len(kinds), np.int64)
-                rank[np.argsort(-np.bincount(token, minlength=len(kinds)), kind="stable")] = np.arange(len(kinds))
-                docs = pa.StructArray.from_arrays([ids.slice(i, j - i), pa.array(out), pa.array(size.astype(np.int64)), pa.array(np.diff(offsets[i : j + 1]).astype(np.int64))], ["doc_id", "held", "n", "bytes"])
+                size, kinds, seqs = np.zeros(j - i, np.int64), [], []
+                for a, b, hashes, n, keys, width in spelled(text, offsets[i : j + 1]):
+                    size[a:b] += n
+                    kinds.append(_counted(hashes.view(np.int64), np.repeat(out[a:b], n)))
+                    seqs.append(_counted(keys, np.repeat(out[a:b], width)))
+                (kinds, train), (seqs, counts) = (py.summed(*map(np.concatenate, zip(*x, strict=True))) for x in (kinds, seqs))
+                docs = pa.StructArray.from_arrays([ids.slice(i, j - i), pa.array(out), pa.array(size), pa.array(np.diff(offsets[i : j + 1]).astype(np.int64))], ["doc_id", "held", "n", "bytes"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part << 32 | number], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), docs),
-                        pa.array([len(token)], pa.int64()),
                         pa.array([len(kinds)], pa.int64()),
-                        pa.array([kinds.tobytes()], pa.binary()),
+                        pa.array([_pack(kinds)], pa.binary()),
                         pa.array([_planes(train)], pa.binary()),
-                        pa.array([_pair(rank, token)], pa.binary()),
-                        pa.array([len(keys)], pa.int64()),
-                        pa.array([_pack(keys)], pa.binary()),
+                        pa.array([len(seqs)], pa.int64()),
+                        pa.array([_pack(seqs)], pa.binary()),
+                        pa.array([_planes(counts)], pa.binary()),
                         pa.array([pa.compress(text[offsets[i] : offsets[j]].tobytes(), "zstd", asbytes=True)], pa.binary()),
                     ],
-                    ["chunk", "docs", "n", "kinds", "words", "train", "tokens", "seqs", "keys", "text"],
+                    ["chunk", "docs", "kinds", "words", "train", "seqs", "keys", "counts", "text"],
                 )
                 number += 1
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, schema)
 
 
-def _pair(rank: np.ndarray, token: np.ndarray) -> bytes:
-    a, b = _planes(np.argsort(rank)), _planes(rank[token])
-    return len(a).to_bytes(8, "little") + a + b
-
-
-def _unpair(data: bytes, kinds: int, n: int) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    return _unplanes(data[8 : 8 + size], kinds)[_unplanes(data[8 + size :], n)]
+def _counted(x: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, those held out (out) with count 0."""
+    a, n = np.unique(x[~out], return_counts=True)
+    b = distinct(x[out])
+    return np.concatenate((a, b)), np.concatenate((n, np.zeros(len(b), np.int64)))
 
 
 def totals(chunks: DataFrame) -> DataFrame:
-    """chunk, bucket, counts (64-bit, in the order of the chunk's words), and each bucket's sums once."""
+    """chunk, bucket, counts (in the order of the chunk's words), and each bucket's sums once."""
     spark = chunks.sparkSession
     every = chunks.agg(F.sum("kinds")).first()[0] or 0
-    buckets = 1 << max(3, (every // BUCKET).bit_length())
-    shift = 64 - (buckets.bit_length() - 1)
+    shift = 64 - max(3, (every // BUCKET).bit_length())
 
     def deal(frames):
         import pandas as pd
 
         for f in frames:
             for r in f.itertuples():
-                own, train = np.frombuffer(r.words, np.uint64), _unplanes(r.train, r.kinds)
-                cuts = np.searchsorted(own >> np.uint64(shift), np.arange(buckets + 1, dtype=np.uint64))
-                yield pd.DataFrame(
-                    {
-                        "chunk": r.chunk,
-                        "bucket": np.arange(buckets, dtype=np.int32),
-                        "words": [own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                        "train": [train[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                    }
-                )
+                own, train = _unpack(r.words, r.kinds), _unplanes(r.train, r.kinds)
+                first = np.flatnonzero(np.diff(own >> shift, prepend=(own[:1] >> shift) - 1))  # buckets the chunk has words of
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True))
+                rows = [(r.chunk, int(own[a] >> shift), b - a, _pack(own[a:b]), _planes(train[a:b])) for a, b in cuts]
+                yield pd.DataFrame(rows, columns=["chunk", "bucket", "kinds", "words", "train"])
 
     def answer(frame):
         import pandas as pd
 
-        frame = frame.sort_values("chunk")
-        own = np.frombuffer(b"".join(frame["words"]), np.uint64)
-        train = np.frombuffer(b"".join(frame["train"]), np.uint32)
+        own = np.concatenate([_unpack(w, n) for w, n in zip(frame["words"], frame["kinds"], strict=True)])
+        train = np.concatenate([_unplanes(t, n) for t, n in zip(frame["train"], frame["kinds"], strict=True)])
         kinds, at = np.unique(own, return_inverse=True)
         count = np.bincount(at, weights=train, minlength=len(kinds)).astype(np.int64)
-        size = np.array([len(w) // 8 for w in frame["words"]])
-        ends = np.cumsum(size)
-        back = count[at]
+        ends = np.cumsum(frame["kinds"].to_numpy())
+        back = np.split(count[at], ends[:-1])
         return pd.DataFrame(
             {
                 "chunk": frame["chunk"],
                 "bucket": frame["bucket"],
-                "counts": [back[e - s : e].tobytes() for e, s in zip(ends, size, strict=True)],
+                "kinds": frame["kinds"],
+                "counts": [_wide(x) for x in back],
                 "tokens": [int(count.sum())] + [0] * (len(frame) - 1),
                 "known": [int((count > 0).sum())] + [0] * (len(frame) - 1),
             }
         )
 
-    dealt = chunks.select("chunk", "kinds", "words", "train").mapInPandas(deal, "chunk long, bucket int, words binary, train binary")
-    return saved(spark, dealt.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, counts binary, tokens long, known long"), "totals")
+    dealt = chunks.select("chunk", "kinds", "words", "train").mapInPandas(deal, "chunk long, bucket int, kinds long, words binary, train binary")
+    return saved(spark, dealt.groupBy("bucket").applyInPandas(answer, "chunk long, bucket int, kinds long, counts binary, tokens long, known long"), "totals")
+
+
+def _wide(x: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed."""
+    return _pack(np.cumsum(x))
 
 
 def answered(chunks: DataFrame, model: dict) -> DataFrame:
@@ -359,13 +366,13 @@ def answered(chunks: DataFrame, model: dict) -> DataFrame:
     def answer(asked, rows):
         import pandas as pd
 
-        own = assemble(list(rows[["kind", "depth", "keys", "vals"]].itertuples(index=False, name=None)), shared.value)
-        found = [chances(own, _unpack(k, n)).astype(np.float32).tobytes() for k, n in zip(asked["keys"], asked["seqs"], strict=True)]
-        return pd.DataFrame({"chunk": asked["chunk"], "part": asked["part"], "chances": found})
+        own = assemble(list(rows[["kind", "depth", "n", "keys", "vals"]].itertuples(index=False, name=None)), shared.value)
+        found = [_planes(chances(own, _unpack(k, n)).astype(np.float32).view(np.uint32)) for k, n in zip(asked["keys"], asked["seqs"], strict=True)]
+        return pd.DataFrame({"chunk": asked["chunk"], "part": asked["part"], "seqs": asked["seqs"], "chances": found})
 
     dealt = chunks.select("chunk", "seqs", "keys").mapInPandas(deal, "chunk long, part int, seqs long, keys binary")
     seating = model["seating"].where(F.col("kind") != TABLES)
-    return dealt.groupBy("part").cogroup(seating.groupBy("part")).applyInPandas(answer, "chunk long, part int, chances binary")
+    return dealt.groupBy("part").cogroup(seating.groupBy("part")).applyInPandas(answer, "chunk long, part int, seqs long, chances binary")
 
 
 def score(docs: DataFrame, held: str = "held") -> DataFrame:
@@ -374,7 +381,7 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text", F.col(held).alias("held"))
     chunks = saved(spark, chunked(docs), "chunks")
-    model = fit(docs.where("not held"), chunks.agg(F.sum("seqs")).first()[0] or 0)
+    model = seated(chunks)
     spread, found = model["parts"], totals(chunks)
     ends = docs.where("not held").count()
     sums = found.agg(F.sum("tokens"), F.sum("known")).first()
@@ -386,33 +393,34 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {x: batch.column(x)[k] for x in batch.schema.names}
-                parts = sorted(row["parts"].as_py(), key=lambda p: p["bucket"])
-                count = np.frombuffer(b"".join(p["counts"] for p in parts), np.int64)
-                token = _unpair(row["tokens"].as_py(), row["kinds"].as_py(), row["n"].as_py())
-                inner = row["docs"].values
-                size = np.asarray(inner.field("n")).astype(np.int64)
+                parts = sorted(row["parts"].as_py() or [], key=lambda p: p["bucket"])
+                count = np.concatenate([np.diff(_unpack(p["counts"], p["kinds"]), prepend=0) for p in parts] or [np.zeros(0, np.int64)])
                 width = 0.5 * (v + 1) + n
                 logs = np.log10((count + 0.5) / width)
-                row_of = np.repeat(np.arange(len(size)), size)
-                base = np.bincount(row_of, weights=logs[token], minlength=len(size)) + np.log10((ends + 0.5) / width)
-                known = np.bincount(row_of, weights=(count > 0)[token], minlength=len(size)).astype(np.int64) + (ends > 0)
+                kinds = _unpack(row["words"].as_py(), row["kinds"].as_py())
                 keys = _unpack(row["keys"].as_py(), row["seqs"].as_py())
                 keys = keys[np.argsort(part_of(keys, spread), kind="stable")]
-                chance = py.hash_table(keys, np.frombuffer(b"".join(p["chances"] for p in sorted(row["answers"].as_py(), key=lambda p: p["part"])), np.float32))
+                said = [_unplanes(p["chances"], p["seqs"]).view(np.float32) for p in sorted(row["answers"].as_py(), key=lambda p: p["part"])]
+                chance = py.hash_table(keys, np.concatenate(said))
+                inner = row["docs"].values
+                size = np.asarray(inner.field("n")).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.asarray(inner.field("bytes")))]).astype(np.int64)
                 text = np.frombuffer(pa.decompress(row["text"].as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
-                scores = []
-                for i, j in pieces(offsets, PIECE):
-                    asked, width_of = letters(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    scores.append(np.add.reduceat(py.get(chance, asked).astype(float), np.cumsum(width_of) - width_of))
+                base, known, scores = np.full(len(size), np.log10((ends + 0.5) / width)), np.full(len(size), int(ends > 0)), np.zeros(len(size))
+                for i, j, hashes, tokens, asked, letters_ in spelled(text, offsets):
+                    at, own = np.searchsorted(kinds, hashes.view(np.int64)), np.repeat(np.arange(j - i), tokens)
+                    base[i:j] += np.bincount(own, weights=logs[at], minlength=j - i)
+                    known[i:j] += np.bincount(own, weights=count[at] > 0, minlength=j - i).astype(np.int64)
+                    scores[i:j] += np.bincount(np.repeat(np.arange(j - i), letters_), weights=py.get(chance, asked), minlength=j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(np.concatenate(scores))],
+                    [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(scores)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    parts = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("parts"))
-    answers = answered(chunks, model).groupBy("chunk").agg(F.collect_list(F.struct("part", "chances")).alias("answers"))
-    rows = chunks.select("chunk", "docs", "n", "kinds", "tokens", "seqs", "keys", "text").join(parts, "chunk").join(answers, "chunk")
+    parts = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kinds", "counts")).alias("parts"))
+    answers = answered(chunks, model).groupBy("chunk").agg(F.collect_list(F.struct("part", "seqs", "chances")).alias("answers"))
+    # a chunk of documents without words has no answer of a bucket
+    rows = chunks.select("chunk", "docs", "kinds", "words", "seqs", "keys", "text").join(parts, "chunk", "left").join(answers, "chunk")
     return rows.mapInArrow(finish, schema)
 
 

@@ -7,16 +7,18 @@ the byte after it: depth d uses the low d + 1 bytes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 DEPTH = 5
 DISCOUNT, STRENGTH = 0.75, 0.5
-#: Sweeps of the sampler over all customers before and between samples, and samples averaged.
-BURN, THIN, SAMPLES = 12, 4, 4
-
-
+#: Turns of the sampler through all levels before the samples that are averaged, and sweeps of a level in a turn.
+BURN, SAMPLES, SWEEPS = 3, 4, 3
 #: Customers up to which a dish's number of tables is drawn from a list of all; proposed tables from which it is normal.
-LISTED, MANY = 64, 1024
+LISTED, MANY = 64, 12
+#: Steps on the log scale that a sweep tries for the gamma variable of a restaurant of more than WIDE customers.
+STEPS, WIDE = (0.5, 0.12), 24
 
 
 def _stirling() -> np.ndarray:
@@ -47,6 +49,57 @@ def _listed(customers: np.ndarray, theta: np.ndarray, rng) -> np.ndarray:
     return out
 
 
+def _stable() -> tuple[np.ndarray, np.ndarray]:
+    """log z and the log density at z of the positive stable law of index DISCOUNT: Zolotarev's integral, and the series where that is sharp."""
+    d = DISCOUNT
+    angle = (np.arange(4000) + 0.5) * np.pi / 4000
+    log_a = (d * np.log(np.sin(d * angle)) + (1 - d) * np.log(np.sin((1 - d) * angle)) - np.log(np.sin(angle))) / (1 - d)
+    near, far = np.linspace(-2.5, 3, 300), np.linspace(3.02, 12, 300)
+    inner = log_a - np.exp(log_a - (d / (1 - d)) * near[:, None])
+    top = inner.max(axis=1)
+    close = np.log(d / (1 - d)) - near / (1 - d) + top + np.log(np.exp(inner - top[:, None]).mean(axis=1))
+    tail = sum((-1) ** (k + 1) * math.gamma(k * d + 1) / math.factorial(k) * math.sin(math.pi * k * d) * np.exp(-(k * d + 1) * far) for k in range(1, 13))
+    return np.concatenate((near, far)), np.concatenate((close, np.log(tail / np.pi)))
+
+
+_STABLE = _stable()
+_NODES, _SHARES = np.polynomial.hermite_e.hermegauss(5)
+
+
+def _log_ways(customers: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """log of the sum over t of theta^t times the ways to seat that many customers at t tables, but for terms of the customers alone.
+
+    Few customers: the list. More: G(theta) = exp(theta / d) E[(b s)^c exp(-b s)], s positive
+    stable of index d and b = (theta / d)^(1 / d), where b s keeps near c: five nodes; or,
+    where many customers sit alone, the saddle point of the generating function.
+    """
+    d, log_theta = DISCOUNT, np.log(theta)
+    out = log_theta.copy()
+    low = 1
+    for width in (4, 16, LISTED):
+        rows = np.flatnonzero((customers > low) & (customers <= width))
+        for some in np.array_split(rows, len(rows) * width // (1 << 21) + 1):
+            log = _WAYS[customers[some].astype(np.int64), 1 : width + 1] + log_theta[some][:, None] * np.arange(1, width + 1)
+            top = log.max(axis=1, initial=-np.inf)
+            out[some] = top + np.log(np.exp(log - top[:, None]).sum(axis=1))
+        low = width
+    rows = np.flatnonzero(customers > LISTED)
+    c, th, log_th = customers[rows].astype(float), theta[rows], log_theta[rows]
+    y = _tilt(c, th)
+    alone = c * y > 8
+    n, t, z = c[alone], th[alone], y[alone]
+    x = -np.expm1(np.log(z))
+    out[rows[alone]] = t * (1 - z**d) / d - n * np.log(x) - 0.5 * np.log(2 * np.pi * (n + t * (1 - d) * x * x * z ** (d - 2)))
+    n, t = c[~alone], th[~alone]
+    log_b = (log_th[~alone] - np.log(d)) / d
+    log_z, log_f = _STABLE
+    at = np.log(n + 0.5)[:, None] + _NODES / np.sqrt(n)[:, None] - log_b[:, None]
+    inner = np.interp(at, log_z, log_f) - (1 + d) * np.maximum(0, at - log_z[-1])
+    top = inner.max(axis=1, initial=-np.inf)
+    out[rows[~alone]] = t / d - log_b + top + np.log((np.exp(inner - top[:, None]) * _SHARES).sum(axis=1) / _SHARES.sum())
+    return out
+
+
 def _log_size(n: np.ndarray) -> np.ndarray:
     """log of Gamma(n - DISCOUNT) / Gamma(n), n at least 1."""
     shift = sum(np.log((n + k) / (n + k - DISCOUNT)) for k in range(8))
@@ -59,7 +112,7 @@ def _tilt(customers: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """y of (1 - y) * y^(DISCOUNT - 1) = customers / theta: with it, that many customers are expected."""
     goal = np.log(customers / theta)
     w = np.maximum(goal / (1 - DISCOUNT), np.exp(np.minimum(goal, 0) - (1 - DISCOUNT)))
-    for _ in range(12):  # Newton on -log y, from below a concave function's root
+    for _ in range(9):  # Newton on -log y, from below a concave function's root
         w -= (np.log(-np.expm1(-w)) + (1 - DISCOUNT) * w - goal) / (1 / np.expm1(w) + 1 - DISCOUNT)
     return np.exp(-w)
 
@@ -69,13 +122,14 @@ def _drawn(n: np.ndarray, theta: np.ndarray, tables: np.ndarray, last: np.ndarra
 
     All tables but one are proposed at once, as a Poisson number of Sibuya sizes tilted by
     x; the last one takes the rest, and its weight in proportion to its size decides (an
-    independence move). Where MANY would be proposed their number is normal.
+    independence move). Where MANY or more would be proposed, few would fit, and the number
+    is normal, its mean and variance the derivatives of the log weight of all seatings.
     """
     y = _tilt(n, theta)
-    mean = theta * (1 - y**DISCOUNT) / DISCOUNT
     many = theta >= DISCOUNT * MANY
-    x = -np.expm1(np.log(y))
-    spread = mean - n * n / (n + theta * (1 - DISCOUNT) * x * x * y ** (DISCOUNT - 2))
+    step = 0.02
+    less, here, more = (_log_ways(n, theta * np.exp(k * step)) for k in (-1, 0, 1))
+    mean, spread = (more - less) / (2 * step), (more - 2 * here + less) / step**2
     normal = np.rint(mean + np.sqrt(np.maximum(spread, 0)) * rng.standard_normal(len(n)))
     # also for dishes without a state of the move yet, until a proposal of theirs fits
     free = many | (last == 0)
@@ -99,15 +153,15 @@ def _drawn(n: np.ndarray, theta: np.ndarray, tables: np.ndarray, last: np.ndarra
 
 
 def _start(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, number: int) -> np.ndarray:
-    """Tables of all restaurants to start from: one a dish, or, above LISTED customers, the total that its own gamma's mean gives back.
+    """Tables of all restaurants to start from: one a dish, or, above WIDE customers, the total that its own gamma's mean gives back.
 
     From one table a dish the sweeps would gain but a few tables each, and never reach the
     thousands that large restaurants have.
     """
     ones = np.bincount(rest, minlength=number).astype(float)
     total = np.bincount(rest, weights=customers, minlength=number)
-    big = np.flatnonzero(total > LISTED)
-    own = np.flatnonzero((total > LISTED)[rest])
+    big = np.flatnonzero(total > WIDE)
+    own = np.flatnonzero((total > WIDE)[rest])
     of, n, base = np.searchsorted(big, rest[own]), customers[own].astype(float), np.maximum(parent[own], 1e-12)
     low, high = np.log(ones[big]), np.log(total[big])
     for _ in range(12):
@@ -120,32 +174,54 @@ def _start(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, number:
     return ones
 
 
-def gibbs(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean number of tables of each dish over the samples, and the tables of the last one.
+def gibbs(rest: np.ndarray, customers: np.ndarray, parent: np.ndarray, rng, state: dict | None = None, sweeps: int = SWEEPS) -> tuple[np.ndarray, dict]:
+    """A sample of each dish's number of tables, and the state to go on from.
 
     rest: restaurant of each dish (0, 1, ...); customers: of each dish; parent: the
-    parent's probability of the dish. A sweep seats every customer
-    again: given a gamma variable of the restaurant, of shape STRENGTH / DISCOUNT + tables,
-    its dishes are independent, and t tables of a dish have the weight theta^t times the
-    ways to fill them, theta = DISCOUNT * gamma * parent.
+    parent's probability of the dish. A sweep seats every customer again: given a gamma
+    variable of the restaurant, of shape STRENGTH / DISCOUNT + tables, its dishes are
+    independent, and t tables of a dish have the weight theta^t times the ways to fill
+    them, theta = DISCOUNT * gamma * parent. In a restaurant of more than WIDE customers
+    the tables would hold the gamma variable back, so there it moves with the tables summed out.
     """
-    rng = np.random.default_rng(seed)
-    tables = np.ones(len(rest), np.int64)
-    mean = np.zeros(len(rest))
+    number = int(rest[-1]) + 1 if len(rest) else 0
     rows = np.flatnonzero((customers > 1) & (customers <= LISTED))  # one customer alone always sits at one table
     large = np.flatnonzero(customers > LISTED)
-    number = int(rest[-1]) + 1 if len(rest) else 0
-    n, some, last = customers[large].astype(float), np.ones(len(large), np.int64), np.zeros(len(large))
-    whole = _start(rest, customers, parent, number)
-    for sweep in range(1, BURN + THIN * SAMPLES + 1):
-        theta = np.maximum(DISCOUNT * rng.gamma(STRENGTH / DISCOUNT + whole)[rest] * parent, 1e-12)
+    wide = np.bincount(rest, weights=customers, minlength=number) > WIDE
+    own = np.flatnonzero(wide[rest])
+    of = (np.cumsum(wide) - 1)[rest[own]]
+    if state is None:
+        state = {"whole": _start(rest, customers, parent, number), "last": np.zeros(len(rest)), "tables": np.ones(len(rest), np.int64)}
+        state["log"] = np.log(STRENGTH / DISCOUNT + state["whole"])
+    tables = np.minimum(state["tables"], customers)
+    # a table that is larger than its dish has become is no state to go on from
+    n, last = customers[large].astype(float), state["last"][large]
+    last[last > n - tables[large] + 1] = 0
+    some, whole, log_g = tables[large], state["whole"], state["log"]
+    tables[customers == 1] = 1
+
+    def level(x):
+        ways = _log_ways(customers[own], np.maximum(DISCOUNT * np.exp(x)[of] * parent[own], 1e-12))
+        return STRENGTH / DISCOUNT * x - np.exp(x) + np.bincount(of, weights=ways, minlength=len(x))
+
+    x = log_g[wide]
+    now = level(x)
+    for _ in range(sweeps):
+        for step in STEPS if len(x) else ():
+            tried = x + step * rng.standard_normal(len(x))
+            then = level(tried)
+            go = np.log1p(-rng.random(len(x))) < then - now
+            x, now = np.where(go, tried, x), np.where(go, then, now)
+        g = rng.gamma(STRENGTH / DISCOUNT + whole)
+        g[wide] = np.exp(x)
+        theta = np.maximum(DISCOUNT * g[rest] * parent, 1e-12)
         tables[rows] = _listed(customers[rows], theta[rows], rng)
         _drawn(n, theta[large], some, last, rng)
         tables[large] = some
         whole = np.bincount(rest, weights=tables, minlength=number)
-        if sweep > BURN and (sweep - BURN) % THIN == 0:
-            mean += tables / SAMPLES
-    return mean, tables
+    kept = np.zeros(len(rest))
+    kept[large] = last
+    return tables, {"whole": whole, "last": kept, "tables": tables.copy(), "log": np.log(np.maximum(g, 1e-300))}
 
 
 def predictive(rest: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,76 +258,59 @@ def levels(keys: np.ndarray, counts: np.ndarray, lowest: int) -> dict:
     return out
 
 
-def look(keys: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(asked), missing)
-    at = np.searchsorted(keys, asked)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == asked, values[at], missing)
-
+def seat(found: dict, lowest: int, top, seed: int) -> tuple[dict, np.ndarray]:
+    """By depth, discounted masses of the dishes and parents' weights of the restaurants, and the lowest depth's tables: a column a sample.
 
-def seat(found: dict, lowest: int, top, seed: int) -> tuple[dict, dict]:
-    """Discounted masses and parents' weights by depth, and the lowest depth's tables.
-
-    top(keys): the probabilities that the level above the lowest depth gives. Two passes:
-    the first one's seating gives the parents' probabilities that the second samples with.
+    top(keys): the probabilities that the level above the lowest depth gives. A turn seats
+    the levels from the longest contexts up, each table sending a customer to the parent,
+    then gives every level its parents' probabilities in that same seating.
     """
-    best: dict = {}
-    for run in range(2):
-        # parents' probabilities, from the lowest depth up
-        chance: dict = {}
-        for depth in range(lowest, DEPTH + 1):
-            keys, _, rest = found[depth]
-            up = top(keys) if depth == lowest else _parent(found, chance, best, depth, top, lowest)
-            chance[depth] = up
-            if best:
-                a, b = best[depth]
-                chance[depth, "own"] = a + b[rest] * up
-            else:
-                # before any seating: every dish at one table
-                n = np.bincount(rest, minlength=1)[rest] if len(rest) else np.zeros(0)
-                c = np.maximum(1, found[depth][1])
-                total = np.bincount(rest, weights=c)[rest] if len(rest) else np.zeros(0)
-                chance[depth, "own"] = (c - DISCOUNT) / (STRENGTH + total) + (STRENGTH + DISCOUNT * n) / (STRENGTH + total) * up
-        now, sent = {}, None
-        tables = None
-        for depth in range(DEPTH, lowest - 1, -1):
+    rng = np.random.default_rng(seed)
+    depths = range(lowest, DEPTH + 1)
+    at = {d: np.searchsorted(found[d - 1][0], found[d][0] & mask(d - 1)) for d in depths if d > lowest}
+    up = {lowest: top(found[lowest][0])}
+    for depth in depths:  # before any seating: every dish at one table
+        keys, own, rest = found[depth]
+        c = np.maximum(1, own)
+        total = np.bincount(rest, weights=c)[rest] if len(rest) else c
+        n = np.bincount(rest)[rest] if len(rest) else c
+        if depth < DEPTH:
+            up[depth + 1] = ((c - DISCOUNT) / (STRENGTH + total) + (STRENGTH + DISCOUNT * n) / (STRENGTH + total) * up[depth])[at[depth + 1]]
+    state: dict = {}
+    samples, sent = [], []
+    for turn in range(BURN + SAMPLES):
+        now: dict = {}
+        for depth in reversed(depths):
             keys, own, rest = found[depth]
-            customers = own.astype(np.int64)
-            if sent is not None:
-                sk, st = sent
-                at = np.searchsorted(keys, sk)
-                np.add.at(customers, at, st)
-            mean, tables = gibbs(rest, customers, chance[depth], seed + 17 * depth + run)
-            now[depth] = predictive(rest, customers, mean)
-            sent = summed(keys & mask(depth - 1), tables) if depth > lowest else None
-        best = now
-    return best, {"keys": found[lowest][0], "tables": tables}
-
-
-def _parent(found, chance, best, depth, top, lowest):
-    """The parent's probability of each dish of a depth: every open context's ending is open."""
-    keys = found[depth][0]
-    up_keys = found[depth - 1][0]
-    at = np.searchsorted(up_keys, keys & mask(depth - 1))
-    return chance[depth - 1, "own"][at]
+            customers = own if depth == DEPTH else np.bincount(at[depth + 1], weights=tables, minlength=len(keys)).astype(np.int64)
+            tables, state[depth] = gibbs(rest, customers, up[depth], rng, state.get(depth))
+            now[depth] = predictive(rest, customers, tables)
+        for depth in range(lowest, DEPTH):
+            a, b = now[depth]
+            up[depth + 1] = (a + b[found[depth][2]] * up[depth])[at[depth + 1]]
+        if turn >= BURN:
+            samples.append(now)
+            sent.append(tables)
+    best = {d: tuple(np.stack([x[d][k] for x in samples], axis=1) for k in (0, 1)) for d in depths}
+    return best, np.stack(sent, axis=1)
 
 
 def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """A read-only hash table from 64-bit keys to floats: bits, slots' keys (-1: free), slots' values.
+    """A read-only hash table from 64-bit keys to floats or rows of floats: bits, slots' keys (-1: free), slots' values.
 
     Plain arrays, so a broadcast of it needs no class on the executors.
     """
     bits = max(4, (len(keys) * 4 // 3).bit_length())
-    slots, held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+    slots, held = np.full(1 << bits, -1, np.int64), np.zeros((1 << bits, *values.shape[1:]), np.float32)
     at, todo = _slot(keys, bits), np.arange(len(keys))
     while len(todo):
         spot = at[todo]
         free = np.flatnonzero(slots[spot] == -1)
-        _, first = np.unique(spot[free], return_index=True)
-        won = todo[free[first]]
-        slots[at[won]], held[at[won]] = keys[won], values[won]
-        todo = todo[slots[at[todo]] != keys[todo]]
+        # of several keys for one slot the last one written has it
+        slots[spot[free]] = keys[todo[free]]
+        won = slots[at[todo]] == keys[todo]
+        held[at[todo[won]]] = values[todo[won]]
+        todo = todo[~won]
         at[todo] = (at[todo] + 1) & ((1 << bits) - 1)
     return bits, slots, held
 
@@ -265,7 +324,7 @@ def get(table: tuple[int, np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarr
     """The values; NaN where a key is missing."""
     bits, slots, held = table
     at = _slot(keys, bits)
-    out = np.full(len(keys), np.nan, np.float32)
+    out = np.full((len(keys), *held.shape[1:]), np.nan, np.float32)
     there = slots[at]
     hit = there == keys
     out[hit] = held[at[hit]]

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -75,8 +76,47 @@ def test_letters_spell_the_tokens():
 def test_gibbs_keeps_counts_possible():
     rest = np.array([0, 0, 0, 1])
     c = np.array([50, 1, 7, 2])
-    mean, last = py.gibbs(rest, c, np.array([0.3, 0.3, 0.4, 0.5]), 1)
-    assert (last >= 1).all() and (last <= c).all() and mean[1] == 1 and mean[2] > 1
+    tables, _ = py.gibbs(rest, c, np.array([0.3, 0.3, 0.4, 0.5]), np.random.default_rng(1))
+    assert (tables >= 1).all() and (tables <= c).all() and tables[1] == 1
+
+
+@pytest.mark.parametrize("customers", [(4, 3, 1), (20, 9, 3)])
+def test_seating_follows_the_exact_posterior(customers):
+    """All numbers of tables of one restaurant of three dishes, weighed one by one."""
+    d, s, p = py.DISCOUNT, py.STRENGTH, (0.5, 0.1, 0.2)
+    ways = {}
+
+    def way(c, t):  # seatings of c customers at t tables
+        if (c, t) not in ways:
+            ways[c, t] = float(c == t) if c * t == 0 else way(c - 1, t - 1) + (c - 1 - d * t) * way(c - 1, t)
+        return ways[c, t]
+
+    weight, mean = 0.0, np.zeros(3)
+    for t in itertools.product(*(range(1, c + 1) for c in customers)):
+        w = math.prod(way(c, k) * q**k for c, k, q in zip(customers, t, p, strict=True)) * math.prod(s + d * k for k in range(sum(t)))
+        weight, mean = weight + w, mean + w * np.array(t)
+    n = 4000
+    rng, state, got = np.random.default_rng(4), None, []
+    for turn in range(40):
+        tables, state = py.gibbs(np.repeat(np.arange(n), 3), np.tile(customers, n), np.tile(p, n), rng, state)
+        if turn >= 10:
+            got.append(tables.reshape(n, 3).mean(axis=0))
+    assert np.mean(got, axis=0) == pytest.approx(mean / weight, rel=0.02)
+
+
+def test_weights_of_seatings_equal_their_sums():
+    d = py.DISCOUNT
+    for c in (40, 90, 700):
+        log = np.full(c + 1, -np.inf)
+        log[0], t = 0.0, np.arange(1, c + 1)
+        for k in range(c):
+            with np.errstate(divide="ignore"):
+                log[1:] = np.logaddexp(log[:-1], np.log(np.maximum(0, k - d * t)) + log[1:])
+            log[0] = -np.inf
+        theta = np.array([1e-4, 0.1, 1.0, 8.0, 30.0, 200.0, 2000.0])
+        want = np.array([np.logaddexp.reduce(log[1:] + t * math.log(x)) for x in theta])
+        got = py._log_ways(np.full(len(theta), c), theta)
+        assert got - got[0] == pytest.approx(want - want[0], abs=0.02)
 
 
 def test_empty_table(spark):
@@ -93,7 +133,7 @@ def test_every_context_of_a_large_corpus_keeps_its_dishes(spark):
     from tagmill.llm.kernel import buffers
 
     want = len(np.unique(lm.letters(*buffers(pa.array(texts)))[0]))
-    rows = model["seating"].where(f"kind = {lm.DISH} and depth = {py.DEPTH}").selectExpr("sum(length(keys) / 8)").first()
+    rows = model["seating"].where(f"kind = {lm.DISH} and depth = {py.DEPTH}").selectExpr("sum(n)").first()
     assert want > 1 << 19 and rows[0] == want
 
 
@@ -113,11 +153,35 @@ def test_scores_are_the_sums_of_the_letters_chances(spark):
 def test_every_customer_of_a_dish_is_seated_again():
     # a restaurant of one dish that its parent always serves is a Chinese restaurant process
     d, s = py.DISCOUNT, py.STRENGTH
-    for c in (40, 400, 40_000):
+    for c in (50, 400, 1000, 10_000, 40_000):
         want = math.exp(math.lgamma(s + 1) - math.lgamma(s + d) + math.lgamma(s + d + c) - math.lgamma(s + c)) / d - s / d
-        n = 1500
-        mean, last = py.gibbs(np.arange(n), np.full(n, c), np.ones(n), 3)
-        assert mean.mean() == pytest.approx(want, rel=0.1) and (last >= 1).all() and (last <= c).all()
+        n, state, got = 1500, None, []
+        rng = np.random.default_rng(3)
+        for turn in range(py.BURN + py.SAMPLES):
+            tables, state = py.gibbs(np.arange(n), np.full(n, c), np.ones(n), rng, state)
+            if turn >= py.BURN:
+                got.append(tables)
+        assert np.mean(got) == pytest.approx(want, rel=0.05) and np.min(got) >= 1 and np.max(got) <= c
+
+
+def test_long_texts_come_in_sections(monkeypatch):
+    import pyarrow as pa
+
+    from tagmill.llm.kernel import buffers
+
+    r = random.Random(7)
+    texts = ["a b", "".join(r.choice(["ab ", "  ", "c\n", "é ", "Xyz "]) for _ in range(400)) + " ", None, "x" * 300 + " y", " " * 90]
+    text, offsets = buffers(pa.array(texts))
+    want = lm.letters(text, offsets)
+    for piece in (1 << 19, 64, 7):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        size, keys, tokens = np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.int64)
+        for i, j, _, n, k, width in lm.spelled(text, offsets):
+            size[i:j] += width
+            tokens[i:j] += n
+            keys.append(k)
+        assert size.tolist() == want[1].tolist() and np.concatenate(keys).tolist() == want[0].tolist()
+        assert tokens.tolist() == [len((t or "").split()) for t in texts]
 
 
 def test_tables_follow_their_conditional():
