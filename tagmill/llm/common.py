@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a few short columns that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -14,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where none is named (tests on one machine)."""
+    """The shared folder; one of our own only on a single machine (tests)."""
     sc = spark.sparkContext
     named, own = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
     if not named and own.isDefined():
         return own.get()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         named = "file://" + tempfile.gettempdir() + "/tagmill-checkpoints"

@@ -2,20 +2,22 @@
 
 A text is the sequence of its words (A-Z lower-cased) and one end; its letters are the
 bytes of the words, a blank between words, and the end (a line feed, which no word
-holds). Restaurants are contexts of up to five bytes, every one that occurs. Counts of
-all six-byte sequences of all training texts are gathered and seated: contexts that end
-with the same two bytes in one task, level by level, by Gibbs sweeps; the two levels
-above, at most 65,536 dishes, on the driver. The seating stays a table, partitioned by
-those two bytes, and grows with the text. A text's score is the sum of log10 of the
-averaged predictive probabilities of its bytes: a chunk of texts sends its distinct
-sequences to the parts of the seating, which answer with their probabilities.
-
-Base scores need each word's training count. Words are exchanged by chunk: a chunk of
-texts sends its distinct words to buckets by hash, which answer with the totals.
+holds). Restaurants are contexts of up to five bytes, every one that occurs. Chunks of
+texts hold their distinct words and six-byte sequences, with their counts in training
+texts. The sequences' sums are seated: contexts that end with the same two bytes in one
+task, all levels in turn, by Gibbs sweeps; the two levels above, at most 65,536 dishes,
+on the driver. A few seatings of the whole part are kept as samples. They stay a table,
+partitioned by those two bytes, and grow with the text. A text's score is the sum of
+log10 of its bytes' predictive probabilities, averaged over the samples: a chunk sends
+its distinct sequences to the parts of the seating, which answer with them.
+
+Base scores need each word's training count: a chunk sends its distinct words to the
+buckets by hash that it has words of, which answer with the totals.
 
 Null or empty text: only the end. A null id counts as the empty string. Rows that share
-an id are scored one by one. With no training text at all the model is uniform over
-bytes. An empty table gives no rows; further columns are ignored.
+an id are scored one by one. Long texts are worked on in sections. With no training text
+at all the model is uniform over bytes. An empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ FOLDS, HELD = 5, 1
 CHUNK, BUCKET, PENDING = 8 << 20, 1 << 21, 3 << 20
 PIECE = 1 << 19
 _END, _BLANK = 10, 32
-#: Sequences seated in a task, on average.
-SEATED = 200_000
+#: Sequences seated in a task, and chunks scored in one, on average.
+SEATED, JOINED = 200_000, 4
 #: What a row of the seating holds: masses of dishes, weights of contexts, tables by the low two bytes.
 DISH, WEIGHT, TABLES = range(3)
 
@@ -417,10 +419,12 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    parts = found.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kinds", "counts")).alias("parts"))
-    answers = answered(chunks, model).groupBy("chunk").agg(F.collect_list(F.struct("part", "seqs", "chances")).alias("answers"))
+    # as many parts as the chunks need, the same on all three sides
+    wide = max(8, chunks.count() // JOINED)
+    parts = found.repartition(wide, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kinds", "counts")).alias("parts"))
+    answers = answered(chunks, model).repartition(wide, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "seqs", "chances")).alias("answers"))
     # a chunk of documents without words has no answer of a bucket
-    rows = chunks.select("chunk", "docs", "kinds", "words", "seqs", "keys", "text").join(parts, "chunk", "left").join(answers, "chunk")
+    rows = chunks.select("chunk", "docs", "kinds", "words", "seqs", "keys", "text").repartition(wide, "chunk").join(parts, "chunk", "left").join(answers, "chunk")
     return rows.mapInArrow(finish, schema)
 
 

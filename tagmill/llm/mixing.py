@@ -5,16 +5,17 @@ Words flow from patterns to the sources' quotas; pass k over a pattern costs (k
 a word, so repeats are spread before anything is repeated more often, and no pattern is
 passed more than max_passes times. A pattern that gets t words of its s is taken
 t // s times as a whole; for the rest of t % s words documents are selected in the
-order of a seeded hash, the last few of them so that their words add up.
+order of a seeded hash, the last ones so that their words add up.
 
 The selection needs no global order: histograms over hash digits find the digit where
 the words run out, digit by digit, until no more than LEAF distinct documents of a
-pattern are left; those are fitted on the driver. Patterns (at most MAX_PATTERNS, checked),
-histograms and leaves are what reaches the driver.
+pattern are left; a task each fits those. Patterns (a run with more than max_patterns
+raises, none is dropped) and histograms of 2^DIGIT rows a pattern reach the driver.
 
 Null membership is a source of its own. Null and empty texts have size 0 and are taken
 as often as their place in the order says, which takes no words. Rows of one document
-id are selected together. An empty table gives no rows; further columns pass through.
+id are selected together. An empty table gives no rows; further columns pass through,
+but for one named copies, which the result replaces.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import WORD, table
+from tagmill.llm.common import MAX_BROADCAST_ROWS, WORD, saved, table
 
 MAX_PASSES = 3
 SEED = 20240607
-MAX_PATTERNS = 20_000
-LEAF, POOL = 2000, 64
+MAX_PATTERNS = 1 << 17
+LEAF = 2000
 DIGIT, DIGITS = 10, 6
 
 
@@ -57,8 +59,9 @@ def targets(sizes: dict, weights: dict, total: float, max_passes: int = MAX_PASS
 def min_cost_flow(patterns: dict, quotas: dict, max_passes: int = MAX_PASSES) -> dict:
     """Words of each (pattern, source): patterns is {key: (members, size)}, quotas {source: words}.
 
-    Successive shortest paths with potentials over pass arcs (capacity size, cost
-    (k - 1)^2), membership arcs (free) and quota arcs.
+    Pass arcs (capacity size, cost (k - 1)^2), membership arcs (free) and quota arcs;
+    primal-dual: as there are few different costs, few rounds of distances are needed, and
+    each sends all that goes along arcs of no reduced cost in blocking flows.
     """
     ids: dict = {}
     node = lambda x: ids.setdefault(x, len(ids))
@@ -89,7 +92,6 @@ def min_cost_flow(patterns: dict, quotas: dict, max_passes: int = MAX_PASSES) ->
     height = [0] * len(graph)
     while True:
         far = [float("inf")] * len(graph)
-        via = [-1] * len(graph)
         far[start], heap = 0, [(0, start)]
         while heap:
             d, a = heapq.heappop(heap)
@@ -97,93 +99,120 @@ def min_cost_flow(patterns: dict, quotas: dict, max_passes: int = MAX_PASSES) ->
                 continue
             for e in graph[a]:
                 if cap[e] and (n := d + cost[e] + height[a] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], via[to[e]] = n, e
+                    far[to[e]] = n
                     heapq.heappush(heap, (n, to[e]))
         if far[end] == float("inf"):
             break
-        height = [h + (f if f < float("inf") else far[end]) for h, f in zip(height, far, strict=True)]
-        path, at = [], end
-        while at != start:
-            path.append(via[at])
-            at = to[via[at] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+        height = [h + min(f, far[end]) for h, f in zip(height, far, strict=True)]
+        free = lambda a, e: cap[e] and cost[e] + height[a] == height[to[e]]  # noqa: E731, B023
+        while True:
+            depth, queue = {start: 0}, [start]
+            for a in queue:
+                for e in graph[a]:
+                    if to[e] not in depth and free(a, e):
+                        depth[to[e]] = depth[a] + 1
+                        queue.append(to[e])
+            if end not in depth:
+                break
+            turn, path, at = [0] * len(graph), [], start
+            while True:
+                if at == end:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    path, at = [], start
+                    continue
+                while turn[at] < len(graph[at]):
+                    e = graph[at][turn[at]]
+                    if depth.get(to[e], -1) == depth[at] + 1 and free(at, e):
+                        break
+                    turn[at] += 1
+                if turn[at] < len(graph[at]):
+                    path.append(graph[at][turn[at]])
+                    at = to[path[-1]]
+                elif path:
+                    at = to[path.pop() ^ 1]
+                    turn[at] += 1
+                else:
+                    break
     return {k: cap[e ^ 1] for k, e in member.items() if cap[e ^ 1]}
 
 
-def _fit(rows: list, left: int) -> list:
-    """Of (hash, id, size), ids whose sizes add up to as near left as their seeded order allows.
+def fitted(sizes: np.ndarray, left: int) -> np.ndarray:
+    """Which documents, in their seeded order, to take so that their sizes come near left.
 
-    In that order documents are taken until one does not fit; the last of those taken and
-    the next ones after make a pool of POOL documents, of which the subset is chosen that
-    comes nearest (reachable sums as the bits of one number), with early ones preferred.
+    They are taken one after the other while they fit, then whichever later ones still fit;
+    then, as long as the sum comes nearer, one is added, dropped or exchanged.
     """
-    rows = sorted(rows, key=lambda r: (r[0], str(r[1])))
-    at = 0
-    while at < len(rows) and rows[at][2] <= left:
-        left -= rows[at][2]
-        at += 1
-    first = max(0, at - POOL // 4)
-    left += sum(r[2] for r in rows[first:at])
-    pool = rows[first : first + POOL]
-    reach = [1]
-    for _, _, size in pool:
-        reach.append(reach[-1] | reach[-1] << size)
-    below = (reach[-1] & (1 << left + 1) - 1).bit_length() - 1
-    above = reach[-1] >> left + 1
-    best = below
-    if above and (over := (above & -above).bit_length()) < left - below:
-        best = left + over
-    out = [r[1] for r in rows[:first]]
-    for k in range(len(pool), 0, -1):
-        size = pool[k - 1][2]
-        if size == 0:
-            if first + k - 1 < at:
-                out.append(pool[k - 1][1])
-        elif not reach[k - 1] >> best & 1:
-            out.append(pool[k - 1][1])
-            best -= size
-    return out
+    taken = np.cumsum(sizes) <= left
+    left -= int(sizes[taken].sum())
+    for k in np.flatnonzero(~taken & (sizes > 0)):
+        if sizes[k] <= left:
+            taken[k] = True
+            left -= int(sizes[k])
+    while left:
+        gone, new = (np.append(0, np.unique(sizes[x & (sizes > 0)])) for x in (taken, ~taken))
+        at = np.searchsorted(new, gone + left)
+        pairs = [(abs(left + int(a) - int(b)), int(a), int(b)) for k in (0, 1) for a, b in zip(gone, new[np.clip(at - k, 0, len(new) - 1)], strict=True)]
+        least, a, b = min(pairs)
+        if least >= abs(left):
+            break
+        if a:
+            taken[np.flatnonzero(taken & (sizes == a))[-1]] = False
+        if b:
+            taken[np.flatnonzero(~taken & (sizes == b))[0]] = True
+        left += a - b
+    return taken
+
 
+def _fit(rows: pa.Table) -> pa.Table:
+    """Of a pattern's rows (pattern, _id, _h, w, _rest), those taken."""
+    ids = rows.column("_id").to_pylist()
+    order = np.array(sorted(range(len(ids)), key=lambda k: (rows.column("_h")[k].as_py(), str(ids[k]))), np.int64)
+    sizes = rows.column("w").to_numpy().astype(np.int64)[order]
+    kept = order[fitted(sizes, rows.column("_rest")[0].as_py())]
+    return rows.select(["pattern", "_id"]).take(pa.array(kept)).rename_columns(["_p", "_doc"])
 
-def mix(df: DataFrame, id_col: str, size: Column, members: Column, weights, max_passes: int = MAX_PASSES, seed: int = SEED, share: float = 1.0):
-    """(df with pattern, size and copies, {source: size}, {source: target}).
+
+def mix(df: DataFrame, id_col: str, size: Column, members: Column, weights, max_passes: int = MAX_PASSES, seed: int = SEED, share: float = 1.0, max_patterns: int = MAX_PATTERNS):
+    """(df with copies, {source: size}, {source: target}).
 
     weights: from the list of sources (code point order, null last) to {source: weight}.
     """
-    spark = df.sparkSession
-    marked = df.withColumn("size", size).withColumn("pattern", F.to_json(F.array_sort(F.array_distinct(members))))
-    marked = marked.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - DIGIT * DIGITS))
-    light = marked.select(F.col(id_col).alias("_id"), "size", "pattern", "_h").persist(StorageLevel.DISK_ONLY)
-    found = light.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError("more membership patterns than MAX_PATTERNS")
+    spark, names = df.sparkSession, df.columns
+    pattern = F.to_json(F.array_sort(F.array_distinct(members)))
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - DIGIT * DIGITS)
+    marked = df.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(id_col).alias("_id"), size.alias("size"), pattern.alias("pattern"), key.alias("_h"))
+    light = saved(spark, marked.select("_id", "size", "pattern", "_h"), "patterns")
+    found = light.groupBy("pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_patterns + 1).collect()
+    if len(found) > max_patterns:
+        raise ValueError(f"more than {max_patterns} membership patterns")
     # a null pattern is a null array: no source at all, so never taken
     groups = {r.pattern: (json.loads(r.pattern), r["size"]) for r in found if r.pattern is not None}
     sizes: dict = {}
-    for names, words in groups.values():
-        for s in names:
+    for sources, words in groups.values():
+        for s in sources:
             sizes[s] = sizes.get(s, 0) + words
     ordered = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     total = sum(r["size"] for r in found) * share
     goal = targets({s: sizes[s] for s in ordered}, weights(ordered), total, max_passes)
     flow = min_cost_flow(groups, {s: round(w) for s, w in goal.items()}, max_passes)
     taken: dict = {}
-    for (key, _), words in flow.items():
-        taken[key] = taken.get(key, 0) + words
+    for (p, _), words in flow.items():
+        taken[p] = taken.get(p, 0) + words
 
-    whole, cut, picked = {}, {}, []
+    whole, cut = {}, {}
     counts = {r.pattern: r.n for r in found}
-    open_, leaves = {}, {}
-    for key, (_, words) in groups.items():
-        t = taken.get(key, 0)
-        whole[key], rest = divmod(t, words) if words else (0, 0)
-        cut[key] = 0
-        if rest:
-            (open_ if counts[key] > LEAF else leaves)[key] = (0, rest)
-    id_type = light.schema["_id"].dataType.simpleString()
+    open_, leaves = {}, []
+    for p, (_, words) in groups.items():
+        t = taken.get(p, 0)
+        whole[p], rest = divmod(t, words) if words else (0, 0)
+        cut[p] = 0
+        if rest and counts[p] > LEAF:
+            open_[p] = (0, rest)
+        elif rest:
+            leaves.append((p, 0, 1 << DIGIT * DIGITS, rest))
     for digit in range(DIGITS):
         if not open_:
             break
@@ -191,35 +220,35 @@ def mix(df: DataFrame, id_col: str, size: Column, members: Column, weights, max_
         now = spark.createDataFrame([(k, lo) for k, (lo, _) in open_.items()], "pattern string, _lo long")
         inside = light.join(F.broadcast(now), "pattern").where(f"shiftright(_h, {shift + DIGIT}) = shiftright(_lo, {shift + DIGIT})")
         sums: dict = {}
-        for r in inside.groupBy("pattern", F.expr(f"shiftright(_h, {shift})").alias("b")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():
+        for r in inside.groupBy("pattern", F.expr(f"shiftright(_h, {shift})").alias("b")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).toLocalIterator():
             sums.setdefault(r.pattern, []).append((r.b, r.w, r.n))
         still = {}
-        for key, buckets in sums.items():
-            rest = open_[key][1]
+        for p, buckets in sums.items():
+            rest = open_[p][1]
             for b, words, n in sorted(buckets):
                 if words > rest:
-                    cut[key] = b << shift
-                    (leaves if n <= LEAF or digit == DIGITS - 1 else still)[key] = (b << shift, rest, shift)
+                    cut[p] = b << shift
+                    if n <= LEAF or digit == DIGITS - 1:
+                        leaves.append((p, b << shift, (b + 1) << shift, rest))
+                    else:
+                        still[p] = (b << shift, rest)
                     break
                 rest -= words
             else:
-                cut[key] = 1 << DIGIT * DIGITS
-        open_ = {k: v[:2] for k, v in still.items()}
-    if leaves:
-        ends = [(k, v[0], v[0] + (1 << (v[2] if len(v) > 2 else DIGIT * DIGITS))) for k, v in leaves.items()]
-        now = spark.createDataFrame(ends, "pattern string, _lo long, _hi long")
-        rows: dict = {}
-        for r in light.join(F.broadcast(now), "pattern").where("_h >= _lo and _h < _hi").groupBy("pattern", "_id", "_h").agg(F.sum("size").alias("w")).collect():
-            rows.setdefault(r.pattern, []).append((r._h, r._id, r.w))
-        for key, v in leaves.items():
-            picked += [(key, doc) for doc in _fit(rows.get(key, []), v[1])]
-    plan = spark.createDataFrame([(k, int(whole[k]), int(cut[k])) for k in groups], "pattern string, _whole long, _cut long")
-    chosen = spark.createDataFrame(picked, f"_p string, _doc {id_type}").withColumn("_in", F.lit(1))
-    out = marked.join(F.broadcast(plan), "pattern", "left")
-    out = out.join(F.broadcast(chosen), F.col("pattern").eqNullSafe(F.col("_p")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+                cut[p] = 1 << DIGIT * DIGITS
+        open_ = still
+    now = spark.createDataFrame(leaves, "pattern string, _lo long, _hi long, _rest long")
+    ends = light.join(F.broadcast(now), "pattern").where("_h >= _lo and _h < _hi").groupBy("pattern", "_id", "_h", "_rest").agg(F.sum("size").alias("w"))
+    id_type = light.schema["_id"].dataType.simpleString()
+    chosen = saved(spark, ends.groupBy("pattern").applyInArrow(_fit, f"_p string, _doc {id_type}"), "chosen").withColumn("_in", F.lit(1))
+    if chosen.count() <= MAX_BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    plan = spark.createDataFrame([(p, int(whole[p]), int(cut[p])) for p in groups], "pattern string, _whole long, _cut long")
+    out = marked.join(F.broadcast(plan), "pattern", "left")  # max_patterns rows
+    out = out.join(chosen, F.col("pattern").eqNullSafe(F.col("_p")) & F.col("_id").eqNullSafe(F.col("_doc")), "left")
     extra = F.when((F.col("_h") < F.col("_cut")) | F.col("_in").isNotNull(), 1).otherwise(0)
-    out = out.withColumn("copies", F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("long"))
-    return out.drop("_h", "_whole", "_cut", "_p", "_doc", "_in"), sizes, goal
+    copies = F.coalesce(F.col("_whole") + extra, F.lit(0)).cast("long").alias("copies")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c != "copies"), copies), sizes, goal
 
 
 def repeating(pattern=(5, 2, 1)):
@@ -227,11 +256,11 @@ def repeating(pattern=(5, 2, 1)):
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").withColumn("size", n_words(F.col("text"))).drop("text")
+    docs = saved(spark, table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     mixed, sizes, goal = mix(docs, "doc_id", F.col("size"), F.array("source"), repeating())
     per = spark.createDataFrame([(s, int(sizes[s]), float(goal[s])) for s in sizes], "_s string, source_size long, target double")
     out = mixed.join(F.broadcast(per), F.col("source").eqNullSafe(F.col("_s")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,44 @@ def test_overlapping_sources_share_documents(spark):
     assert {(r.doc_id < 50, r.copies) for r in out.collect()} == {(True, 1), (False, 1)}
 
 
+def test_fitted_comes_nearest_with_memory_for_sizes_alone():
+    import numpy as np
+
+    r = random.Random(8)
+    for _ in range(200):
+        sizes = np.array([r.choice([0, 1, 5, 40, 300, 9000, 10**12]) for _ in range(r.randint(1, 12))], np.int64)
+        left = r.randint(0, int(sizes.sum()))
+        taken = mixing.fitted(sizes, left)
+        off = abs(int(sizes[taken].sum()) - left)
+        # no single document added, dropped or exchanged comes nearer
+        for k in range(len(sizes)):
+            other = taken.copy()
+            other[k] = ~other[k]
+            assert abs(int(sizes[other].sum()) - left) >= off
+            for j in range(k):
+                swap = other.copy()
+                swap[j] = ~swap[j]
+                assert taken[j] == taken[k] or abs(int(sizes[swap].sum()) - left) >= off
+
+
+def test_many_patterns_flow_in_time():
+    import time
+
+    names = [f"s{k}" for k in range(14)]
+    r = random.Random(6)
+    patterns = {k: ([names[b] for b in range(14) if k >> b & 1], r.randint(1, 10**9)) for k in range(1, 1 << 13)}
+    began = time.time()
+    flow = mixing.min_cost_flow(patterns, {s: 10**11 * (k % 5 + 1) for k, s in enumerate(names)})
+    assert time.time() - began < 60 and sum(flow.values()) > 0
+
+
+def test_columns_pass_through_under_any_name(spark):
+    df = spark.createDataFrame([(k, 10, "a", f"p{k}", 7, -k, f"x{k}") for k in range(30)], "doc_id long, n long, source string, pattern string, size int, _h long, c0 string")
+    out, _, _ = mixing.mix(df, "doc_id", F.col("n"), F.array("source"), mixing.repeating())
+    assert out.columns == [*df.columns, "copies"]
+    assert sorted(map(tuple, out.drop("copies").collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_odd_tables(spark):
     assert mixed(spark, [])[0] == []
     out, sizes, _ = mixed(spark, [(None, 5, None, "q"), (None, 5, None, "q"), (1, 0, "a", None), (1, 0, "a", None)])
