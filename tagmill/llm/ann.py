@@ -25,15 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagmill.llm.common import saved, table
+from tagmill.llm.common import MAX_BROADCAST_ROWS, saved, table
 from tagmill.llm.vectors import CHUNK, asked, distinct, matrix, ranked, usable
 
 M, SURE, SAMPLE, LEAF = 8, 0.98, 16384, 64
 K, EVERY = 5, 50
 #: Rows of a cell; beyond MAX_CELLS cells, which bounds what the tree's broadcast holds, cells grow.
 CELL, MAX_CELLS = 4096, 1 << 14
-#: A cell of more rows than this is salted into several blocks.
-MAX_BLOCK = 16384
+#: A cell of more rows than this is salted into several blocks; distances of queries to boxes in memory at once.
+MAX_BLOCK, ROUTED = 16384, 1 << 20
 _SPARE = 4
 
 
@@ -200,18 +200,15 @@ def nearest(df: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
             if len(f):
                 yield f.assign(cell=descend(np.array(f["p"].tolist(), float), plan.value).astype(np.int32))
 
-    placed = candidates.mapInPandas(into_cells, T.StructType([*candidates.schema, T.StructField("cell", T.IntegerType())]))
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
-    salted = placed.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vid"), F.ceil(F.col("n") / MAX_BLOCK).cast("int")).cast("int")).drop("n")
-    held = saved(spark, salted, "cells")
-    box = held.groupBy("dim", "cell", "salt").agg(F.array(*(F.min(F.col("p")[j]) for j in range(M))).alias("low"), F.array(*(F.max(F.col("p")[j]) for j in range(M))).alias("high"))
-    # at most MAX_CELLS cells, of which only those of more than MAX_BLOCK rows have several blocks
-    boxes = box.toPandas().sort_values(["dim", "cell", "salt"])
-    known = spark.sparkContext.broadcast({int(d): (g["cell"].to_numpy(), g["salt"].to_numpy(), np.array(g["low"].tolist()), np.array(g["high"].tolist())) for d, g in boxes.groupby("dim")})
-    vids = queries.select("vid").distinct()
-    m = vids.count()
-    chunks = max(1, -(-m // CHUNK))
-    ask = held.join(vids, "vid", "left_semi").select("vid", "dim", "vec", "p", F.col("cell").alias("home"), F.pmod(F.xxhash64("vid"), F.lit(chunks)).cast("int").alias("chunk"))
+    placed = saved(spark, candidates.mapInPandas(into_cells, T.StructType([*candidates.schema, T.StructField("cell", T.IntegerType())])), "cells")
+    box = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.array(*(F.min(F.col("p")[j]) for j in range(M))).alias("low"), F.array(*(F.max(F.col("p")[j]) for j in range(M))).alias("high"))
+    # at most MAX_CELLS cells for each length of vectors, whatever the number of rows
+    boxes = box.limit(MAX_BROADCAST_ROWS + 1).toPandas().sort_values(["dim", "cell"])
+    if len(boxes) > MAX_BROADCAST_ROWS:
+        raise ValueError("vectors of too many different lengths")
+    known = spark.sparkContext.broadcast({int(d): (g["cell"].to_numpy(), np.array(g["low"].tolist()), np.array(g["high"].tolist())) for d, g in boxes.groupby("dim")})
+    salts = spark.createDataFrame([(int(d), int(c), -(-int(n) // MAX_BLOCK)) for d, c, n in zip(boxes["dim"], boxes["cell"], boxes["n"], strict=True)], "dim int, cell int, salts int")
+    ask = placed.join(queries.select("vid").distinct(), "vid", "left_semi").select("vid", "dim", "vec", "p", F.col("cell").alias("home"))
 
     def routes(home: bool):
         def run(frames):
@@ -219,22 +216,32 @@ def nearest(df: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
             for f in frames:
                 for d, own in f.groupby("dim"):
-                    cell, salt, low, high = known.value[int(d)]
-                    here = own["home"].to_numpy()[:, None] == cell[None, :]
-                    p = np.array(own["p"].tolist(), float)
-                    go = here if home else ~here & ~enough(gaps(p, low, high), own["far"].to_numpy(float)[:, None])
-                    i, j = np.nonzero(go)
-                    yield pd.DataFrame({"vid": own["vid"].to_numpy()[i], "dim": int(d), "vec": own["vec"].to_numpy()[i], "far": own["far"].to_numpy(float)[i], "chunk": own["chunk"].to_numpy()[i], "cell": cell[j], "salt": salt[j]})
+                    cell, low, high = known.value[int(d)]
+                    step = max(1, ROUTED // len(cell))
+                    for k in range(0, len(own), step):
+                        some = own.iloc[k : k + step]
+                        go = some["home"].to_numpy()[:, None] == cell[None, :]
+                        far = some["far"].to_numpy(float)
+                        if not home:
+                            go = ~go & ~enough(gaps(np.array(some["p"].tolist(), float), low, high), far[:, None])
+                        i, j = np.nonzero(go)
+                        yield pd.DataFrame({"vid": some["vid"].to_numpy()[i], "dim": int(d), "vec": some["vec"].to_numpy()[i], "far": far[i], "cell": cell[j]})
 
         return run
 
-    shape = "vid long, dim int, vec binary, far double, chunk int, cell int, salt int"
     key = ["dim", "cell", "salt", "chunk"]
-    blocks = held.select("vid", "dim", "vec", "ids", "cell", "salt", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
 
     def round_(asking: DataFrame, home: bool) -> DataFrame:
-        routed = asking.mapInPandas(routes(home), shape)
-        return routed.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(_search(k + 1), "qid long, ids array<long>, score double")
+        """Each cell's queries, in chunks, meet its blocks; cells that no query is routed to are not read."""
+        routed = saved(spark, asking.mapInPandas(routes(home), "vid long, dim int, vec binary, far double, cell int"), "routed")
+        each = routed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).join(F.broadcast(salts), ["dim", "cell"])
+        each = F.broadcast(each)  # a row a cell
+        asked_ = routed.join(each, ["dim", "cell"]).withColumn("chunk", part("chunks")).withColumn("salt", numbers("salts"))
+        blocks = placed.select("vid", "dim", "vec", "ids", "cell").join(each, ["dim", "cell"]).withColumn("salt", part("salts")).withColumn("chunk", numbers("chunks"))
+        sides = asked_.select("vid", "vec", "far", *key), blocks.select("vid", "vec", "ids", *key)
+        return sides[0].groupBy(*key).cogroup(sides[1].groupBy(*key)).applyInPandas(_search(k + 1), "qid long, ids array<long>, score double")
 
     first = saved(spark, round_(ask.withColumn("far", F.lit(float("inf"))), True), "round1")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))

@@ -7,7 +7,8 @@ placement is one lookup, shares differ by at most one slot, and a shard that lea
 moves few keys besides its own.
 
 Null keys count as the empty string. Equal keys share a shard. An empty table gives no
-rows; further columns pass through.
+rows; further columns pass through, but for those named key_hash, slot or shard, which
+the result's own replace (the key may be one of them).
 """
 
 from __future__ import annotations
@@ -65,8 +66,8 @@ def assign(df: DataFrame, key: str, names: list[str], size: int = TABLE_SIZE) ->
     owner = lookup_table(names, size)
     spark = df.sparkSession
     slots = spark.createDataFrame([(i, int(k)) for i, k in enumerate(owner)], "slot long, shard int")
-    placed = df.drop("key_hash", "slot", "shard").withColumn("key_hash", key_hash(F.col(key)))
-    placed = placed.withColumn("slot", F.col("key_hash") % F.lit(size))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("key_hash", "slot", "shard")]
+    placed = df.select(*kept, key_hash(F.col(f"`{key}`")).alias("key_hash")).withColumn("slot", F.col("key_hash") % F.lit(size))
     return placed.join(F.broadcast(slots), "slot")
 
 

@@ -33,13 +33,25 @@ _AT_ONCE = 256
 
 
 def _dots(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Exact inner products."""
+    """Exact inner products; beyond doubles' exact range Python integers, for the rows that reach there."""
     if not q.shape[1]:
         return np.zeros((len(q), len(r)))
-    if float(np.abs(q).max(initial=0)) * float(np.abs(r).max(initial=0)) * q.shape[1] < 2**53:
+    most = [np.abs(x).max(axis=1, initial=0) for x in (q, r)]
+    small = [most[0] * most[1].max(initial=0) * q.shape[1] < 2**53, most[1] * most[0].max(initial=0) * q.shape[1] < 2**53]
+    if small[0].all() or small[1].all():
         return q @ r.T
-    whole = [[int(x) for x in row] for row in r]
-    return np.array([[sum(int(a) * b for a, b in zip(x, y, strict=True)) for y in whole] for x in q], dtype=object).reshape(len(q), len(r))
+    # two rows that stay small with themselves do so with each other
+    limit = (2**53 / q.shape[1]) ** 0.5
+    small = [x < limit for x in most]
+    whole = [np.frompyfunc(int, 1, 1)(x) for x in (q, r)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.empty((len(q), len(r)), dtype=object)
+        a, b = (np.flatnonzero(x) for x in small)
+        out[np.ix_(a, b)] = np.frompyfunc(int, 1, 1)(q[a] @ r[b].T) if len(a) and len(b) else 0
+    for rows, cols in ((np.flatnonzero(~small[0]), np.arange(len(r))), (a, np.flatnonzero(~small[1]))):
+        if len(rows) and len(cols):
+            out[np.ix_(rows, cols)] = whole[0][rows] @ whole[1][cols].T
+    return out
 
 
 def parts_of(q: np.ndarray, r: np.ndarray) -> list[np.ndarray]:

@@ -13,6 +13,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import hot_join
+
 #: Candidates of a block and queries of a chunk, as compared at once.
 BLOCK, CHUNK = 2048, 8192
 
@@ -49,7 +51,6 @@ def usable(df: DataFrame, floors: bool, zero: bool) -> DataFrame:
             vec = [x[b - n : b].tobytes() for b, n in zip(ends[at].tolist(), size[at].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(size[at].astype(np.int32)), pa.array(vec, pa.binary())], ["vec_id", "dim", "vec"])
 
-
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return rows.mapInArrow(run, "vec_id long, dim int, vec binary")
 
@@ -64,13 +65,13 @@ def distinct(rows: DataFrame, k: int) -> DataFrame:
 def asked(rows: DataFrame, candidates: DataFrame, every: int) -> DataFrame:
     """query_id and the vid of its vector, for ids divisible by every."""
     own = rows.where(F.col("vec_id") % every == 0).distinct()
-    return own.join(candidates.select("vec", "vid"), "vec").select(F.col("vec_id").alias("query_id"), "vid")
+    return hot_join(own, candidates.select("vec", "vid"), ["vec"]).select(F.col("vec_id").alias("query_id"), "vid")
 
 
 def ranked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score from (qid, ids, score) per query vector and candidate."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), F.col("ids")[0])
-    found = found.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
-    rows = queries.join(found, queries["vid"] == found["qid"]).where("vec_id <> query_id")
+    found = found.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= k + 1).select(F.col("qid").alias("vid"), "score", F.explode("ids").alias("vec_id"))
+    rows = hot_join(queries, found, ["vid"]).where("vec_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

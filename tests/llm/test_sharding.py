@@ -43,3 +43,11 @@ def test_odd_keys(spark):
     df = spark.createDataFrame([(None, 1), ("", 2), ("a", 3), ("a", 4)], "k string, shard long")
     got = {r.key_hash: r.shard for r in S.assign(df, "k", S.shard_names(3), 31).collect()}
     assert len(got) == 2 and S.assign(df.limit(0), "k", S.shard_names(3), 31).count() == 0
+
+
+def test_columns_of_the_result_replace_others(spark):
+    df = spark.createDataFrame([("a", "b", "c", 5)], "slot string, `x.y` string, key_hash string, n int")
+    out = S.assign(df, "key_hash", S.shard_names(3), 31)
+    row = out.first()
+    assert sorted(out.columns) == ["key_hash", "n", "shard", "slot", "x.y"] and (row["x.y"], row.n) == ("b", 5)
+    assert row.key_hash == S.assign(spark.createDataFrame([("c",)], "k string"), "k", S.shard_names(3), 31).first().key_hash
