@@ -9,8 +9,9 @@ The slices between boundaries are merged by rank, with a cache; long slices by a
 
 The slices are those of the pattern
 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
-and special tokens are ordinary text. Null text is empty: no ids. An empty table gives
-no rows; further columns pass through.
+and special tokens are ordinary text. Long texts are worked on in parts that begin at a
+blank between two other characters, where a slice always begins. Null text is empty: no
+ids. An empty table gives no rows; further columns pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from tagmill.llm.common import small_batches, table
 from tagmill.llm.kernel import buffers
 
-#: Characters that array code works on at once; a longer document is worked on alone.
+#: Characters that array code works on at once; a longer document is worked on in parts.
 CHARS = 1 << 19
 #: Slices kept in the merge cache of a task before a batch; slices up to LONGEST bytes merge side by side.
 CACHE, LONGEST = 200_000, 64
@@ -335,6 +336,12 @@ def encoder(ranks: dict, classes: np.ndarray):
     merges, tables = Merges(ranks), automaton()
 
     def encode(texts: list[str]):
+        if len(texts) == 1 and len(texts[0]) > CHARS:
+            ids = np.concatenate([whole([part])[0] for part in parted(texts[0], classes)])
+            return ids, np.array([len(ids)])
+        return whole(texts)
+
+    def whole(texts: list[str]):
         if not any(texts):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         at, rows = boundaries(texts, classes, tables)
@@ -346,6 +353,20 @@ def encoder(ranks: dict, classes: np.ndarray):
     return encode
 
 
+def parted(text: str, classes: np.ndarray):
+    """Parts of CHARS characters or a little more; the text up to its end where no blank stands between two other characters."""
+    at = 0
+    while len(text) - at > CHARS:
+        cut = text.find(" ", at + CHARS)
+        while cut > 0 and not (cut + 1 < len(text) and classes[ord(text[cut - 1])] != 3 != classes[ord(text[cut + 1])]):
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def _batches(batch: pa.RecordBatch, name: str):
     column = batch.column(name)
     n = np.asarray(pa.compute.utf8_length(column.fill_null("")))

@@ -48,14 +48,16 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 10_000, 1000
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """left joined to right by keys that may be hot in left, and have few rows in right.
 
     Keys of more than a HOT_KEYS-th of left's rows (and of HOT_ROWS), so fewer than
     HOT_KEYS of them, are joined by a broadcast where the rows lie; the others by a shuffle.
+    hot: those keys, where they are known.
     """
-    least = max(HOT_ROWS, left.count() // HOT_KEYS)
-    hot = saved(left.sparkSession, left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys), "hot")
+    if hot is None:
+        least = max(HOT_ROWS, left.count() // HOT_KEYS)
+        hot = saved(left.sparkSession, left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > least).select(*keys), "hot")
     if hot.isEmpty():
         return left.join(right, keys, how)
     here = left.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), keys, "left_semi")), keys, how)

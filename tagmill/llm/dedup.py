@@ -10,11 +10,14 @@ the full sets. Buckets whose other members still fall into several components ar
 compared exhaustively, on full sets, in blocks; only links that join components come
 out of a block. Components are found by alternating large and small stars.
 
-At the threshold a pair shares no band with probability under one in a million;
-all that shares a band is decided exactly.
+At the threshold a pair shares no band with probability under one in a million, and one
+that does is set aside by an estimate more than five standard deviations too low with
+less; all others that share a band are decided on the full sets.
 
 Null or empty text, or text without words: empty set, linked with nothing. Rows that
-share an id are one document; a null id belongs to no group and is kept. An empty table
+share an id are one document: of different texts the one whose set has the smallest
+fingerprint (with words, if any has) stands for it, and every row keeps its own
+n_shingles. A null id belongs to no group and is kept. An empty table
 gives no rows; further columns are ignored (stage_dedup passes them through).
 """
 
@@ -27,12 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagmill.llm import dedup_kernel as kernel
-from tagmill.llm.common import LOWER, UPPER, checkpoint_dir, saved, small_batches, table
+from tagmill.llm.common import HOT_KEYS, HOT_ROWS, LOWER, MAX_BROADCAST_ROWS, UPPER, checkpoint_dir, hot_join, saved, small_batches, table
 from tagmill.llm.kernel import buffers, pieces
 
 WIDTH, PERCENT = 3, 85
-#: A set of ids up to this many rows may be broadcast (8 bytes each); more are joined by a shuffle.
-MAX_BROADCAST_IDS = 1 << 20
 #: Rows and shingles of one side of a block comparison.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 _COLUMNS = 2048
@@ -68,17 +69,18 @@ def signatures(docs: DataFrame, width: int, rows: int = kernel.ROWS) -> DataFram
 
 
 def shingles(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its set as array<bigint>."""
-    schema = docs.select("doc_id").schema.add("shingles", T.ArrayType(T.LongType()))
+    """doc_id, f1 and f2 (the set's fingerprint) and the set as array<bigint>."""
+    schema = docs.select("doc_id").schema.add("f1", "long").add("f2", "long").add("shingles", T.ArrayType(T.LongType()))
 
     def run(batches):
         for batch in batches:
             text, offsets = buffers(batch.column("text"))
             for i, j in pieces(offsets):
                 sets = kernel.shingle_sets(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                prints = np.array([kernel.fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(prints[:, 0]), pa.array(prints[:, 1]), lists], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -124,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids (distinct)."""
-    small = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    small = ids.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
@@ -208,17 +210,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = saved(spark, signatures(docs, width, kernel.rows_for(percent)), "signatures")
+    rows = kernel.rows_for(percent)
+    marked = saved(spark, signatures(docs, width, rows), "signatures")
     light = marked.select("doc_id", "n_shingles", "f1", "f2")
-    classes = light.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    own = F.struct((F.col("n_shingles") == 0).alias("empty"), "f1", "f2")
+    twice = light.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias("text"), F.max(own).alias("other")).where("text <> other")
+    twice = saved(spark, twice.select("doc_id", "text"), "texts")
+    if not twice.isEmpty():
+        # every row of such an id goes by the text that stands for it
+        light = light.join(twice, "doc_id", "left")
+        light = light.select("doc_id", "n_shingles", *(F.coalesce(F.col("text")[f], F.col(f)).alias(f) for f in ("f1", "f2")))
+    classes = light.where("doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")).where(f"f1 <> {kernel.EMPTY[0]} or f2 <> {kernel.EMPTY[1]}")
     classes = saved(spark, classes, "classes")
-    reps = marked.join(classes, (marked["doc_id"] == classes["rep"]) & (marked["f1"] == classes["f1"]) & (marked["f2"] == classes["f2"]), "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
+    reps = marked.join(classes, (marked["doc_id"] == classes["rep"]) & (marked["f1"] == classes["f1"]) & (marked["f2"] == classes["f2"]), "left_semi").dropDuplicates(["doc_id"])
     reps = saved(spark, reps, "representatives")
 
     banded = reps.select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    buckets = saved(spark, banded.join(buckets, "key").where("doc_id <> hub"), "buckets")
-    low = reps.select("doc_id", "n_shingles", "low").dropDuplicates(["doc_id"])
+    buckets = saved(spark, banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1"), "hubs")
+    hot = buckets.where(F.col("c") > max(HOT_ROWS, reps.count() * (kernel.MINIMA // rows) // HOT_KEYS)).select("key")
+    buckets = saved(spark, hot_join(banded, buckets, ["key"], hot=hot).where("doc_id <> hub"), "buckets")
+    low = reps.select("doc_id", "n_shingles", "low")
     star = buckets.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(low.toDF("a", "na", "la"), "a").join(low.toDF("b", "nb", "lb"), "b")
     sure = percent / 100
@@ -226,7 +237,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     star = star.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate(F.col("la"), F.col("lb")) >= sure - 5 * spread))
     star = saved(spark, star.select("a", "b"), "pairs")
     needed = star.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(buckets.where("c > 2").select("doc_id")).distinct()
-    sets = saved(spark, shingles(chosen(docs, needed), width).dropDuplicates(["doc_id"]), "sets")
+    sets = shingles(chosen(docs, needed), width)
+    if not twice.isEmpty():
+        sets = sets.join(reps.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
+    sets = saved(spark, sets.drop("f1", "f2").dropDuplicates(["doc_id"]), "sets")
     links = saved(spark, confirmed(star, sets, percent), "links")
 
     labels = components(links)
@@ -237,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     labels = components(links.unionByName(saved(spark, more, "rest")))
 
     out = light.join(classes, ["f1", "f2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "rep")).otherwise(F.col("doc_id"))
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", known.alias("component_id"))
 
 
@@ -251,7 +265,7 @@ def stage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, 5, 80)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     gone = saved(spark, gone, "dropped")
-    small = gone.count() <= MAX_BROADCAST_IDS
+    small = gone.count() <= MAX_BROADCAST_ROWS
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     again = saved(spark, again, "repeated")

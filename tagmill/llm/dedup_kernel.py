@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tagmill.llm.kernel import mix64, seeded, word_hashes, words
+from tagmill.llm.kernel import distinct, mix64, sections, seeded, word_hashes, words
 
 #: Minima of a signature, low bits kept of each, rows of a band.
 MINIMA, BITS, ROWS = 128, 4, 5
@@ -17,12 +17,13 @@ _MIX = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(
 def shingle_sets(text: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each row; a row of fewer words is one shingle."""
     n = len(offsets) - 1
-    starts, lengths, row = words(text, offsets)
-    if not len(starts):
-        return [np.zeros(0, np.uint64)] * n
+    hashes, count = [np.zeros(0, np.uint64)], np.zeros(n, np.int64)
+    for i, j, a, b, first, last in sections(text, offsets):
+        starts, lengths, row = words(text[a:b], offsets[i : j + 1] - a if first and last else np.array([0, b - a]))
+        hashes.append(word_hashes(text[a:b], starts, lengths))
+        count[i:j] += np.bincount(row, minlength=j - i)
+    h = np.concatenate(hashes)
     with np.errstate(over="ignore"):
-        h = word_hashes(text, starts, lengths)
-        count = np.bincount(row, minlength=n)
         ends = np.cumsum(count)
         whole = h * _MIX[0] + np.uint64(1)
         for k in range(1, width):
@@ -31,7 +32,7 @@ def shingle_sets(text: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
         out = []
         for first, last in zip((ends - count).tolist(), ends.tolist(), strict=True):
             if last - first >= width:
-                out.append(np.unique(whole[first : last - width + 1]))
+                out.append(distinct(whole[first : last - width + 1]))
             elif last > first:
                 one = np.uint64(last - first)
                 for x in h[first:last]:
@@ -82,3 +83,7 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
         a = mix64(shingles ^ _MIX[0]).sum(dtype=np.uint64)
         b = mix64(shingles + _MIX[1]).sum(dtype=np.uint64)
     return int(a.astype(np.int64)), int(b.astype(np.int64))
+
+
+#: The fingerprint of the empty set.
+EMPTY = fingerprint(np.zeros(0, np.uint64))

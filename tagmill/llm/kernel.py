@@ -67,12 +67,13 @@ def pieces(offsets: np.ndarray, limit: int = PIECE):
         i = min(j, n)
 
 
-def sections(text: np.ndarray, offsets: np.ndarray, limit: int = PIECE):
+def sections(text: np.ndarray, offsets: np.ndarray, limit: int | None = None):
     """(i, j, a, b, first, last): whole rows i to j and their bytes a to b, or a part of one longer row.
 
     Parts begin where a word begins after white space, so no word is cut (a single word
     longer than the limit stays whole); first and last: the row's first and last part.
     """
+    limit = limit or PIECE
     for i, j in pieces(offsets, limit):
         a, b, first = int(offsets[i]), int(offsets[j]), True
         while b - a > limit and (cut := _word_start(text, a + limit, b)) is not None:

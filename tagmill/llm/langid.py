@@ -9,13 +9,15 @@ false positives its filter's fill lets expect; the largest corrected count decid
 (ties: the first language in code point order), and its share of the n-grams is the
 score.
 
-The filters are fitted on at most SAMPLE labelled documents a language, those of the
-smallest hashes of their ids, read as whole texts; of these, a language keeps its GRAMS
-most frequent n-grams that are no less than RATIO as frequent there as in any other.
+The filters are fitted on at most SAMPLE labelled rows a language, those of the smallest
+hashes of their ids, read as whole texts (of rows that share an id, the smallest text);
+of these, a language keeps its GRAMS or so most frequent n-grams (of those tied at the
+end, a share by hash) that are no less than RATIO as frequent there as in any other.
+Any number of languages; each takes 64 KB of the driver and of the broadcast.
 
 Null text, or text without a letter: `und`, score 0. With no labelled documents at all,
-every text is `und`. A null id counts as the empty string. An empty table gives no rows;
-further columns are ignored.
+every text is `und`. A null id counts as the empty string. Long texts are worked on in
+sections. An empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import small_batches, table
-from tagmill.llm.kernel import buffers, mix64, pieces
+from tagmill.llm.common import MAX_BROADCAST_ROWS, saved, small_batches, table
+from tagmill.llm.kernel import buffers, mix64, sections
 
 SAMPLE = 1500
 GRAMS = 20_000
 RATIO = 0.5
 SLOTS = 1 << 19
-MAX_LANGUAGES = 128
 #: In the pipeline: documents whose best language holds a smaller share of their n-grams go.
 LEAST_SCORE = 0.3
 
@@ -69,27 +70,35 @@ def slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     return tuple(((h >> np.uint64(s)) & least).astype(np.int64) for s in (0, 21, 42))
 
 
+def bitmap(keys: np.ndarray, size: int) -> np.ndarray:
+    bits = np.zeros(size, dtype=bool)
+    for at in slots(keys, size):
+        bits[at] = True
+    return bits
+
+
 def fit_filter(chosen: dict[str, np.ndarray], size: int = SLOTS) -> dict:
     """chosen: the keys of each language."""
-    names = sorted(chosen)
+    return sliced({name: bitmap(keys, size) for name, keys in chosen.items()}, size)
+
+
+def sliced(maps: dict[str, np.ndarray], size: int = SLOTS) -> dict:
+    """The bit-sliced filter of all languages' own bits."""
+    names = sorted(maps)
     planes = np.zeros((max(1, -(-len(names) // 64)), size), dtype=np.uint64)
     fill = np.zeros(len(names))
     for k, name in enumerate(names):
-        bits = np.zeros(size, dtype=bool)
-        for s in slots(chosen[name], size):
-            bits[s] = True
-        planes[k // 64] |= bits.astype(np.uint64) << np.uint64(k % 64)
-        fill[k] = bits.mean()
+        planes[k // 64] |= maps[name].astype(np.uint64) << np.uint64(k % 64)
+        fill[k] = maps[name].mean()
     if len(names) <= 8:
         planes = planes.astype(np.uint8)
     return {"names": names, "planes": planes, "wrong": fill**3, "size": size}
 
 
-def predict_batch(model: dict, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the language and score for each row."""
+def tally(model: dict, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contained n-grams by language and row, and all n-grams of each row."""
     n, names = len(offsets) - 1, model["names"]
     keys, row = grams(text, offsets)
-    total = np.bincount(row, minlength=n)
     at = slots(keys, model["size"])
     held = np.zeros((len(names), n))
     for p, plane in enumerate(model["planes"]):
@@ -102,6 +111,17 @@ def predict_batch(model: dict, text: np.ndarray, offsets: np.ndarray) -> tuple[n
         else:
             for k in own:
                 held[k] = np.bincount(row, weights=((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(float), minlength=n)
+    return held, np.bincount(row, minlength=n)
+
+
+def predict_batch(model: dict, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the language and score for each row."""
+    n = len(offsets) - 1
+    held, total = np.zeros((len(model["names"]), n)), np.zeros(n, np.int64)
+    for i, j, a, b, first, last in sections(text, offsets):
+        some, all_ = tally(model, text[a:b], offsets[i : j + 1] - a if first and last else np.array([0, b - a]))
+        held[:, i:j] += some
+        total[i:j] += all_
     wrong = model["wrong"][:, None]
     held = np.maximum(0, (held - total * wrong) / np.maximum(1e-9, 1 - wrong))
     best = held.argmax(axis=0)
@@ -115,8 +135,8 @@ def _count(batches):
         text, offsets = buffers(batch.column("text"))
         label = {x: k for k, x in enumerate(sorted(set(names)))}
         codes = np.array([label[x] for x in names], dtype=np.int64)
-        for i, j in pieces(offsets):
-            keys, row = grams(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        for i, j, a, b, first, last in sections(text, offsets):
+            keys, row = grams(text[a:b], offsets[i : j + 1] - a if first and last else np.array([0, b - a]))
             lang = codes[i:j][row]
             for name, k in label.items():
                 found, n = np.unique(keys[lang == k], return_counts=True)
@@ -132,21 +152,33 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = GRAMS, ratio: flo
     """A filter from labelled rows (doc_id, text, lang)."""
     spark = labelled.sparkSession
     small_batches(spark)
-    known = labelled.where(F.col("lang").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = known.select("doc_id", "lang").withColumn("_k", place).where(F.col("_k") <= sample).select("doc_id", "lang").distinct()
-    names = [r.lang for r in drawn.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError("more languages than MAX_LANGUAGES")
-    # at most SAMPLE ids a language, so this side is small whatever the table's size
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    known = labelled.where(F.col("lang").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "lang", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    drawn = saved(spark, known.select("id", "lang").withColumn("_k", place).where(F.col("_k") <= sample).select("id", "lang").distinct(), "drawn")
+    few = drawn.count() <= MAX_BROADCAST_ROWS  # at most SAMPLE ids a language
+    texts = known.join(F.broadcast(drawn) if few else drawn, ["id", "lang"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = saved(spark, counts, "grams")
+    # where a language's n-grams are cut, from the numbers of n-grams by count
+    by_count = counts.groupBy("lang", "n").agg(F.count("*").alias("c"))
     per = Window.partitionBy("lang")
-    top = counts.withColumn("all", F.sum("n").over(per)).withColumn("k", F.row_number().over(per.orderBy(F.desc("n"), "gram"))).where(F.col("k") <= kept)
-    rows = top.toPandas()
-    rows["rate"] = rows["n"] / rows["all"]
-    rows = rows[rows["rate"] >= ratio * rows.groupby("gram")["rate"].transform("max")]
-    return fit_filter({x: rows.loc[rows["lang"] == x, "gram"].to_numpy().astype(np.uint64) for x in sorted(names)})
+    above = F.coalesce(F.sum("c").over(per.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = by_count.withColumn("above", above).withColumn("all", F.sum(F.col("n") * F.col("c")).over(per)).where(F.col("above") < kept)
+    ends = ends.groupBy("lang").agg(F.min("n").alias("least"), F.min_by((F.lit(kept) - F.col("above")) / F.col("c"), "n").alias("share"), F.max("all").alias("all"))
+    chance = F.xxhash64("gram").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
+    top = counts.join(ends, "lang").where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (chance < F.col("share"))))
+    top = top.select("lang", "gram", (F.col("n") / F.col("all")).alias("rate"))
+    most = top.groupBy("gram").agg(F.max("rate").alias("most"))
+    chosen = top.join(most, "gram").where(F.col("rate") >= ratio * F.col("most"))
+
+    def pack(frame):
+        import pandas as pd
+
+        bits = np.packbits(bitmap(frame["gram"].to_numpy().astype(np.uint64), SLOTS)).tobytes()
+        return pd.DataFrame({"lang": frame["lang"].iloc[:1], "bits": [bits]})
+
+    maps = chosen.select("lang", "gram").groupBy("lang").applyInPandas(pack, "lang string, bits binary").toLocalIterator()
+    return sliced({r["lang"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in maps})
 
 
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
@@ -163,8 +195,7 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id") -> DataFrame:
             has = batch.column("_letter").to_numpy(zero_copy_only=False)
             best, score = np.zeros(len(has), dtype=np.int64), np.zeros(len(has))
             if model["names"]:
-                for i, j in pieces(offsets):
-                    best[i:j], score[i:j] = predict_batch(model, text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                best, score = predict_batch(model, text, offsets)
             ok = has & bool(model["names"])
             names = np.array([*model["names"], "und"], dtype=object)
             lang = names[np.where(ok, best, len(names) - 1)]
@@ -186,7 +217,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_langid(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages."""
+    """Documents in one of the learned languages, whose n-grams it contains by LEAST_SCORE or more."""
     names = docs.columns
     renamed = docs.toDF(*[f"c{k}" for k in range(len(names))])
     at = {x: f"c{k}" for k, x in enumerate(names)}

@@ -62,3 +62,15 @@ def test_frames(spark, reference):
         ends = [*r.offsets[1:], len(text.encode())]
         assert [text.encode()[a:b] for a, b in zip(r.offsets, ends, strict=True)] == [reference.decode_single_token_bytes(i) for i in r.ids]
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
+
+
+def test_long_texts_come_in_parts(reference, classes, monkeypatch):
+    r = random.Random(3)
+    pieces = ["a", "b ", " c", "  ", "\n", " '", "s ", "7 ", " !", "é ", "　", " 　", "don't "]
+    for size in (5, 40, 4000):
+        monkeypatch.setattr(bpe, "CHARS", size)
+        for _ in range(60):
+            text = "".join(r.choice(pieces) for _ in range(300)) + r.choice(["", " ", "x"])
+            ids, n = bpe.encoder(RANKS, classes)([text])
+            assert ids.tolist() == reference.encode_ordinary(text) and n.tolist() == [len(ids)]
+            assert "".join(bpe.parted(text, classes)) == text

@@ -91,3 +91,34 @@ def test_bands_follow_the_threshold():
     assert (kernel.rows_for(85), kernel.rows_for(80)) == (5, 4)
     least = np.arange(kernel.MINIMA, dtype=np.uint64)[None]
     assert kernel.band_keys(least, kernel.rows_for(80)).shape == (1, 32) and kernel.band_keys(least).shape == (1, 25)
+
+
+def test_texts_of_one_id(spark):
+    """Which of an id's texts stands for it does not depend on the order of rows."""
+    words = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*words[:k], "other", *words[k + 1 :]])
+    rows = [(1, near(0)), (2, near(2)), (2, "quite another text with words of its own"), (3, near(59)), (4, ""), (4, "x y z"), (5, "x y z"), (2, None)]
+    out = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        got = dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(4), 3, 85).collect()
+        out.append(sorted({(r.doc_id, r.n_shingles, r.component_id) for r in got}))
+        assert len(got) == len(rows)
+    assert out[0] == out[1] == out[2]
+    assert {c for d, _, c in out[0] if d == 2} in ({1}, {2}) and {c for d, _, c in out[0] if d in (4, 5)} == {4}
+
+
+def test_hot_buckets_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(dedup, "HOT_KEYS", 10**6)
+    rows = corpus(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_long_texts_come_in_sections(spark, monkeypatch):
+    from tagmill.llm import kernel
+
+    monkeypatch.setattr(kernel, "PIECE", 60)
+    rows = corpus(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85)

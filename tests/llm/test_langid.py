@@ -57,3 +57,65 @@ def test_stage_keeps_clean_documents(spark):
     junk = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "0101 ---", "en", "s", 8)], docs.schema)
     out = L.stage_langid(spark, docs.unionByName(junk), "")
     assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def brute_force(rows, learned):
+    """Every step one by one: counts, shares, filters as sets of slots, look-ups, correction."""
+    from collections import Counter
+
+    key = lambda g: np.uint64(int.from_bytes(g, "little") | (len(g) == 4) << 40)
+    places = lambda g: [int(x[0]) for x in L.slots(np.array([key(g)], np.uint64), L.SLOTS)]
+    counts: dict = {}
+    for _, text, lang in learned:
+        counts.setdefault(lang, Counter()).update(brute_grams(text or ""))
+    rate = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in counts.items()}
+    filters = {la: {p for g, r in own.items() if r >= L.RATIO * max(x.get(g, 0) for x in rate.values()) for p in places(g)} for la, own in rate.items()}
+    out = {}
+    for doc, text, _ in rows:
+        found = brute_grams(text or "")
+        best = ("und", 0.0)
+        if any(c.isalpha() for c in text or ""):
+            scores = []
+            for la in sorted(filters):
+                wrong = (len(filters[la]) / L.SLOTS) ** 3
+                held = sum(all(p in filters[la] for p in places(g)) for g in found)
+                scores.append((-max(0, (held - len(found) * wrong) / (1 - wrong)), la))
+            least, la = min(scores)
+            best = (la, min(1.0, -least / max(1, len(found))))
+        out[doc] = best
+    return out
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    import random
+
+    from tagmill.llm import kernel
+
+    monkeypatch.setattr(kernel, "PIECE", 200)
+    r = random.Random(5)
+    words = {"a": ["the", "cat", "and", "dog", "of"], "b": ["le", "chat", "et", "chien", "of"], "c": ["der", "hund", "und", "katze", "ünd"]}
+    rows = [(k, r.choice([" ", "\n"]).join(r.choice(words[la]) for _ in range(r.choice([1, 3, 30, 200]))), la) for k, la in enumerate("abc" * 12)]
+    mixed = [(100 + k, " ".join(r.choice(words[r.choice("abc")]) for _ in range(9)), None) for k in range(20)]
+    rows += [*mixed, (200, None, "a"), (201, "", None), (202, "12", "b"), (203, "the le", None), (204, "zzz", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: (x.lang_pred, x.score) for x in L.predict(df, L.fit(df)).collect()}
+    want = brute_force(rows, [x for x in rows if x[2] is not None])
+    assert {d: la for d, (la, _) in got.items()} == {d: la for d, (la, _) in want.items()}
+    assert all(abs(got[d][1] - want[d][1]) < 1e-9 for d in got)
+
+
+def test_repeated_and_null_ids_are_learned_from_once(spark):
+    rows = [(None, "the cat", "a")] * 3 + [(7, "le chien", "b"), (7, "zz chien", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [x.lang_pred for x in L.predict(spark.createDataFrame([(1, "the cat"), (2, "le chien")], "doc_id long, text string"), L.fit(df)).orderBy("doc_id").collect()]
+    assert got == ["a", "b"]
+
+
+def test_cut_keeps_about_as_many_grams_as_asked(spark):
+    import random
+
+    r = random.Random(1)
+    text = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3000))
+    model = L.fit(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, lang string"), kept=2000)
+    bits = int(model["planes"][0].sum())
+    assert 0.9 * 3 * 2000 < bits < 1.1 * 3 * 2000
