@@ -1,6 +1,7 @@
 """The corpus pipeline: each stage applies one operator to all that the stage before kept.
 
-1. language ID: documents without a learned language go;
+1. language ID: documents without a learned language go, and those whose best language holds
+   less than LEAST_SCORE (0.3) of their n-grams;
 2. MinHash near-dedup: one document of each group of near copies stays;
 3. mixing sources to target weights: documents the mix leaves out go, repeated ones repeat;
 4. byte-level BPE: the ids' count and digest, and the digest of what they decode to.
