@@ -131,3 +131,19 @@ def human_duration(seconds: Column) -> Column:
     h, m, r = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     return F.when(h > 0, F.concat(h.cast("string"), F.lit(":"), two(m), F.lit(":"), two(r))).otherwise(F.concat(m.cast("string"), F.lit(":"), two(r)))
+
+
+def pack_ids(ids: Column) -> Column:
+    """Distinct ids, ascending, as unsigned 32-bit little-endian numbers in a row."""
+    hexed = lambda x: F.lpad(F.hex(x.cast("long")), 8, "0")
+    turned = lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    return F.unhex(F.array_join(F.transform(F.array_sort(F.array_distinct(ids)), lambda x: turned(hexed(x))), ""))
+
+
+def unpack_ids(packed: Column) -> Column:
+    """The ids of packed ones; null: none; a length that is no multiple of four raises."""
+    size = F.coalesce(F.length(packed), F.lit(0))
+    turned = lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    every = F.filter(F.sequence(F.lit(0), F.greatest(size / 4 - 1, F.lit(0)).cast("int")), lambda k: k * 4 < size)
+    ids = F.transform(every, lambda k: F.conv(turned(F.hex(packed.substr(k * 4 + 1, F.lit(4)))), 16, 10).cast("long"))
+    return F.when(size % 4 != 0, F.raise_error(F.lit("packed ids must have a length divisible by 4")).cast("array<bigint>")).otherwise(ids)

@@ -13,9 +13,9 @@ CODES = (
     "GROUP_DEPTH_EXCEEDED GROUP_SPACING_INVALID UNCLOSED_GROUP UNEXPECTED_CLOSE_GROUP TERM_LIMIT_EXCEEDED "
     "POSITIVE_WILDCARD_LIMIT_EXCEEDED STATUS_TILDE_UNSUPPORTED STATUS_SCOPE_CONFLICT WILDCARD_TILDE_NOT_EXPANDED "
     "WILDCARD_RESULTS_TRUNCATED IMPLICIT_DELETED_FILTER_SUPPRESSED AUXILIARY_DATA_REQUIRED PERMISSION_GATED_FEATURE "
-    "BLACKLIST_PROFILE_UNSUPPORTED COMPATIBILITY_AMBIGUITY UNSUPPORTED_LOOSE_OR_METATAG UNSUPPORTED_NEGATED_OPTION "
-    "OPTION_IN_LOOSE_OR_BUCKET DUPLICATE_QUERY_OPTION OPTION_VALUE_IGNORED NULL_POLICY_APPLIED MALFORMED_QUOTED_VALUE "
-    "VALUE_LIST_UNSUPPORTED RANGE_UNSUPPORTED DIRECTIVE_POLICY_VIOLATION UNRESOLVED_EXTERNAL_DEPENDENCY"
+    "BLACKLIST_PROFILE_UNSUPPORTED COMPATIBILITY_AMBIGUITY "
+    "OPTION_IN_LOOSE_OR_BUCKET MALFORMED_QUOTED_VALUE "
+    "UNRESOLVED_EXTERNAL_DEPENDENCY"
 ).split()
 
 

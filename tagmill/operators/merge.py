@@ -56,6 +56,12 @@ def conflicting_hashes(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count_distinct(value).alias("kinds"), F.min(value).alias("first")).where("kinds > 1")
 
 
+def collisions(staged: DataFrame, stored: DataFrame, key: str, value: str) -> DataFrame:
+    """Staged keys that are stored with another value: key, value, stored."""
+    known = stored.select(F.col(key), F.col(value).alias("stored"))
+    return staged.select(key, value).distinct().join(known, key).where(F.col("stored") != F.col(value))
+
+
 def merge_candidates(first: DataFrame, second: DataFrame, key: str = "post_id") -> DataFrame:
     """Ids of both lists, each once, the first list's before the second's (columns: id, position)."""
     both = first.withColumn("_list", F.lit(0)).unionByName(second.withColumn("_list", F.lit(1)))

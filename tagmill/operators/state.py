@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; one of our own only where none is named."""
+    """Checkpoint in the cluster's shared folder; one of our own only on a single machine (tests)."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             named = "file://" + tempfile.gettempdir() + "/tagmill-checkpoints"

@@ -11,6 +11,8 @@ from tagmill.functions import scalars as S
 from tagmill.operators.state import cut
 
 HOPS = 16
+#: Names of a closure that reach the driver; a larger one stays a table.
+MAX_NAMES = 10_000
 
 
 def latest_aliases(aliases: DataFrame) -> DataFrame:
@@ -42,14 +44,13 @@ def canonical_aliases(aliases: DataFrame, hops: int = HOPS) -> DataFrame:
 def closure(implications: DataFrame) -> DataFrame:
     """antecedent, consequent, depth (shortest): all that each tag implies; cycles end, no tag implies itself."""
     edges = cut(implications.where(F.col("status") == "active").select("antecedent", "consequent").where("antecedent <> consequent").distinct())
-    found = edges.withColumn("depth", F.lit(1))
-    front, depth = found, 1
+    front = edges.withColumn("depth", F.lit(1))
+    found, depth, steps = front, 1, edges.toDF("_mid", "consequent")
     while not front.isEmpty():
         depth += 1
-        onward = front.select("antecedent", F.col("consequent").alias("_mid")).join(edges.toDF("_mid", "consequent"), "_mid")
-        fresh = onward.where("antecedent <> consequent").select("antecedent", "consequent").distinct()
-        front = cut(fresh.join(found, ["antecedent", "consequent"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = cut(found.unionByName(front))
+        onward = front.select("antecedent", F.col("consequent").alias("_mid")).join(steps, "_mid").where("antecedent <> consequent")
+        front = cut(onward.select("antecedent", "consequent").distinct().join(found, ["antecedent", "consequent"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = found.unionByName(front)  # of checkpointed parts
     return found
 
 
@@ -75,6 +76,17 @@ def unresolved(edges: DataFrame, tags: DataFrame) -> DataFrame:
     return left.unionByName(right).distinct()
 
 
+def ids_of(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """name, tag_id of the names (name) that are known tags."""
+    return names.select(S.normal_tag(F.col("name")).alias("name")).distinct().join(tags.select("name", "tag_id"), "name")
+
+
+def packed_tags(post_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """post_id, tag_ids: the ids of each post's tags, packed."""
+    rows = post_tags.join(tags.select("name", "tag_id"), post_tags["tag"] == tags["name"])
+    return rows.groupBy("post_id").agg(S.pack_ids(F.collect_set("tag_id")).alias("tag_ids"))
+
+
 def tags_of_posts(post_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """post_id, category, names (sorted) of each post's known tags."""
     rows = post_tags.join(tags, post_tags["tag"] == tags["name"])
@@ -94,6 +106,7 @@ class TagGraph:
     def __init__(self, tags: DataFrame, aliases: DataFrame, implications: DataFrame):
         self.tags, self.aliases, self.implications = tags, aliases, implications
         self._names: dict[str, list[str]] = {}
+        self._own: dict[str, str] = {}
 
     @cached_property
     def canonical(self) -> DataFrame:
@@ -109,15 +122,36 @@ class TagGraph:
         target = row.canonical if row else name
         return target, not self.tags.where(F.col("name") == target).isEmpty()
 
+    def prefetch(self, names: list[str]) -> None:
+        """Closures of all the names by one job; of a name that more than MAX_NAMES imply, only that it is so."""
+        todo = sorted(set(names) - self._names.keys())
+        if not todo:
+            return
+        asked = F.broadcast(self.tags.sparkSession.createDataFrame([(n,) for n in todo], "name string"))
+        own = F.coalesce("canonical", "name").alias("own")
+        targets = self.canonical.join(asked, F.col("antecedent") == F.col("name"), "right").select("name", own)
+        below = self.closed.join(F.broadcast(targets), F.col("consequent") == F.col("own"), "right").select("name", "own", "antecedent")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("antecedent"))
+        found: dict[str, set] = {}
+        for r in below.withColumn("_k", place).where(F.col("_k") <= MAX_NAMES + 1).collect():
+            found.setdefault(r["name"], {r.own}).update({r.antecedent} - {None})
+            self._own[r["name"]] = r.own
+        self._names |= {n: sorted(x) for n, x in found.items()}
+
     def closure(self, name: str) -> list[str]:
-        """The tag itself and all that imply it."""
-        if name not in self._names:
-            target, known = self.resolve(name)
-            own = target if known or target != name else name
-            more = [r.antecedent for r in self.closed.where(F.col("consequent") == own).select("antecedent").collect()]
-            self._names[name] = sorted({own, *more})
+        """The tag itself and all that imply it (up to MAX_NAMES and one more)."""
+        self.prefetch([name])
         return self._names[name]
 
+    def many(self, name: str) -> str | None:
+        """The canonical name of a tag that more than MAX_NAMES others imply."""
+        return self._own[name] if len(self.closure(name)) > MAX_NAMES else None
+
+    def names_below(self, own: str) -> DataFrame:
+        """The tag itself and all that imply it, as rows (tag, lower-cased)."""
+        below = self.closed.where(F.col("consequent") == own).select(F.lower("antecedent").alias("tag"))
+        return below.unionByName(below.sparkSession.createDataFrame([(own.lower(),)], "tag string"))
+
     def expand(self, glob: str, limit: int) -> tuple[list[str], bool]:
         names = [r.name for r in expand(self.tags, glob, limit).select("name").collect()]
         return names[:limit], len(names) > limit

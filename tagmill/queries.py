@@ -12,13 +12,12 @@ from tagmill.operators import merge
 from tagmill.operators import tags as T
 from tagmill.plans.compile import search
 from tagmill.plans.explain import explain
-from tagmill.sources import export, snapshot
+from tagmill.sources import export, sidecars, snapshot
 from tagmill.sources.star import ALIASES, IMPLICATIONS, POSTS_SQL, Star
 from tagmill.streaming import events as streams
-from tagmill.streaming import jobs
+from tagmill.streaming import files, jobs, pages
 
 NOW = datetime(2001, 8, 1)
-#: Queries named ..._all run over whole tables what the one of the plain name runs on a subset.
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -87,6 +86,8 @@ found("height_lt", "height:<30", "height < 30")
 found("tagcount", "tagcount:8..12", "(SELECT count(DISTINCT tag) FROM ptags t WHERE t.post_id = posts.post_id) BETWEEN 8 AND 12")
 found("cat_tagcount", "gentags:3", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'general') = 3")
 found("cat_tagcount_zero", "lortags:0 arttags:<2", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'artist') < 2")
+found("cat_tagcount_meta", "metatags:1..2 spectags:>=1", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'meta') BETWEEN 1 AND 2 AND (SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'species') >= 1")
+found("cat_tagcount_none", "chartags:0 copytags:0 conttags:0 invtags:0 -arttags:0", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'artist') > 0")
 found("mpixels", "mpixels:0.005..0.02", "CAST(width AS DOUBLE) * height / 1e6 BETWEEN 0.005 AND 0.02")
 found("ratio", "ratio:2.5..3.5", "ratio BETWEEN 250 AND 350")
 found("ratio_pair", "ratio:5:2", "ratio = 250")
@@ -105,6 +106,10 @@ found("date_month_range", "date:1997-01-01..1997-01-31", "created_at >= DATE '19
 found("date_open", "date:2001-01-01..", "created_at >= DATE '2001-01-01'")
 found("date_relative", "date:5_yestermonths_ago", "created_at >= DATE '2001-03-01' AND created_at < DATE '2001-04-01'")
 found("date_year_to_month", "date:year..month", "created_at >= DATE '2000-08-01' AND created_at < TIMESTAMP '2001-08-01 00:00:00.000001'")
+found("date_today", "date:..today -date:..2001-07-01", "created_at < DATE '2001-08-02' AND NOT created_at < DATE '2001-07-02'")
+found("date_yesteryear", "date:yesteryear", "created_at >= DATE '2000-01-01' AND created_at < DATE '2001-01-01'")
+found("date_weeks_ago", "date:40_weeks_ago..30_weeks_ago", "created_at >= DATE '2000-10-25' AND created_at < DATE '2001-01-04'")
+found("date_reversed", "date:1998-05-01..1998-04-20", "created_at >= DATE '1998-04-20' AND created_at < DATE '1998-05-02'")
 found("date_yesterweek", "date:yesterweek", "created_at >= DATE '2001-07-23' AND created_at < DATE '2001-07-30'")
 # text
 found("source_contains", "source:*example.com*", "contains(lower(url), 'example.com')")
@@ -126,6 +131,7 @@ found("child_none", "child:none", "child_count = 0")
 found("locked_rating", "locked:rating", "rating_locked")
 found("locked_not", "-locked:rating", "NOT rating_locked")
 found("notelocked", "notelocked:false", "NOT note_locked")
+found("statuslocked", "statuslocked:true", "status_locked")
 found("artverified", "artverified:true", "artist_verified")
 found("pending_replacements", "pending_replacements:true", "pending_replacements")
 found("deleted_default", "rating:q", "rating = 'q'")
@@ -139,6 +145,9 @@ found("status_in_group", "status:any ( ~( status:pending ) ~( status:flagged ) )
 found("user_name", "user:Customer#000000005", "uploader_id IN (SELECT c_custkey FROM customer WHERE lower(c_name) = 'customer#000000005')")
 found("user_id", "user_id:17", "uploader_id = 17")
 found("user_bang", "user:!17", "uploader_id = 17")
+found("approver_id", "approver:!5", "approver_id = 5")
+found("approver_name", "approver:Customer#000000007 -rating:s", "approver_id IN (SELECT c_custkey FROM customer WHERE lower(c_name) = 'customer#000000007') AND rating <> 's'")
+found("user_name_or", "~user:Customer#000000005 ~score:>450", "uploader_id IN (SELECT c_custkey FROM customer WHERE lower(c_name) = 'customer#000000005') OR score > 450")
 found("user_me", "user:me", "uploader_id = 21", viewer=21)
 found("commenter", "commenter:!5", event("view", "user_id = 5"))
 found("commenter_or", "~commenter:!5 ~score:>400", f"{event('view', 'user_id = 5')} OR score > 400")
@@ -169,7 +178,15 @@ ranked("order_filesize_asc", "order:filesize_asc filesize:>0", "file_size ASC NU
 ranked("order_gentags", "order:gentags", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'general') DESC, post_id DESC")
 ranked("order_md5", "order:md5", "md5 DESC, post_id DESC")
 ranked("order_comment", "order:comment", "(SELECT max(ts) FROM events WHERE event_type = 'view' AND event_id = posts.post_id) DESC NULLS LAST, post_id DESC")
-ranked("order_random_seeded", "order:random randseed:123", "(post_id * 2654435761 + 123) % 4294967296, post_id")
+ranked("order_random_seeded", "order:random randseed:123", "md5(post_id || ':123'), post_id")
+ranked("order_random_unseeded", "order:random", "md5(post_id || ':0'), post_id")
+ranked("order_mpixels", "order:mpixels width:>0", "CAST(width AS DOUBLE) * height / 1e6 DESC, post_id DESC", "width > 0")
+ranked("order_change", "order:change", "created_at DESC, post_id DESC")
+ranked("order_updated_asc", "order:updated_asc", "created_at ASC, post_id")
+ranked("order_note", "order:note", "(SELECT max(ts) FROM events WHERE event_type = 'signup' AND event_id = posts.post_id) DESC NULLS LAST, post_id DESC")
+ranked("order_comment_bumped", "order:comment_bumped", "(SELECT max(ts) FROM events WHERE event_type = 'view' AND value >= 100 AND event_id = posts.post_id) DESC NULLS LAST, post_id DESC")
+ranked("order_spectags_asc", "order:spectags_asc", "(SELECT count(*) FROM ptags t WHERE t.post_id = posts.post_id AND category = 'species') ASC, post_id")
+ranked("order_landscape", "order:landscape width:>0", "ratio DESC, post_id DESC", "width > 0")
 ranked("order_limit", "order:favcount limit:5", "favcount DESC, post_id DESC", limit=5)
 
 
@@ -222,14 +239,7 @@ def _expand(spark, d):
     return T.expand(Star(spark, d).tags(), "*r*", 4).select("name", "post_count")
 
 
-@keyed("implied_membership", sql("""SELECT DISTINCT post_id, t.tag FROM (SELECT post_id, tag FROM ptags WHERE category = 'species' UNION ALL
-SELECT post_id, c.b FROM ptags JOIN (VALUES ('bolt', 'fastener'), ('rod', 'fastener'), ('bolt', 'hardware'), ('rod', 'hardware'), ('gear', 'hardware'), ('fastener', 'hardware')) c(a, b) ON tag = c.a WHERE category = 'species') t"""))
-def _implied(spark, d):
-    star = Star(spark, d)
-    return T.implied_membership(star.post_tags().where("category = 'species'"), T.closure(star.implications()))
-
-
-@keyed("implied_membership_all", sql("""SELECT DISTINCT post_id, t.tag FROM (SELECT post_id, tag FROM ptags UNION ALL
+@keyed("implied_membership", sql("""SELECT DISTINCT post_id, t.tag FROM (SELECT post_id, tag FROM ptags UNION ALL
 SELECT post_id, c.b FROM ptags JOIN (VALUES ('bolt', 'fastener'), ('rod', 'fastener'), ('bolt', 'hardware'), ('rod', 'hardware'), ('gear', 'hardware'), ('fastener', 'hardware')) c(a, b) ON tag = c.a) t"""))
 def _implied_all(spark, d):
     star = Star(spark, d)
@@ -249,7 +259,97 @@ def _unresolved(spark, d):
     return T.unresolved(star.aliases().select("antecedent", "consequent"), star.tags())
 
 
+# a tag graph made from the customers: two ways on from every tag, cycles, inactive edges, ties
+_GRAPH = """RECURSIVE e AS (SELECT DISTINCT 't' || (c_custkey % 300) AS a, 't' || ((c_custkey % 300) * 2 + 1 + CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 0 END) % 300 AS b FROM customer WHERE c_custkey % 11 <> 0),
+c(a, b, depth) AS (SELECT a, b, 1 FROM e WHERE a <> b UNION SELECT c.a, e.b, depth + 1 FROM c JOIN e ON c.b = e.a AND e.a <> e.b WHERE depth < 40),
+closed AS (SELECT a, b, CAST(min(depth) AS INTEGER) AS depth FROM c WHERE a <> b GROUP BY a, b),
+tags AS (SELECT 't' || (c_custkey % 300) AS name, count(*) AS post_count FROM customer GROUP BY 1)"""
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tags, aliases, implications."""
+    k = F.col("c_custkey")
+    rows = Star(spark, d).table("customer").select(k, (k % 300).alias("t"), (k % 200).alias("a"))
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    tags = rows.groupBy(name("t", F.col("t")).alias("name")).agg(F.count("*").alias("post_count"))
+    onward = (F.col("t") * 2 + 1 + F.when(k % 7 == 0, 5).otherwise(0)) % 300
+    status = F.when(k % 11 == 0, "deleted").otherwise("active").alias("status")
+    implications = rows.select(name("t", F.col("t")).alias("antecedent"), name("t", onward).alias("consequent"), status)
+    when = F.when(k % 5 > 0, F.timestamp_seconds(k % 5 * 3600)).alias("updated_at")
+    aliases = rows.select(name("a", F.col("a")).alias("antecedent"), name("a", (F.col("a") * 3 + 1 + k % 2) % 200).alias("consequent"), status, when)
+    return tags, aliases, implications
+
+
+@keyed("closure_cycles", f"WITH {_GRAPH} SELECT a AS antecedent, b AS consequent, depth FROM closed")
+def _closure_cycles(spark, d):
+    return T.closure(_graph(spark, d)[2])
+
+
+@keyed("closure_ancestors", f"WITH {_GRAPH} SELECT row_number() OVER (ORDER BY depth, post_count DESC, name) AS place, name, depth, post_count FROM closed JOIN tags ON name = b WHERE a = 't7'")
+def _ancestors(spark, d):
+    tags, _, implications = _graph(spark, d)
+    rows = T.ancestors(T.closure(implications), tags, "t7")  # at most 300
+    return rows.select(F.row_number().over(Window.orderBy("depth", F.desc("post_count"), "name")).cast("long").alias("place"), "name", "depth", "post_count")
+
+
+@keyed("alias_cycles", """WITH RECURSIVE rows AS (SELECT 'a' || (c_custkey % 200) AS a, 'a' || ((c_custkey % 200) * 3 + 1 + c_custkey % 2) % 200 AS b, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 5 END AS stamp FROM customer WHERE c_custkey % 11 <> 0),
+e AS (SELECT a, b FROM rows QUALIFY row_number() OVER (PARTITION BY a ORDER BY stamp DESC NULLS LAST, b) = 1),
+c(a, b, hops, seen) AS (SELECT a, b, 1, [a, b] FROM e UNION ALL SELECT c.a, e.b, hops + 1, list_append(seen, e.b) FROM c JOIN e ON c.b = e.a AND NOT list_contains(seen, e.b) WHERE hops < 16)
+SELECT a AS antecedent, arg_max(b, hops) AS canonical, CAST(max(hops) AS INTEGER) AS hops FROM c GROUP BY a""")
+def _alias_cycles(spark, d):
+    return T.canonical_aliases(_graph(spark, d)[1])
+
+
+@keyed("graph_report", f"""WITH {_GRAPH} SELECT (SELECT count(*) FROM tags) AS tags, (SELECT count(*) FROM customer) AS implications, (SELECT count(*) FROM closed) AS closure""")
+def _graph_report(spark, d):
+    report = T.TagGraph(*_graph(spark, d)).report()
+    return spark.createDataFrame([(report["tags"], report["implications"], report["closure"])], "tags long, implications long, closure long")
+
+
+@keyed("packed_ids", """SELECT l_orderkey AS post_id, string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' ORDER BY id) AS packed, count(*) AS n
+FROM (SELECT DISTINCT l_orderkey, l_partkey AS id, printf('%08X', l_partkey) AS h FROM lineitem) GROUP BY 1""")
+def _packed(spark, d):
+    lines = Star(spark, d).table("lineitem").groupBy(F.col("l_orderkey").alias("post_id")).agg(S.pack_ids(F.collect_set("l_partkey")).alias("packed"))
+    return lines.select("post_id", F.hex("packed").alias("packed"), F.size(S.unpack_ids(F.col("packed"))).cast("long").alias("n"))
+
+
 # joins, merges, set operations over the raw tables
+@keyed("hash_collisions", "SELECT p_name AS name, p_brand, b.stored FROM part JOIN (SELECT p_name AS n, min(p_brand) AS stored FROM part GROUP BY 1) b ON n = p_name AND p_brand <> stored GROUP BY ALL")
+def _collisions(spark, d):
+    part = Star(spark, d).table("part").select(F.col("p_name").alias("name"), "p_brand")
+    return merge.collisions(part, part.groupBy("name").agg(F.min("p_brand").alias("p_brand")), "name", "p_brand")
+
+
+@keyed("existing_only", "SELECT event_id AS post_id, user_id FROM events WHERE event_type = 'view' AND event_id IN (SELECT o_orderkey FROM orders)")
+def _existing(spark, d):
+    star = Star(spark, d)
+    return merge.existing_only(star.events("view").select("post_id", "user_id"), star.own())
+
+
+@keyed("hashed_urls", "SELECT sha256(url) AS url_hash, min(url) AS url FROM pages WHERE url IS NOT NULL GROUP BY 1")
+def _urls(spark, d):
+    pages = Star(spark, d).table("pages").select(F.array_compact(F.array("url")).alias("sources"))
+    return sidecars.hashed_urls(pages).select(F.lower(F.col("url_hash")).alias("url_hash"), "url")
+
+
+@keyed("count_matching", sql("SELECT count(*) AS n FROM posts WHERE score > 100 AND rating = 's' AND NOT is_deleted"))
+def _counted(spark, d):
+    return search("score:>100 rating:s", Star(spark, d).catalog(), now=NOW, ordered=False).agg(F.count("*").alias("n"))
+
+
+@keyed("replace_members", """SELECT l_suppkey AS collection_id, CAST(l_linenumber AS INTEGER) AS sequence, l_orderkey AS post_id FROM lineitem WHERE l_suppkey % 3 <> 0
+UNION ALL SELECT c_custkey, CAST(c_custkey % 4 AS INTEGER), c_nationkey FROM customer WHERE c_custkey % 3 = 0 AND c_custkey <= (SELECT max(s_suppkey) FROM supplier)""")
+def _members(spark, d):
+    star = Star(spark, d)
+    edges = star.table("lineitem").select(F.col("l_suppkey").alias("collection_id"), F.col("l_linenumber").cast("int").alias("sequence"), F.col("l_orderkey").alias("post_id"))
+    owners = star.table("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("collection_id"))
+    lists = owners.join(star.table("customer"), F.col("collection_id") == F.col("c_custkey"), "left")
+    empty = F.array().cast("array<bigint>")
+    filler = F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 4).cast("int")), lambda k: F.when(k == F.col("c_custkey") % 4, F.col("c_nationkey").cast("long")))
+    incoming = lists.select("collection_id", F.when(F.col("c_custkey").isNull(), empty).otherwise(filler).alias("post_ids"))
+    return sidecars.replace_members(edges, incoming).where("post_id is not null").select("collection_id", "sequence", "post_id")
+
+
 @keyed("ingest_merge_latest", """SELECT c_custkey AS user_id, coalesce(e.n, 0) AS n, CASE WHEN e.n IS NULL THEN 'old' ELSE 'new' END AS origin FROM customer
 LEFT JOIN (SELECT user_id, arg_max(CAST(floor(value) AS BIGINT), event_id) AS n FROM events GROUP BY 1) e ON e.user_id = c_custkey""")
 def _upsert(spark, d):
@@ -305,27 +405,13 @@ def _children(spark, d):
     return merge.child_counts(Star(spark, d).own().select("post_id", "parent_post_id")).select("post_id", "child_count")
 
 
-@keyed("pool_order", "SELECT l_suppkey AS pool, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_linenumber, l_orderkey) AS posts FROM lineitem WHERE l_suppkey < 5 GROUP BY 1")
-def _pool(spark, d):
-    rows = Star(spark, d).pools().where("collection_id < 5").select(F.col("collection_id").alias("pool"), F.struct("sequence", "post_id").alias("s"))
-    # a pool's members are few; its order is the sequence, then the id
-    return rows.groupBy("pool").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["post_id"].cast("string")), ",").alias("posts"))
-
-
-@keyed("pool_order_all", "SELECT l_suppkey AS pool, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey) - 1 AS INTEGER) AS position, l_orderkey AS post_id FROM lineitem")
+@keyed("pool_order", "SELECT l_suppkey AS pool, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber, l_orderkey) - 1 AS INTEGER) AS position, l_orderkey AS post_id FROM lineitem")
 def _pool_all(spark, d):
     rows = Star(spark, d).pools().select(F.col("collection_id").alias("pool"), "sequence", "post_id")
     return rows.select("pool", (F.row_number().over(Window.partitionBy("pool").orderBy("sequence", "post_id")) - 1).alias("position"), "post_id")
 
 
-@keyed("embedded_ids_join", "SELECT o_custkey AS owner_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders WHERE o_custkey < 50")
-def _embedded(spark, d):
-    orders = Star(spark, d).table("orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("price"))
-    lists = orders.where("o_custkey < 50").groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
-    return merge.embedded(lists, "id", "ids", orders.select("o_orderkey", "price"), "o_orderkey").select("owner_id", "position", "price")
-
-
-@keyed("embedded_ids_join_all", "SELECT o_custkey AS owner_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders")
+@keyed("embedded_ids_join", "SELECT o_custkey AS owner_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders")
 def _embedded_all(spark, d):
     orders = Star(spark, d).table("orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice").cast("long").alias("price"))
     lists = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"))
@@ -418,6 +504,35 @@ def _claim(spark, d):
     return jobs.claim(_jobs(spark, d), AT, "w1", n=25).where("locked_by = 'w1'").select("job_id", "priority")
 
 
+@keyed("queue_events", f"""WITH {_JOBS_SQL}, taken AS (SELECT job_id FROM jobs WHERE {_CLAIMABLE} ORDER BY priority DESC, due, job_id LIMIT 25)
+SELECT job_id, 'claimed' AS event, 'w1' AS message FROM taken UNION ALL
+SELECT job_id, 'cancelled', NULL FROM jobs WHERE state IN ('ready', 'leased') AND run_id = 3 AND job_id NOT IN (SELECT job_id FROM taken)""")
+def _events(spark, d):
+    before = _jobs(spark, d)
+    after = jobs.claim(before, AT, "w1", n=25)
+    after = jobs.cancel(after, (F.col("run_id") == 3) & F.col("locked_by").isNull(), AT)
+    return jobs.events(before, after).select("job_id", "event", "message")
+
+
+@keyed("next_pages", """SELECT CAST(o_custkey AS VARCHAR) AS query, CAST(o_orderkey % 50 + 1 AS INTEGER) AS page, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 320 ELSE least(320, o_orderkey % 1000 - 320) END AS INTEGER) AS page_size
+FROM orders WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 3 = 0 OR o_orderkey % 1000 > 320)""")
+def _pages(spark, d):
+    k = F.col("o_orderkey")
+    fetched = Star(spark, d).table("orders").select(F.col("o_custkey").cast("string").alias("query"), (k % 50).cast("int").alias("page"), F.lit(320).alias("page_size"), F.when(k % 3 != 0, (k % 1000).cast("int")).alias("remaining"), F.when(k % 7 != 0, 320).otherwise(319).alias("posts"))
+    return pages.next_page(fetched).select("query", "page", "page_size")
+
+
+@keyed("file_claims", """SELECT o_orderkey AS post_id, CASE WHEN place <= 40 THEN 'downloading' ELSE 'pending' END AS state FROM (
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 4 = 1) UNION ALL SELECT o_orderkey, 'downloaded' FROM orders WHERE o_orderkey % 4 = 2""")
+def _files(spark, d):
+    posts = Star(spark, d).own().select("post_id", F.lit("original").alias("variant"), F.col("file_ext").alias("ext"), F.lit("u").alias("source_url"), "md5")
+    table = files.want(spark.createDataFrame([], files.SCHEMA), posts.where("post_id % 4 = 2"), AT)
+    done = posts.where("post_id % 4 = 2").select("post_id", "variant", F.lit("p").alias("local_path"), F.lit(7).cast("long").alias("bytes_written"), F.upper("md5").alias("checksum"))
+    table = files.fetched(table, done, AT)
+    table = files.want(table, posts.where("post_id % 4 in (1, 2)"), AT)
+    return files.claim(table, AT, 40).select("post_id", "state")
+
+
 @keyed("queue_claim_kinds", f"WITH {_JOBS_SQL} SELECT job_id, priority FROM jobs WHERE {_CLAIMABLE} AND kind = 'fetch_page' ORDER BY priority DESC, due, job_id LIMIT 8")
 def _claim_kinds(spark, d):
     return jobs.next_jobs(_jobs(spark, d), AT, 8, ["fetch_page"]).select("job_id", "priority")
@@ -429,7 +544,7 @@ def _metrics(spark, d):
     return jobs.metrics(_jobs(spark, d)).select("run_id", "jobs", "pending", "done", "failed", "state")
 
 
-@keyed("job_family_counts", f"WITH {_JOBS_SQL} SELECT CASE kind WHEN 'fetch_page' THEN 'fetch' WHEN 'enrich_notes' THEN 'enrich' WHEN 'download_sample' THEN 'download' ELSE 'evaluate' END AS family, count(*) AS jobs FROM jobs GROUP BY 1")
+@keyed("job_family_counts", f"WITH {_JOBS_SQL} SELECT CASE kind WHEN 'fetch_page' THEN 1 WHEN 'enrich_notes' THEN 2 WHEN 'download_sample' THEN 4 ELSE 3 END AS place, CASE kind WHEN 'fetch_page' THEN 'fetch' WHEN 'enrich_notes' THEN 'enrich' WHEN 'download_sample' THEN 'download' ELSE 'evaluate' END AS family, count(*) AS jobs FROM jobs GROUP BY 1, 2")
 def _families(spark, d):
     return jobs.family_counts(_jobs(spark, d))
 
@@ -454,15 +569,7 @@ def _uncovered(spark, d):
     return jobs.uncovered(views, jobs.cover(none, e.where("event_id % 3 = 0").select(F.col("event_id").alias("key")), "notes", "ready"), "notes")
 
 
-@keyed("job_fan_out", "SELECT k AS kind, '{\"post_id\":' || o_orderkey || '}' AS payload FROM orders, (VALUES ('enrich_notes'), ('enrich_note_versions')) t(k) WHERE o_orderkey < 500 AND o_orderkey % 2 = 1")
-def _fan(spark, d):
-    posts = Star(spark, d).own().where("post_id < 500").select("post_id")
-    none = spark.createDataFrame([], "scope string, key long, dependency string, state string")
-    coverage = jobs.cover(none, posts.where("post_id % 2 = 0").select(F.col("post_id").alias("key")), "notes", "pending")
-    return jobs.fan_out(posts, coverage, {"notes", "users"}).select("kind", "payload")
-
-
-@keyed("job_fan_out_all", "SELECT k AS kind, '{\"post_id\":' || o_orderkey || '}' AS payload FROM orders, (VALUES ('enrich_notes'), ('enrich_note_versions')) t(k) WHERE o_orderkey % 2 = 1")
+@keyed("job_fan_out", "SELECT k AS kind, '{\"post_id\":' || o_orderkey || '}' AS payload FROM orders, (VALUES ('enrich_notes'), ('enrich_note_versions')) t(k) WHERE o_orderkey % 2 = 1")
 def _fan_all(spark, d):
     posts = Star(spark, d).own().select("post_id")
     none = spark.createDataFrame([], "scope string, key long, dependency string, state string")

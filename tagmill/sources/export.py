@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +34,34 @@ def stale_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("checksum").isNotNull() & F.col("md5").isNotNull() & (F.lower("checksum") != F.lower("md5")))
 
 
-def write_store(df: DataFrame, path: str, generation: int) -> None:
-    """Parquet with a manifest beside it, both through Spark's file systems."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
+def write_store(tables: DataFrame | dict[str, DataFrame], path: str, generation: int) -> None:
+    """A generation of one table (data) or several, then the manifest that makes it the store's.
+
+    Nothing is overwritten: readers keep the generation before until the manifest is there,
+    and a crash leaves it.
+    """
+    tables = tables if isinstance(tables, dict) else {"data": tables}
+    counts = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}-{generation}")
+        counts[name] = df.sparkSession.read.parquet(f"{path}/{name}-{generation}").count()
+    manifest = {"schema_version": SCHEMA_VERSION, "generation": generation, "counts": counts, "status": "ready"}
     spark = df.sparkSession
-    manifest = {"schema_version": SCHEMA_VERSION, "generation": generation, "rows": spark.read.parquet(f"{path}/data").count(), "status": "ready"}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest-{generation}")
+
+
+def manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of the last ready generation; ValueError if there is none of this version."""
+    try:
+        found = [json.loads(r.value) for r in spark.read.text(f"{path}/manifest-*").collect()]
+    except AnalysisException:
+        found = []
+    ready = [m for m in found if m["status"] == "ready" and m["schema_version"] == SCHEMA_VERSION]
+    if not ready:
+        raise ValueError(f"the store at {path} is not readable: {found or 'no manifest'}")
+    return max(ready, key=lambda m: m["generation"])
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored rows; ValueError if the manifest is of another version or not ready."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    if manifest["schema_version"] != SCHEMA_VERSION or manifest["status"] != "ready":
-        raise ValueError(f"the store at {path} is not readable: {manifest}")
-    return spark.read.parquet(f"{path}/data")
+def read_store(spark: SparkSession, path: str, name: str = "data") -> DataFrame:
+    """The rows of a table of the store's last generation."""
+    return spark.read.parquet(f"{path}/{name}-{manifest(spark, path)['generation']}")

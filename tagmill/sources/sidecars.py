@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagmill.functions import scalars as S
-from tagmill.operators.merge import upsert
+from tagmill.operators.merge import latest, upsert
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,7 @@ _AT = {"created_at": "try_to_timestamp(created_at)", "updated_at": "coalesce(try
 _NAME = "lower(trim({}))"
 # The entities' names and the field names of their payloads.
 ENTITIES = {
-    "comments": Entity(f"id bigint, post_id bigint, creator_id bigint, creator_name string, body string, score int, is_hidden boolean, {_WHEN}", ("id", "post_id"), {"comment_id": "id", "post_id": "post_id", "user_id": "creator_id", "user_name": _NAME.format("creator_name"), "body": "body", "score": "score", **_AT}),
+    "comments": Entity(f"id bigint, post_id bigint, creator_id bigint, creator_name string, body string, score int, is_hidden boolean, do_not_bump_post boolean, {_WHEN}", ("id", "post_id"), {"comment_id": "id", "post_id": "post_id", "user_id": "creator_id", "user_name": _NAME.format("creator_name"), "body": "body", "score": "score", "bumps": "not coalesce(do_not_bump_post, false)", **_AT}),
     "notes": Entity(f"id bigint, post_id bigint, creator_id bigint, x int, y int, width int, height int, body string, is_active boolean, {_WHEN}", ("id", "post_id"), {"note_id": "id", "post_id": "post_id", "user_id": "creator_id", "x": "x", "y": "y", "width": "width", "height": "height", "body": "body", **_AT}),
     "note_versions": Entity(f"id bigint, note_id bigint, post_id bigint, updater_id bigint, body string, {_WHEN}", ("id", "post_id"), {"version_id": "id", "note_id": "note_id", "post_id": "post_id", "user_id": "updater_id", "body": "body", **_AT}),
     "favorites": Entity(f"post_id bigint, user_id bigint, {_WHEN}", ("post_id", "user_id"), {"post_id": "post_id", "user_id": "user_id", **_AT}),
@@ -82,6 +82,18 @@ def members(collections: DataFrame, posts: DataFrame | None = None) -> DataFrame
     return rows if posts is None else rows.join(posts.select("post_id"), "post_id", "left_semi")
 
 
+def replace_members(edges: DataFrame, incoming: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+    """Edges with all members of the incoming collections in place of those they had; a collection without members has none."""
+    new = members(incoming, posts)
+    return edges.join(incoming.select("collection_id").distinct(), "collection_id", "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def upsert_collections(collections: DataFrame, edges: DataFrame, incoming: DataFrame, name: str, posts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables after a batch of collections: the last row of each wins, and its members replace all."""
+    last = latest(incoming.withColumn("_seq", F.coalesce(F.unix_micros("updated_at"), F.lit(0))), keys(name), "_seq").drop("_seq")
+    return merge(collections, last, name), replace_members(edges, last, posts)
+
+
 def hashed_urls(posts: DataFrame) -> DataFrame:
     """url_hash, url of all sources, each hash once."""
     rows = posts.select(F.explode("sources").alias("url"))

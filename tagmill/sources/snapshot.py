@@ -25,6 +25,15 @@ PAYLOAD = (
 )
 
 
+def _fields(schema: str) -> str:
+    """Columns of a DDL schema as fields of a struct."""
+    depth, out = 0, []
+    for word in re.split(r"([<>,])", schema):
+        depth += (word == "<") - (word == ">")
+        out.append(word.strip().replace(" ", ":", 1) if depth == 0 and word.strip() and word not in "<>," else word.strip() if depth == 0 else word)
+    return "".join(out)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a snapshot file by its header; rows without any value are left out."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE")
@@ -83,6 +92,18 @@ def parse_pools(raw: DataFrame) -> DataFrame:
     ).where("collection_id is not null")
 
 
+def parse_wiki_pages(raw: DataFrame) -> DataFrame:
+    """wiki_id, title (as a tag's name), body, is_locked, created_at, updated_at."""
+    return raw.select(
+        column(raw, "id").try_cast("bigint").alias("wiki_id"),
+        S.normal_tag(column(raw, "title")).alias("title"),
+        F.coalesce(column(raw, "body"), F.lit("")).alias("body"),
+        S.truthy(column(raw, "is_locked")).alias("is_locked"),
+        S.instant(column(raw, "created_at")).alias("created_at"),
+        S.instant(column(raw, "updated_at")).alias("updated_at"),
+    ).where("wiki_id is not null and title is not null")
+
+
 def pool_posts(pools: DataFrame) -> DataFrame:
     return pools.select("collection_id", "name", F.posexplode("post_ids").alias("sequence", "post_id"))
 
@@ -132,9 +153,10 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def from_payloads(lines: DataFrame) -> DataFrame:
     """Canonical posts of JSON payloads (value), with rejected (a reason, or null)."""
-    p = F.from_json("value", PAYLOAD, {"mode": "PERMISSIVE"})
-    # a payload may be wrapped into {"post": ...}
-    rows = lines.select(F.coalesce(F.from_json(F.get_json_object("value", "$.post"), PAYLOAD), p).alias("p"))
+    # one parse: a payload may be wrapped into {"post": ...}, so that is a field beside the others;
+    # the array keeps the optimiser from copying the parse into every expression that reads it
+    parsed = F.from_json("value", f"{PAYLOAD}, post struct<{_fields(PAYLOAD)}>", {"mode": "PERMISSIVE"})
+    rows = lines.select(F.explode(F.array(parsed)).alias("r")).select(F.when(F.col("r.post").isNotNull(), F.col("r.post")).otherwise(F.col("r").dropFields("post")).alias("p"))
     every = F.array_distinct(F.transform(F.flatten(F.array(*(F.coalesce(F.col(f"p.tags.{c}"), F.array().cast("array<string>")) for c in CATEGORY_IDS))), F.lower))
     rows = rows.select(
         F.col("p.id").try_cast("bigint").alias("post_id"),
@@ -185,6 +207,7 @@ def unknown_tags(posts: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def merged_tags(catalogue: DataFrame, staged: DataFrame) -> DataFrame:
-    """The catalogue's categories win; a staged one holds for new names only."""
-    new = staged.groupBy("name").agg(F.min("category").alias("category")).join(catalogue.select("name"), "name", "left_anti")
+    """The catalogue's categories win; a staged one (the least, last cached) holds for new names only."""
+    cached = [F.max("cached_at").alias("cached_at")] if "cached_at" in staged.columns else []
+    new = staged.groupBy("name").agg(F.min("category").alias("category"), *cached).join(catalogue.select("name"), "name", "left_anti")
     return catalogue.unionByName(new, allowMissingColumns=True)

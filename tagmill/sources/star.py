@@ -32,7 +32,7 @@ class Star:
             F.when(F.col("o_orderstatus") == "F", "s").when(F.col("o_orderstatus") == "O", "q").otherwise("e").alias("rating"),
             F.floor(F.col("o_totalprice") / 1000).cast("int").alias("score"),
             F.col("o_custkey").alias("uploader_id"),
-            F.lit(None).cast("long").alias("approver_id"),
+            F.when(key % 4 == 0, key % 97).alias("approver_id"),
             F.col("o_orderdate").alias("created_at"),
             F.col("o_orderdate").alias("updated_at"),
             S.mapped(F.substring("o_orderpriority", 1, 1), TYPES).alias("file_ext"),
@@ -53,6 +53,10 @@ class Star:
 
     def post_tags(self) -> DataFrame:
         """post_id, category, tag, each once."""
+        return self.edges().distinct()
+
+    def edges(self) -> DataFrame:
+        """post_id, category, tag of every item."""
         parts = self.table("part").select("p_partkey", F.split("p_name", " ").alias("words"), "p_type", "p_brand")
         parts = parts.select("p_partkey", F.explode(F.array(
             F.struct(F.lit("general").alias("category"), F.lower(F.col("words")[0]).alias("tag")),
@@ -61,7 +65,7 @@ class Star:
             F.struct(F.lit("artist").alias("category"), F.lower("p_brand").alias("tag")),
         )).alias("t"))
         lines = self.table("lineitem").select("l_orderkey", "l_partkey")
-        return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_orderkey").alias("post_id"), "t.category", "t.tag").distinct()
+        return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_orderkey").alias("post_id"), "t.category", "t.tag")
 
     def tag_columns(self) -> DataFrame:
         """all_tags and tags: sets are gathered straight from the items, with map-side partial sets."""
@@ -97,7 +101,7 @@ class Star:
 
     def events(self, kind: str) -> DataFrame:
         rows = self.table("events").where(F.col("event_type") == kind)
-        return rows.select(F.col("event_id").alias("post_id"), "user_id", F.col("ts").alias("created_at"), F.col("props").alias("body"), F.col("props").alias("reason"), F.when(F.col("value") >= 100, 1).otherwise(-1).alias("score"))
+        return rows.select(F.col("event_id").alias("post_id"), "user_id", F.col("ts").alias("created_at"), F.col("props").alias("body"), F.col("props").alias("reason"), F.when(F.col("value") >= 100, 1).otherwise(-1).alias("score"), (F.col("value") >= 100).alias("bumps"))
 
     def users(self) -> DataFrame:
         return self.table("customer").select(F.col("c_custkey").alias("user_id"), F.lower("c_name").alias("name"))
@@ -130,7 +134,7 @@ class Star:
 
     def catalog(self, graph: bool = False) -> Catalog:
         sidecars = {name: (lambda kind=kind: self.events(kind)) for name, kind in SIDECARS.items()}
-        sidecars |= {"users": self.users, "pools": self.pools, "sets": self.sets, "post_tags": lambda: self.post_tags().select("post_id", "tag")}
+        sidecars |= {"users": self.users, "pools": self.pools, "sets": self.sets, "post_tags": lambda: self.edges().select("post_id", "tag")}
         return Catalog(self.posts, sidecars, self.graph() if graph else None)
 
 
@@ -151,7 +155,7 @@ items AS (
   FROM lineitem GROUP BY 1),
 posts AS (
   SELECT o_orderkey AS post_id, CASE o_orderstatus WHEN 'F' THEN 's' WHEN 'O' THEN 'q' ELSE 'e' END AS rating,
-         CAST(floor(o_totalprice / 1000) AS INTEGER) AS score, o_custkey AS uploader_id, o_orderdate AS created_at,
+         CAST(floor(o_totalprice / 1000) AS INTEGER) AS score, o_custkey AS uploader_id, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 97 END AS approver_id, o_orderdate AS created_at,
          CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'png' WHEN '2' THEN 'jpg' WHEN '3' THEN 'gif' WHEN '4' THEN 'webm' WHEN '5' THEN 'mp4' END AS file_ext,
          md5(CAST(o_orderkey AS VARCHAR)) AS md5,
          CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey - o_orderkey % 10 END AS parent_post_id,

@@ -22,7 +22,7 @@ def standing_search(posts: DataFrame, text: str, now=None, tags=None) -> DataFra
     """The matching rows of a stream of posts; conditions on sidecars need a batch search."""
     query = bind(text, tags, now).checked()
     compiled = Compiler(Catalog.of(posts)).run(query)
-    if compiled.joins or compiled.flags:
+    if compiled.joins or compiled.flags or compiled.tag_flags is not None:
         raise ValueError("a standing search is on the posts' own columns")
     return posts.where(compiled.filter)
 

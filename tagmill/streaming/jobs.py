@@ -26,12 +26,25 @@ ENRICHMENT = {
 }
 
 
+def refused(new: DataFrame) -> Column:
+    """Why a new job cannot be taken, or null."""
+    object_ = F.try_parse_json("payload")
+    out = F.when(object_.isNull() | ~F.coalesce(F.trim("payload").startswith("{"), F.lit(False)), F.lit("the payload is no JSON object"))
+    if "max_attempts" in new.columns:
+        out = out.when(F.col("max_attempts") < 1, F.lit("max_attempts must be at least 1"))
+    return out.when(F.col("kind").isNull(), F.lit("a job needs a kind"))
+
+
 def enqueue(jobs: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
-    """new: job_id, kind, payload (JSON text), and optionally run_id, priority, available_at, max_attempts."""
+    """new: job_id, kind, payload (JSON text), and optionally run_id, priority, available_at, max_attempts.
+
+    A job that cannot be taken makes the result raise when it is run; refused() tells them beforehand.
+    """
     at = F.lit(now)
     have = lambda c, default: F.coalesce(F.col(c), default) if c in new.columns else default
-    valid = F.try_parse_json("payload").isNotNull() & (have("max_attempts", F.lit(3)) >= 1)
-    rows = new.where(valid).select(
+    why = refused(new)
+    rows = new.withColumn("payload", F.when(why.isNotNull(), F.raise_error(F.concat(F.lit("job "), F.col("job_id").cast("string"), F.lit(": "), why))).otherwise(F.col("payload")))
+    rows = rows.select(
         "job_id", have("run_id", F.lit(None)).cast("long").alias("run_id"), "kind", "payload", F.lit(READY).alias("state"),
         have("priority", F.lit(0)).cast("int").alias("priority"), have("available_at", at).cast("timestamp").alias("available_at"),
         F.lit(0).alias("attempts"), have("max_attempts", F.lit(3)).cast("int").alias("max_attempts"),
@@ -41,6 +54,24 @@ def enqueue(jobs: DataFrame, new: DataFrame, now: datetime) -> DataFrame:
     return jobs.unionByName(rows)
 
 
+EVENTS = "job_id bigint, event string, message string, at timestamp"
+
+
+def events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What happened to each job between two snapshots of the table: job_id, event, message, at."""
+    old = before.select("job_id", F.col("state").alias("_state"), F.col("attempts").alias("_attempts"), F.col("lease_until").alias("_until"))
+    rows = after.join(old, "job_id", "left")
+    event = (
+        F.when(F.col("_state").isNull(), "enqueued")
+        .when((F.col("state") == LEASED) & (F.col("attempts") > F.col("_attempts")), "claimed")
+        .when((F.col("state") == LEASED) & (F.col("lease_until") > F.col("_until")), "extended")
+        .when((F.col("state") == READY) & (F.col("_state") == LEASED), "retried")
+        .when(F.col("state") != F.col("_state"), F.col("state"))
+    )
+    message = F.when(event.isin("retried", FAILED), F.col("last_error")).when(event == "claimed", F.col("locked_by"))
+    return rows.select("job_id", event.alias("event"), message.alias("message"), F.col("updated_at").alias("at")).where("event is not null")
+
+
 def claimable(now: Column) -> Column:
     """Ready and due, or leased with the lease run out."""
     due = (F.col("state") == READY) & (F.col("available_at") <= now)
@@ -91,16 +122,24 @@ def heartbeat(jobs: DataFrame, job_id: int, worker: str, now: datetime, lease_se
 
 
 def complete(jobs: DataFrame, job_id: int, worker: str, now: datetime) -> DataFrame:
+    return complete_all(jobs, _held(job_id, worker, now), now)
+
+
+def complete_all(jobs: DataFrame, where: Column, now: datetime) -> DataFrame:
     none = F.lit(None)
-    return _change(jobs, _held(job_id, worker, now), now, state=F.lit(DONE), locked_by=none, lease_until=none)
+    return _change(jobs, where, now, state=F.lit(DONE), locked_by=none, lease_until=none)
 
 
 def fail(jobs: DataFrame, job_id: int, worker: str, error: str, now: datetime, retry_seconds: int = 0) -> DataFrame:
+    return fail_all(jobs, _held(job_id, worker, now), error, now, retry_seconds)
+
+
+def fail_all(jobs: DataFrame, where: Column, error: str, now: datetime, retry_seconds: int = 0) -> DataFrame:
     """Ready again while attempts are left, else failed."""
     state = F.when(F.col("attempts") < F.col("max_attempts"), READY).otherwise(FAILED)
     due = F.lit(now) + F.expr(f"interval {retry_seconds} seconds")
     none = F.lit(None)
-    return _change(jobs, _held(job_id, worker, now), now, state=state, available_at=due, last_error=F.lit(error), locked_by=none, lease_until=none)
+    return _change(jobs, where, now, state=state, available_at=due, last_error=F.lit(error), locked_by=none, lease_until=none)
 
 
 def cancel(jobs: DataFrame, where: Column, now: datetime) -> DataFrame:
@@ -131,11 +170,21 @@ def metrics(jobs: DataFrame) -> DataFrame:
 
 
 def family_counts(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy(family(F.col("kind")).alias("family")).agg(F.count("*").alias("jobs"))
+    """place (the families' fixed order, other ones last), family, jobs."""
+    place = F.array_position(F.array(*(F.lit(x) for x in (*FAMILIES, "other"))), F.col("family")).cast("int")
+    return jobs.groupBy(family(F.col("kind")).alias("family")).agg(F.count("*").alias("jobs")).select(place.alias("place"), "family", "jobs")
 
 
 def rolling_rate(requests: DataFrame, seconds: int = 10, partition: list[str] | None = None) -> DataFrame:
-    """Requests started within the trailing seconds, per second since the first of them (requests: started_at and, by partition, a client)."""
+    """Requests started within the trailing seconds, per second since the first of them (requests: started_at and, by partition, a client).
+
+    Without a partition the hours are apart, each with the seconds before it, so no task gets all requests.
+    """
+    if not partition:
+        hour = F.floor(F.unix_seconds("started_at") / 3600)
+        later = F.floor((F.unix_seconds("started_at") + seconds) / 3600)
+        own_hour = requests.withColumn("_hour", F.explode(F.array_distinct(F.array(hour, later)))).withColumn("_own", F.col("_hour") == hour)
+        return rolling_rate(own_hour, seconds, ["_hour"]).where("_own").drop("_hour", "_own")
     at = F.unix_micros("started_at")
     own = Window.partitionBy(*(partition or [])).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     n = F.count("*").over(own)

@@ -39,6 +39,23 @@ def complete(runs: DataFrame, run_id: int, total: int, now: datetime) -> DataFra
     return change(runs, run_id, now, state="done", total=total)
 
 
+def fail(runs: DataFrame, run_id: int, error: str, now: datetime) -> DataFrame:
+    return change(runs, run_id, now, state="failed", metadata=json.dumps({"error": error}))
+
+
+def get(runs: DataFrame, run_id: int):
+    """The run's row; KeyError if there is none."""
+    row = runs.where(F.col("run_id") == run_id).first()
+    if row is None:
+        raise KeyError(run_id)
+    return row
+
+
+def listed(runs: DataFrame, state: str | None = None) -> DataFrame:
+    """All runs, or those of a state, the last changed first."""
+    return (runs.where(F.col("state") == state) if state else runs).orderBy(F.desc("updated_at"), F.desc("run_id"))
+
+
 def put(metadata: DataFrame, namespace: str, key: str, value: str, keep: bool = False) -> DataFrame:
     """The key set to a value; keep: only if it is not there."""
     new = metadata.sparkSession.createDataFrame([(namespace, key, value)], METADATA)

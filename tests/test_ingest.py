@@ -22,7 +22,7 @@ def test_scalars(spark):
     assert one(spark, S.normal_tag, "  Red  Panda\t") == "red_panda" and one(spark, S.normal_tag, " \x01 ") is None
     assert one(spark, S.tag_list, " a B a ") == ["a", "b"] and one(spark, S.lines, "a\n\n b\r\nc") == ["a", "b", "c"]
     assert [one(spark, S.id_list, x) for x in ("{1,2}", "1 2", "1,2", "", None)] == [[1, 2], [1, 2], [1, 2], [], []]
-    assert [one(spark, S.whole, x) for x in ("154.58", "-3", "x")] == [154, -3, None] and one(spark, S.count_of, "-1") == 0
+    assert [one(spark, S.whole, x) for x in ("88.25", "-6", "x")] == [88, -6, None] and one(spark, S.count_of, "-1") == 0
     assert [one(spark, S.truthy, x) for x in ("t", "YES", "1", "f", None)] == [True, True, True, False, False]
     assert one(spark, S.url_extension, "https://x/y/a.PNG?b=c.d") == "png" and one(spark, S.alias_status, "weird") == "active"
     assert one(spark, lambda x: S.flag(x, "rating_locked"), 8, "int") is True and one(spark, S.human_bytes, 1536, "long") == "1.5 KB"
@@ -85,8 +85,68 @@ def test_dates_and_store(spark, tmp_path):
     export.write_store(rows, str(tmp_path / "s"), 3)
     assert export.read_store(spark, str(tmp_path / "s")).count() == 1
     assert export.documents(rows).first().json == '{"post_id":1,"rating":"s"}'
-    spark.createDataFrame([('{"schema_version": 0, "status": "ready"}',)], "value string").write.mode("overwrite").text(str(tmp_path / "s/manifest"))
-    with pytest.raises(ValueError):
-        export.read_store(spark, str(tmp_path / "s"))
+    export.write_store({"data": rows.union(rows), "more": rows}, str(tmp_path / "s"), 4)
+    assert export.read_store(spark, str(tmp_path / "s")).count() == 2 and export.manifest(spark, str(tmp_path / "s"))["counts"] == {"data": 2, "more": 1}
+    # a generation without a manifest, or of another version, is not the store's
+    rows.write.parquet(str(tmp_path / "s/data-5"))
+    spark.createDataFrame([('{"schema_version": 0, "status": "ready", "generation": 6}',)], "value string").write.text(str(tmp_path / "s/manifest-6"))
+    assert export.read_store(spark, str(tmp_path / "s"), "more").count() == 1
+    for path in ("none", "s/data-5"):
+        with pytest.raises(ValueError, match="not readable"):
+            export.read_store(spark, str(tmp_path / path))
     links = export.links(rows, spark.createDataFrame([(1, "sample", "png", "/a"), (2, "sample", "png", "/b")], "post_id long, variant string, ext string, local_path string"))
     assert [tuple(r) for r in links.collect()] == [(1, "000000000001/sample.png", "/a")]
+
+
+def test_a_payload_is_parsed_once(spark):
+    lines = spark.createDataFrame([("{}",)], "value string")
+    rows = snapshot.accepted(snapshot.from_payloads(lines)).select("post_id", "rating", "score", "favcount")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "get_json_object" not in plan
+
+
+def test_wiki_pages(spark):
+    raw = spark.createDataFrame([("4", " Tall Ship ", None, "t", "2024-01-01 00:00:00+00", None), ("x", "a", "b", "f", None, None), ("5", " ", "b", "f", None, None)], "id string, title string, body string, is_locked string, created_at string, updated_at string")
+    assert [tuple(r)[:4] for r in snapshot.parse_wiki_pages(raw).collect()] == [(4, "tall_ship", "", True)]
+
+
+def test_packed_ids(spark):
+    ids = spark.createDataFrame([([5, 1, 5, 4294967295],), ([],)], "x array<bigint>").select(S.pack_ids(F.col("x")).alias("p"))
+    packed = [bytes(r.p) for r in ids.collect()]
+    assert packed == [bytes([1, 0, 0, 0, 5, 0, 0, 0, 255, 255, 255, 255]), b""]
+    assert [r.y for r in ids.select(S.unpack_ids(F.col("p")).alias("y")).collect()] == [[1, 5, 4294967295], []]
+    assert one(spark, S.unpack_ids, None, "binary") == []
+    with pytest.raises(Exception, match="divisible by 4"):
+        one(spark, S.unpack_ids, b"abc", "binary")
+
+
+def test_tag_ids(spark):
+    from tagmill.operators import tags as T
+
+    tags = spark.createDataFrame([("a", 7), ("b", 3)], "name string, tag_id long")
+    assert [tuple(r) for r in T.ids_of(spark.createDataFrame([(" A",), ("a",), ("x",)], "name string"), tags).collect()] == [("a", 7)]
+    rows = T.packed_tags(spark.createDataFrame([(1, "b"), (1, "a"), (1, "x")], "post_id long, tag string"), tags).collect()
+    assert [(r.post_id, bytes(r.tag_ids)) for r in rows] == [(1, bytes([3, 0, 0, 0, 7, 0, 0, 0]))]
+
+
+def test_collections_replace_all_their_members(spark):
+    from tagmill.sources import sidecars
+
+    lines = lambda *rows: spark.createDataFrame([(r,) for r in rows], "value string")
+    first = sidecars.parse(lines('{"id":1,"name":"A","post_ids":[5,6],"updated_at":"2024-01-01T00:00:00Z"}', '{"id":2,"name":"B","post_ids":[7]}'), "pools")
+    again = sidecars.parse(lines('{"id":1,"name":"A2","post_ids":[9,6],"updated_at":"2024-01-03T00:00:00Z"}', '{"id":1,"name":"old","post_ids":[1],"updated_at":"2024-01-02T00:00:00Z"}', '{"id":3,"name":"C"}'), "pools")
+    pools, edges = sidecars.upsert_collections(first, sidecars.members(first), again, "pools", spark.createDataFrame([(5,), (6,), (7,)], "post_id long"))
+    assert sorted((r.collection_id, r.name) for r in pools.collect()) == [(1, "A2"), (2, "B"), (3, "C")]
+    assert sorted((r.collection_id, r.sequence, r.post_id) for r in edges.collect()) == [(1, 1, 6), (2, 0, 7)]
+
+
+def test_own_metatags(spark, monkeypatch):
+    from tagmill.lang import bind
+    from tagmill.plans.catalog import Catalog
+    from tagmill.plans.compile import search
+
+    monkeypatch.setattr(bind, "OWN", {})
+    bind.register("even", lambda text: {"yes": 0, "no": 1}[text] if text in ("yes", "no") else int("x"), lambda v: F.col("post_id") % 2 == v, ("post_id",))
+    posts = Catalog.of(spark.createDataFrame([(1, False), (2, False), (None, False)], "post_id long, is_deleted boolean"))
+    ids = lambda q: [r.post_id for r in search(q, posts, ordered=False).collect()]
+    assert ids("even:yes") == [2] and ids("-even:yes") == [1, None] and not bind.bind("even:maybe").ok

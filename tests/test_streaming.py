@@ -13,7 +13,7 @@ T0 = datetime(2024, 1, 1, 12)
 
 @pytest.fixture
 def table(spark):
-    new = spark.createDataFrame([(1, "fetch_page", "{}", 0, 2), (2, "enrich_notes", '{"post_id": 5}', 9, 1), (3, "download_sample", '{"post_id": 6}', 9, 1), (4, "x", "{bad", 1, 1), (5, "x", "{}", 1, 0)], "job_id long, kind string, payload string, priority int, max_attempts int")
+    new = spark.createDataFrame([(1, "fetch_page", "{}", 0, 2), (2, "enrich_notes", '{"post_id": 5}', 9, 1), (3, "download_sample", '{"post_id": 6}', 9, 1)], "job_id long, kind string, payload string, priority int, max_attempts int")
     return jobs.enqueue(spark.createDataFrame([], jobs.SCHEMA), new, T0)
 
 
@@ -21,8 +21,109 @@ def by_id(df):
     return {r.job_id: r for r in df.collect()}
 
 
-def test_enqueue_checks_payloads_and_attempts(table):
-    assert sorted(by_id(table)) == [1, 2, 3]
+@pytest.mark.parametrize(("kind", "payload", "attempts", "why"), [("x", "{bad", 1, "no JSON object"), ("x", "[1]", 1, "no JSON object"), ("x", None, 1, "no JSON object"), ("x", "{}", 0, "max_attempts"), (None, "{}", 1, "a kind")])
+def test_jobs_that_cannot_be_taken_raise(spark, table, kind, payload, attempts, why):
+    new = spark.createDataFrame([(8, kind, payload, attempts)], "job_id long, kind string, payload string, max_attempts int")
+    assert why in new.select(jobs.refused(new)).first()[0]
+    with pytest.raises(Exception, match=why):
+        jobs.enqueue(table, new, T0).collect()
+
+
+def test_snapshots_tell_events(spark, table):
+    none = spark.createDataFrame([], jobs.SCHEMA)
+    steps = [none, table]
+    steps.append(cut(jobs.claim(steps[-1], T0, "w", n=2)))
+    steps.append(cut(jobs.heartbeat(steps[-1], 2, "w", T0 + timedelta(seconds=5), 900)))
+    steps.append(cut(jobs.complete(steps[-1], 2, "w", T0 + timedelta(seconds=9))))
+    steps.append(cut(jobs.fail(steps[-1], 3, "w", "gone", T0 + timedelta(seconds=9))))
+    seen = [sorted((r.job_id, r.event, r.message) for r in jobs.events(a, b).collect()) for a, b in zip(steps, steps[1:], strict=False)]
+    assert seen == [[(k, "enqueued", None) for k in (1, 2, 3)], [(2, "claimed", "w"), (3, "claimed", "w")], [(2, "extended", None)], [(2, "done", None)], [(3, "failed", "gone")]]
+
+
+def test_runner_follows_jobs_until_none_is_due(spark, tmp_path):
+    from tagmill.streaming.runner import Runner
+
+    at, calls = {"now": T0}, []
+
+    def page(rows):
+        calls.append(("page", rows.count()))
+        return rows.sparkSession.createDataFrame([("evaluate_query", '{"k":1}'), ("broken", "{}")], "kind string, payload string")
+
+    def evaluate(rows):
+        calls.append(("evaluate", rows.count()))
+
+    def broken(rows):
+        calls.append(("broken", rows.count()))
+        raise RuntimeError("no such thing\nat all")
+
+    runner = Runner(spark, str(tmp_path / "jobs"), {"fetch_page": page, "evaluate_query": evaluate, "broken": broken}, now=lambda: at["now"])
+    runner.start(spark.createDataFrame([(1, "fetch_page", "{}"), (2, "fetch_page", "{}"), (3, "unknown", "{}")], "job_id long, kind string, payload string"))
+    assert runner.run_until_empty() == 4 and calls == [("page", 2), ("broken", 1), ("evaluate", 1)]
+    for _ in range(2):
+        at["now"] += timedelta(seconds=31)
+        assert runner.run_until_empty() == 1
+    states = {r.kind: (r.state, r.attempts, r.last_error) for r in runner.table().collect()}
+    assert states == {"fetch_page": ("done", 1, None), "evaluate_query": ("done", 1, None), "broken": ("failed", 3, "RuntimeError: no such thing"), "unknown": ("ready", 0, None)}
+    log = sorted((r.job_id, r.event) for r in runner.log().collect() if r.job_id in (1, 4))
+    assert log == [(1, "claimed"), (1, "done"), (1, "enqueued"), (4, "claimed"), (4, "claimed"), (4, "claimed"), (4, "enqueued"), (4, "failed"), (4, "retried"), (4, "retried")]
+
+
+def test_files_are_wanted_claimed_and_there(spark):
+    from tagmill.streaming import files
+
+    none = spark.createDataFrame([], files.SCHEMA)
+    wanted = spark.createDataFrame([(1, "sample", "png", "u1", "aa"), (2, "sample", None, "u2", "bb"), (2, "original", "gif", "u3", "cc")], "post_id long, variant string, ext string, source_url string, md5 string")
+    table = cut(files.want(none, wanted, T0))
+    assert [(r.post_id, r.variant) for r in files.pending(table, 5).collect()] == [(1, "sample"), (2, "original"), (2, "sample")]
+    later = T0 + timedelta(seconds=5)
+    table = cut(files.claim(table, later, 1, "sample"))
+    done = spark.createDataFrame([(1, "sample", "/f/1.png", 12, "AB")], "post_id long, variant string, local_path string, bytes_written long, checksum string")
+    table = cut(files.failed(files.fetched(table, done, later), wanted.where("variant = 'original'"), later))
+    assert {(r.post_id, r.variant): (r.state, r.local_path, r.checksum) for r in table.collect()} == {(1, "sample"): ("downloaded", "/f/1.png", "ab"), (2, "sample"): ("pending", "files/000000000002/sample.bin", None), (2, "original"): ("failed", "files/000000000002/original.gif", None)}
+    again = cut(files.want(table, wanted, later))
+    assert [r.post_id for r in files.there(again, "sample").collect()] == [1] and {(r.variant, r.state): r.files for r in files.counts(again).collect()}["original", "pending"] == 1
+    with pytest.raises(Exception, match="negative"):
+        files.fetched(table, done.withColumn("bytes_written", done["bytes_written"] - 20), later).collect()
+    with pytest.raises(ValueError):
+        files.pending(table, 0)
+
+
+def test_pages_lead_to_jobs(spark):
+    from tagmill.plans.catalog import Catalog
+    from tagmill.streaming import files, pages
+
+    page = lambda posts, left: spark.createDataFrame([("q", 3, 100, left, posts)], "query string, page int, page_size int, remaining int, posts int")
+    got = [[tuple(r) for r in pages.next_page(page(*x)).collect()] for x in ((100, None), (99, None), (100, 130), (100, 100))]
+    assert got == [[("q", 4, 100, None)], [], [("q", 4, 30, 30)], []]
+    posts = spark.createDataFrame([(5,), (9,)], "post_id long")
+    covered = jobs.cover(spark.createDataFrame([], "scope string, key long, dependency string, state string"), spark.createDataFrame([(5,)], "key long"), "notes", "ready")
+    rows = sorted((r.priority, r.kind, r.payload) for r in pages.after_page(page(100, None), posts, covered, "note:x").collect())
+    assert rows == [(5, "evaluate_query", '{"query":"note:x","post_ids":[5,9]}'), (20, "enrich_note_versions", '{"post_id":9}'), (20, "enrich_notes", '{"post_id":9}'), (30, "fetch_page", '{"query":"q","page":4,"page_size":100}')]
+    own = spark.createDataFrame([(5, "s", False), (9, "q", False)], "post_id long, rating string, is_deleted boolean")
+    files_of = spark.createDataFrame([(5, "png", "u5", "aa"), (9, "png", "u9", "bb")], "post_id long, ext string, source_url string, md5 string")
+    table, new = pages.downloads("rating:s", Catalog.of(own), files_of, spark.createDataFrame([], files.SCHEMA), "sample", T0)
+    assert [(r.post_id, r.state) for r in table.collect()] == [(5, "pending")]
+    assert [(r.kind, json.loads(r.payload)["destination"]) for r in new.collect()] == [("download_sample", "files/000000000005/sample.png")]
+
+
+def test_runs_are_listed_and_fail(spark):
+    from tagmill.streaming import runs
+
+    table = spark.createDataFrame([], runs.RUNS)
+    for k in (1, 2):
+        table = cut(runs.start(table, k, f"score:>{k}", T0 + timedelta(seconds=k)))
+    table = cut(runs.fail(table, 1, "boom", T0 + timedelta(seconds=9)))
+    assert [r.run_id for r in runs.listed(table).collect()] == [1, 2] and [r.run_id for r in runs.listed(table, "running").collect()] == [2]
+    assert runs.get(table, 1).state == "failed" and "boom" in runs.get(table, 1).metadata
+    with pytest.raises(KeyError):
+        runs.get(table, 7)
+
+
+def test_rate_without_a_partition_is_the_same(spark):
+    at = [T0 + timedelta(seconds=s) for s in (-3605, -3598, -5, 0, 3, 3599, 3601, 7300)]
+    rows = spark.createDataFrame([(t, "a") for t in at], "started_at timestamp, client string")
+    got = [sorted((r.started_at, r.in_window, r.rate) for r in jobs.rolling_rate(rows, 10, p).collect()) for p in (None, ["client"])]
+    assert got[0] == got[1]
 
 
 def test_claims_go_by_priority_and_leases_run_out(table):
