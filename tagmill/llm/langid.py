@@ -153,8 +153,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = GRAMS, ratio: flo
     spark = labelled.sparkSession
     small_batches(spark)
     known = labelled.where(F.col("lang").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "lang", "text")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    drawn = saved(spark, known.select("id", "lang").withColumn("_k", place).where(F.col("_k") <= sample).select("id", "lang").distinct(), "drawn")
+    # twice the sample by a bound on the hash, of which the window keeps the smallest
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")))  # a row a language
+    low = F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63) < 2 * sample / F.col("rows")
+    near = known.select("id", "lang").join(sizes, "lang").where(low).select("id", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id"))
+    drawn = saved(spark, near.withColumn("_k", place).where(F.col("_k") <= sample).drop("_k"), "drawn")
     few = drawn.count() <= MAX_BROADCAST_ROWS  # at most SAMPLE ids a language
     texts = known.join(F.broadcast(drawn) if few else drawn, ["id", "lang"], "left_semi").groupBy("lang", "id").agg(F.min("text").alias("text"))
     counts = texts.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
