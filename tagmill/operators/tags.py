@@ -13,6 +13,8 @@ from tagmill.operators.state import cut
 HOPS = 16
 #: Names of a closure that reach the driver; a larger one stays a table.
 MAX_NAMES = 10_000
+#: Edges up to which the names of queries are resolved on the driver; larger graphs are joined, with the same result.
+LOCAL_EDGES = 200_000
 
 
 def latest_aliases(aliases: DataFrame) -> DataFrame:
@@ -122,11 +124,40 @@ class TagGraph:
         target = row.canonical if row else name
         return target, not self.tags.where(F.col("name") == target).isEmpty()
 
+    @cached_property
+    def local(self) -> tuple[dict, dict] | None:
+        """Aliases (name to next) and implications (name to those that imply it) of graphs of at most LOCAL_EDGES edges."""
+        edges = self.implications.where((F.col("status") == "active") & (F.col("antecedent") != F.col("consequent")))
+        rows = [df.select("antecedent", "consequent").limit(LOCAL_EDGES + 1).collect() for df in (latest_aliases(self.aliases), edges)]
+        if max(map(len, rows)) > LOCAL_EDGES:
+            return None
+        below: dict[str, set] = {}
+        for r in rows[1]:
+            below.setdefault(r.consequent, set()).add(r.antecedent)
+        return {r.antecedent: r.consequent for r in rows[0]}, below
+
+    def _walk(self, name: str) -> tuple[str, list[str]]:
+        """The canonical name and all that imply it, from the local graphs."""
+        nxt, below = self.local
+        seen = [name]
+        while len(seen) <= HOPS and (then := nxt.get(seen[-1])) is not None and then not in seen:
+            seen.append(then)
+        found, todo = {seen[-1]}, [seen[-1]]
+        while todo:
+            fresh = below.get(todo.pop(), set()) - found
+            found |= fresh
+            todo += fresh
+        return seen[-1], sorted(found)[: MAX_NAMES + 1]
+
     def prefetch(self, names: list[str]) -> None:
-        """Closures of all the names by one job; of a name that more than MAX_NAMES imply, only that it is so."""
+        """Closures of all the names, by one job at most; of a name that more than MAX_NAMES imply, only that it is so."""
         todo = sorted(set(names) - self._names.keys())
         if not todo:
             return
+        if self.local is not None:
+            for n in todo:
+                self._own[n], self._names[n] = self._walk(n)
+            return
         asked = F.broadcast(self.tags.sparkSession.createDataFrame([(n,) for n in todo], "name string"))
         own = F.coalesce("canonical", "name").alias("own")
         targets = self.canonical.join(asked, F.col("antecedent") == F.col("name"), "right").select("name", own)

@@ -128,6 +128,18 @@ def test_large_closures_match_without_case(spark, edges):
     assert found("all") == [1, 2, 4] and found("-all") == [3, 5] and found("~all ~id:5") == [1, 2, 4, 5] and found("all -kind_3") == [2, 4] and found("all kind_3") == [1]
 
 
+def test_joined_graphs_resolve_like_local_ones(graph, monkeypatch):
+    from tagmill.operators import tags as T
+
+    names = ["vessel", "boat", "skiff", "beacon", "a", "b", "dinghy", "nope", "storm"]
+    local = TagGraph(graph.tags, graph.aliases, graph.implications)
+    local.prefetch(names)
+    monkeypatch.setattr(T, "LOCAL_EDGES", 0)
+    joined = TagGraph(graph.tags, graph.aliases, graph.implications)
+    joined.prefetch(names)
+    assert joined.local is None and (joined._names, joined._own) == (local._names, local._own)
+
+
 def test_closures_beyond_the_driver_stay_a_table(spark, monkeypatch):
     from tagmill.operators import tags as T
 
