@@ -36,8 +36,8 @@ FOLDS, HELD = 5, 1
 CHUNK, BUCKET, PENDING = 8 << 20, 1 << 21, 3 << 20
 PIECE = 1 << 19
 _END, _BLANK = 10, 32
-#: Sequences seated in a task, and chunks scored in one, on average.
-SEATED, JOINED = 200_000, 4
+#: Sequences seated in a task, on average; tasks that score chunks, beyond which each scores several.
+SEATED, SCORERS = 200_000, 1 << 16
 #: What a row of the seating holds: masses of dishes, weights of contexts, tables by the low two bytes.
 DISH, WEIGHT, TABLES = range(3)
 
@@ -420,7 +420,7 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
                 )
 
     # as many parts as the chunks need, the same on all three sides
-    wide = max(8, chunks.count() // JOINED)
+    wide = min(SCORERS, max(8, chunks.count()))
     parts = found.repartition(wide, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kinds", "counts")).alias("parts"))
     answers = answered(chunks, model).repartition(wide, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "seqs", "chances")).alias("answers"))
     # a chunk of documents without words has no answer of a bucket

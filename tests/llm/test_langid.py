@@ -1,3 +1,5 @@
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -64,12 +66,13 @@ def brute_force(rows, learned):
     from collections import Counter
 
     key = lambda g: np.uint64(int.from_bytes(g, "little") | (len(g) == 4) << 40)
-    places = lambda g: [int(x[0]) for x in L.slots(np.array([key(g)], np.uint64), L.SLOTS)]
+    places = lru_cache(None)(lambda g: [int(x[0]) for x in L.slots(np.array([key(g)], np.uint64), L.SLOTS)])
     counts: dict = {}
     for _, text, lang in learned:
         counts.setdefault(lang, Counter()).update(brute_grams(text or ""))
     rate = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in counts.items()}
     filters = {la: {p for g, r in own.items() if r >= L.RATIO * max(x.get(g, 0) for x in rate.values()) for p in places(g)} for la, own in rate.items()}
+    has = lru_cache(None)(lambda la, g: all(p in filters[la] for p in places(g)))
     out = {}
     for doc, text, _ in rows:
         found = brute_grams(text or "")
@@ -78,7 +81,7 @@ def brute_force(rows, learned):
             scores = []
             for la in sorted(filters):
                 wrong = (len(filters[la]) / L.SLOTS) ** 3
-                held = sum(all(p in filters[la] for p in places(g)) for g in found)
+                held = sum(has(la, g) for g in found)
                 scores.append((-max(0, (held - len(found) * wrong) / (1 - wrong)), la))
             least, la = min(scores)
             best = (la, min(1.0, -least / max(1, len(found))))
