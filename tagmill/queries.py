@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tagmill.functions import scalars as S
 from tagmill.operators import merge
 from tagmill.operators import tags as T
+from tagmill.operators.state import fresh_folder
 from tagmill.plans.compile import search
-from tagmill.plans.explain import explain
-from tagmill.sources import export, sidecars, snapshot
+from tagmill.plans.explain import amended, canonical, explain
+from tagmill.sources import export, paged, sidecars, snapshot
 from tagmill.sources.star import ALIASES, IMPLICATIONS, POSTS_SQL, Star
 from tagmill.streaming import events as streams
-from tagmill.streaming import files, jobs, pages
+from tagmill.streaming import files, jobs, pages, runs
 
 NOW = datetime(2001, 8, 1)
 QUERIES: dict = {}
@@ -611,3 +612,314 @@ SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_i
 def _sessions(spark, d):
     rows = streams.sessions(Star(spark, d).table("events"))
     return rows.withColumn("start", F.unix_seconds("start"))
+
+
+# more forms of the language
+found("date_yesterday", "date:yesterday", "created_at >= DATE '2001-07-31' AND created_at < DATE '2001-08-01'")
+found("date_days_ago", "date:40_days_ago", "created_at >= DATE '2001-06-22' AND created_at < DATE '2001-06-23'")
+found("date_decade", "date:decade -date:year", "created_at >= DATE '1991-08-01' AND created_at < DATE '2000-08-01'")
+found("date_yesteryears_ago", "date:3_yesteryears_ago", "created_at >= DATE '1998-01-01' AND created_at < DATE '1999-01-01'")
+found("date_short_month", "date:feb/11/1999", "created_at >= DATE '1999-02-11' AND created_at < DATE '1999-02-12'")
+found("date_months_ago", "date:..20_months_ago", "created_at < DATE '1999-12-02'")
+found("width_list", "width:100,150,200", "width IN (100, 150, 200)")
+found("status_last_wins", "status:deleted status:active", "NOT is_deleted AND NOT is_pending AND NOT is_flagged", deleted=True)
+found("voted_down_only", "voteddown:x", event("purchase", "value < 100"))
+
+
+def _catalogued(name: str, text: str, where: str, **tables) -> None:
+    """found() with further sidecar tables, each made from the star."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        star = Star(spark, d)
+        catalog = star.catalog()
+        catalog.sidecars |= {k: (lambda make=make: make(star)) for k, make in tables.items()}
+        return search(text, catalog, now=NOW, ordered=False)
+
+    QUERIES[name] = run
+    ORACLES[name] = sql(f"SELECT post_id FROM posts WHERE ({where}) AND NOT is_deleted")
+
+
+_catalogued("noter_versions", "noter:!7", event("signup", "user_id IN (6, 7)"), note_versions=lambda star: star.events("signup").select("post_id", (F.col("user_id") + 1).alias("user_id")))
+_catalogued(
+    "set_shortname", "set:n3", "uploader_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)",
+    sets=lambda star: star.sets().withColumn("shortname", F.concat(F.lit("N"), F.col("collection_id").cast("string"))),
+)
+
+
+@keyed("query_amended", sql("SELECT post_id FROM posts WHERE score > 100 AND NOT (rating = 's' AND width > 150) IS TRUE AND NOT is_deleted"))
+def _amended(spark, d):
+    return search(amended("score:>100", "rating:s width:>150"), Star(spark, d).catalog(), now=NOW, ordered=False)
+
+
+@keyed("query_canonical", sql(f"SELECT post_id FROM posts WHERE {has('small')} AND NOT ({has('gear')} OR {has('large')}) AND NOT is_deleted"))
+def _canonical(spark, d):
+    star = Star(spark, d)
+    return search(canonical("tiny -( ~whirl ~huge )", star.graph()), star.catalog(), now=NOW, ordered=False)
+
+
+# scalar functions over whole columns
+@keyed("text_functions", r"""SELECT p_partkey AS id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ',') AS tags, p_brand || '|' || p_type AS lines,
+p_partkey || ',' || p_partkey % 7 AS ids, replace(lower(p_type), ' ', '_') AS name, p_partkey % 3 = 0 AS truth, greatest(CAST(floor(p_retailprice) AS BIGINT) - 1500, 0) AS counter
+FROM (SELECT *, string_split(lower(p_name || ' ' || p_type || ' ' || p_name), ' ') AS w FROM part)""")
+def _texts(spark, d):
+    k = F.col("p_partkey").cast("string")
+    return Star(spark, d).table("part").select(
+        F.col("p_partkey").alias("id"),
+        F.array_join(S.tag_list(F.concat_ws("  ", "p_name", "p_type", "p_name")), ",").alias("tags"),
+        F.array_join(S.lines(F.concat("p_brand", F.lit("\n\r\n  "), "p_type", F.lit(" \n"))), "|").alias("lines"),
+        F.array_join(S.id_list(F.concat(F.lit("{"), k, F.lit(", x "), (F.col("p_partkey") % 7).cast("string"), F.lit("}"))), ",").alias("ids"),
+        S.normal_tag(F.concat(F.lit(" \t"), "p_type", F.lit("\x01 "))).alias("name"),
+        S.truthy(F.get(F.array(F.lit(" Yes"), F.lit("no"), F.lit(None)), (F.col("p_partkey") % 3).cast("int"))).alias("truth"),
+        S.count_of((F.floor("p_retailprice") - 1500 + 0.5).cast("string")).alias("counter"),
+    )
+
+
+@keyed("url_extensions", r"SELECT page_id, nullif(lower(regexp_extract(url, '\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)), '') AS ext FROM pages")
+def _extensions(spark, d):
+    return Star(spark, d).table("pages").select("page_id", S.url_extension(F.col("url")).alias("ext"))
+
+
+@keyed("instants", "SELECT event_id, epoch_us(ts) AS us, epoch_us(date_trunc('second', ts)) + 14400000000 AS shifted FROM events")
+def _instants(spark, d):
+    at = lambda form, zone: F.unix_micros(S.instant(F.concat(F.date_format("ts", form), F.lit(zone)).cast("string")))
+    return Star(spark, d).table("events").select("event_id", at("yyyy-MM-dd HH:mm:ss.SSSSSS", "+00").alias("us"), at("yyyy-MM-dd'T'HH:mm:ss", "-04:00").alias("shifted"))
+
+
+@keyed("flag_bits", "SELECT o_orderkey AS post_id, o_orderkey % 17 = 0 AS is_deleted, o_orderkey % 7 = 0 AS rating_locked, o_orderkey % 2 = 0 AS artist_verified FROM orders")
+def _flags(spark, d):
+    rows = Star(spark, d).own().select("post_id", S.packed_flags(*(F.col(c) for c in S.FLAG_BITS)).alias("flags"))
+    return rows.select("post_id", *(S.flag(F.col("flags"), c).alias(c) for c in ("is_deleted", "rating_locked", "artist_verified")))
+
+
+@keyed("formatters", """SELECT o_orderkey AS post_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024) || ' KB' ELSE printf('%.1f', n / 1048576) || ' MB' END AS size,
+CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%.1f', n / 1000) || 'k' ELSE printf('%.1f', n / 1000000) || 'M' END AS number,
+CASE WHEN n >= 3600 THEN n // 3600 || ':' || lpad(CAST(n // 60 % 60 AS VARCHAR), 2, '0') ELSE CAST(n // 60 AS VARCHAR) END || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') AS time
+FROM (SELECT o_orderkey, o_orderkey * 64 + 32 AS n FROM orders)""")
+def _formatted(spark, d):
+    n = F.col("post_id") * 64 + 32
+    return Star(spark, d).own().select("post_id", S.human_bytes(n).alias("size"), S.human_count(n).alias("number"), S.human_duration(n).alias("time"))
+
+
+# snapshot files: written as gzip CSV, found by name, scanned
+def _snapshot(df: DataFrame, kind: str) -> DataFrame:
+    spark, path = df.sparkSession, fresh_folder(df.sparkSession, "snapshot")
+    df.write.csv(f"{path}/{kind}-2024-05-01.csv", header=True, compression="gzip", quote='"', escape='"')
+    return snapshot.read_csv(spark, f"{path}/{kind}-2024-05-01.csv")
+
+
+@keyed("snapshot_posts", """SELECT o_orderkey AS post_id, CASE o_orderstatus WHEN 'F' THEN 's' WHEN 'O' THEN 'q' ELSE 'e' END AS rating, 'a,"b",c' AS all_tags, CAST(trunc(o_totalprice) AS INTEGER) AS score,
+o_orderkey % 9 = 0 AS is_deleted, epoch_us(o_orderdate) AS us, 2 AS sources, o_orderkey || ' "x"' || chr(10) || 'next, line' AS description FROM orders WHERE o_orderkey % 10 <> 3""")
+def _snapshot_posts(spark, d):
+    o, k = Star(spark, d).table("orders"), F.col("o_orderkey")
+    raw = o.select(
+        F.when(k % 20 == 3, F.concat(F.lit("no"), k.cast("string"))).otherwise(k.cast("string")).alias("id"),
+        F.when(k % 20 == 13, "?").when(F.col("o_orderstatus") == "F", "S").when(F.col("o_orderstatus") == "O", "questionable").otherwise("e").alias("rating"),
+        F.lit('A "b" a c').alias("tag_string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("score"),
+        F.when(k % 9 == 0, "t").otherwise("f").alias("is_deleted"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss+00").alias("created_at"),
+        F.lit("http://x\nhttp://y").alias("source"), F.concat(k.cast("string"), F.lit(' "x"\nnext, line')).alias("description"),
+    )
+    rows = snapshot.accepted(snapshot.parse_posts(_snapshot(raw, "posts")))
+    return rows.select("post_id", "rating", F.array_join("all_tags", ",").alias("all_tags"), "score", "is_deleted", F.unix_micros("created_at").alias("us"), F.size("sources").alias("sources"), "description")
+
+
+@keyed("snapshot_tags", """SELECT CAST(p_partkey AS BIGINT) AS source_tag_id, lower(replace(p_name, ' ', '_')) AS name, ['general', 'artist', 'contributor', 'copyright', 'character', 'species', 'invalid', 'meta', 'lore'][1 + CASE WHEN p_partkey % 12 < 9 THEN p_partkey % 12 ELSE 0 END] AS category,
+CAST(floor(p_retailprice) AS BIGINT) AS post_count, p_partkey % 5 = 0 AS is_deprecated FROM part""")
+def _snapshot_tags(spark, d):
+    k = F.col("p_partkey")
+    raw = Star(spark, d).table("part").select(k.cast("string").alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), (k % 12).cast("string").alias("category"), F.floor("p_retailprice").cast("string").alias("post_count"), F.when(k % 5 == 0, "t").otherwise("f").alias("is_deprecated"))
+    return snapshot.parse_tags(_snapshot(raw, "tags"))
+
+
+@keyed("snapshot_pools", """SELECT s_suppkey AS collection_id, lower(replace(s_name, ' ', '_')) AS name, CAST(i AS INTEGER) AS sequence, CAST(s_nationkey + 10 * i AS BIGINT) AS post_id
+FROM supplier, range(3) t(i) WHERE s_nationkey + 10 * i IN (SELECT o_orderkey FROM orders)""")
+def _snapshot_pools(spark, d):
+    star, n = Star(spark, d), F.col("s_nationkey")
+    ids = F.concat(F.lit("{"), F.concat_ws(",", *((n + 10 * i).cast("string") for i in range(3))), F.lit("}"))
+    raw = star.table("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.lit("Series").alias("category"), ids.alias("post_ids"))
+    return merge.existing_only(snapshot.pool_posts(snapshot.parse_pools(_snapshot(raw, "pools"))), star.own()).select("collection_id", "name", "sequence", "post_id")
+
+
+@keyed("snapshot_aliases", """SELECT 't' || c_custkey AS antecedent, 't' || c_nationkey AS consequent, CASE c_custkey % 3 WHEN 0 THEN 'pending' ELSE 'active' END AS status FROM customer WHERE c_custkey % 13 <> 0""")
+def _snapshot_aliases(spark, d):
+    k = F.col("c_custkey")
+    raw = Star(spark, d).table("customer").select(F.concat(F.lit(" T"), k.cast("string")).alias("antecedent_name"), F.when(k % 13 != 0, F.concat(F.lit("t"), F.col("c_nationkey").cast("string"))).alias("consequent_name"), F.when(k % 3 == 0, "Pending").when(k % 3 == 1, "active").otherwise("odd").alias("status"))
+    return snapshot.parse_edges(_snapshot(raw, "tag_aliases")).select("antecedent", "consequent", "status")
+
+
+@keyed("snapshot_wiki", "SELECT c_custkey AS wiki_id, lower(c_mktsegment) || '_' || c_custkey AS title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS body, c_custkey % 2 = 1 AS is_locked FROM customer")
+def _snapshot_wiki(spark, d):
+    k = F.col("c_custkey")
+    raw = Star(spark, d).table("customer").select(k.cast("string").alias("id"), F.concat_ws(" ", "c_mktsegment", k.cast("string")).alias("title"), F.when(k % 4 != 0, F.col("c_name")).alias("body"), F.when(k % 2 == 1, "t").otherwise("f").alias("is_locked"))
+    return snapshot.parse_wiki_pages(_snapshot(raw, "wiki_pages")).select("wiki_id", "title", "body", "is_locked")
+
+
+@keyed("merged_tags", "SELECT c_mktsegment AS name, 'general' AS category FROM customer GROUP BY 1 UNION ALL SELECT n_name, min(CASE WHEN n_nationkey % 2 = 0 THEN 'meta' ELSE 'artist' END) FROM nation GROUP BY 1")
+def _merged_tags(spark, d):
+    star = Star(spark, d)
+    known = star.table("customer").select(F.col("c_mktsegment").alias("name"), F.lit("general").alias("category")).distinct()
+    staged = star.table("nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "meta").otherwise("artist").alias("category"))
+    return snapshot.merged_tags(known, staged.unionByName(known.withColumn("category", F.lit("lore"))))
+
+
+@keyed("tag_ids", "SELECT DISTINCT lower(p_type) AS name, t.id AS tag_id FROM part p JOIN (SELECT lower(p_type) AS n, min(p_partkey) AS id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) t ON t.n = lower(p.p_type) WHERE lower(p_type) NOT LIKE '% %'")
+def _tag_ids(spark, d):
+    part = Star(spark, d).table("part")
+    tags = part.where("p_partkey % 2 = 0").groupBy(F.lower("p_type").alias("name")).agg(F.min("p_partkey").alias("tag_id"))
+    return T.ids_of(part.select(F.concat(F.lit(" "), F.upper("p_type")).alias("name")), tags)
+
+
+@keyed("unresolved_edges", f"WITH {_GRAPH}, own AS (SELECT DISTINCT 't' || (c_custkey % 300) AS a, 't' || ((c_custkey % 300) * 2 + 1 + CASE WHEN c_custkey % 7 = 0 THEN 5 ELSE 0 END) % 300 AS b FROM customer), known AS (SELECT name FROM tags WHERE ends_with(name, '7') OR ends_with(name, '5')) SELECT a AS antecedent, b AS consequent FROM own WHERE a NOT IN (SELECT name FROM known) OR b NOT IN (SELECT name FROM known)")
+def _unresolved_edges(spark, d):
+    tags, _, implications = _graph(spark, d)
+    return T.unresolved(implications.select("antecedent", "consequent"), tags.where("name like '%7' or name like '%5'"))
+
+
+# sidecars, pages, stores
+@keyed("sidecar_comments", """WITH c AS (SELECT *, event_id % 400 AS id, event_id % 400 % 50 AS post FROM events WHERE event_type IN ('view', 'click')),
+kept AS (SELECT id, post, user_id, props, ts, event_id < 400 AS old FROM c WHERE event_id < 400 OR post IN (SELECT o_orderkey FROM orders))
+SELECT id AS comment_id, post AS post_id, arg_max(user_id, (NOT old, ts)) AS user_id, arg_max(props, (NOT old, ts)) AS body FROM kept GROUP BY 1, 2""")
+def _comments(spark, d):
+    star, e = Star(spark, d), F.col("event_id")
+    body = F.struct((e % 400).alias("id"), (e % 400 % 50).alias("post_id"), F.col("user_id").alias("creator_id"), F.col("props").alias("body"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("updated_at"))
+    lines = star.table("events").where("event_type in ('view', 'click')").select("event_id", F.to_json(body).alias("value"))
+    old, new = (sidecars.parse(lines.where(w).select("value"), "comments") for w in ("event_id < 400", "event_id >= 400"))
+    return sidecars.merge(old, new, "comments", star.own()).select("comment_id", "post_id", "user_id", "body")
+
+
+@keyed("users_resolved", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE c_custkey END AS user_id FROM events LEFT JOIN customer ON lower(c_name) = 'customer#' || lpad(CAST(user_id * 3 AS VARCHAR), 9, '0')")
+def _resolved(spark, d):
+    star = Star(spark, d)
+    name = F.concat(F.lit("customer#"), F.lpad((F.col("user_id") * 3).cast("string"), 9, "0"))
+    rows = star.table("events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id"), name.alias("user_name"))
+    return sidecars.resolve_users(rows, star.users()).select("event_id", "user_id")
+
+
+@keyed("replacements_pending", "SELECT o_orderkey AS post_id, o_orderkey IN (SELECT event_id FROM events WHERE event_type = 'signup') AS pending_replacements FROM orders")
+def _open_replacements(spark, d):
+    star = Star(spark, d)
+    body = F.struct(F.col("event_id").alias("id"), F.col("event_id").alias("post_id"), F.when(F.col("event_type") == "signup", "Pending").otherwise("rejected").alias("status"))
+    rows = sidecars.parse(star.table("events").select(F.to_json(body).alias("value")), "replacements")
+    return sidecars.pending_replacements(star.own().select("post_id"), rows)
+
+
+@keyed("paged_rows", "SELECT CAST(i // 40 + 1 AS INTEGER) AS page, CAST(i % 40 AS INTEGER) AS place, i AS id FROM range(1013) t(i)")
+def _paged(spark, d):
+    def fetch(resource, page, size):
+        return [{"id": k} for k in range(1013)][(page - 1) * size : page * size]
+
+    return paged.paged(spark, fetch, "posts", size=40).select("page", "place", F.get_json_object("value", "$.id").cast("long").alias("id"))
+
+
+@keyed("store_generations", "SELECT 2 AS generation, (SELECT count(*) FROM nation) AS nations, (SELECT count(*) FROM region) AS regions, (SELECT count(*) FROM nation) AS kept")
+def _generations(spark, d):
+    star, path = Star(spark, d), fresh_folder(spark, "store")
+    export.write_store({"nation": star.table("region"), "region": star.table("region")}, path, 1)
+    export.write_store({"nation": star.table("nation"), "region": star.table("region")}, path, 2)
+    # a generation that crashed before its manifest is not the store's
+    star.table("region").write.parquet(f"{path}/nation-3")
+    found_ = export.manifest(spark, path)
+    return export.read_store(spark, path, "nation").agg(F.count("*").alias("kept")).select(F.lit(found_["generation"]).alias("generation"), *(F.lit(found_["counts"][n]).cast("long").alias(f"{n}s") for n in ("nation", "region")), "kept")
+
+
+@keyed("export_links", "SELECT o_orderkey AS post_id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || '/sample.png' AS path, '/f/' || o_orderkey AS target FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+def _links(spark, d):
+    k = F.col("post_id")
+    own = Star(spark, d).own().select("post_id")
+    rows = own.select("post_id", F.lit("sample").alias("variant"), F.lit("png").alias("ext"), F.when(k % 2 == 0, F.concat(F.lit("/f/"), k.cast("string"))).alias("local_path"))
+    return export.links(own.where("post_id % 3 = 0"), rows)
+
+
+# the life of a job
+@keyed("job_refusals", "SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'the payload is no JSON object' WHEN o_orderkey % 5 = 1 THEN 'max_attempts must be at least 1' WHEN o_orderkey % 5 = 2 THEN 'a job needs a kind' END AS reason, count(*) AS n FROM orders GROUP BY 1")
+def _refusals(spark, d):
+    return _new_jobs(spark, d).groupBy(jobs.refused(_new_jobs(spark, d)).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _new_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of the orders, three fifths of which cannot be taken."""
+    k = F.col("o_orderkey")
+    payload = F.when(k % 10 == 0, "[1]").when(k % 10 == 5, "{no").otherwise(F.to_json(F.struct(k.alias("post_id"))))
+    return Star(spark, d).table("orders").select(k.alias("job_id"), (k % 9).alias("run_id"), F.when(k % 5 != 2, "enrich_notes").alias("kind"), payload.alias("payload"), F.when(k % 5 == 1, 0).otherwise(2).alias("max_attempts"))
+
+
+@keyed("job_enqueue", "SELECT o_orderkey AS job_id, o_orderkey % 9 AS run_id, 'ready' AS state, 0 AS priority, 0 AS attempts, 2 AS max_attempts FROM orders WHERE o_orderkey % 5 >= 3")
+def _enqueued(spark, d):
+    new = _new_jobs(spark, d)
+    return jobs.enqueue(spark.createDataFrame([], jobs.SCHEMA), new.where(jobs.refused(new).isNull()), AT).select("job_id", "run_id", "state", "priority", "attempts", "max_attempts")
+
+
+@keyed("job_failures", f"""WITH {_JOBS_SQL} SELECT job_id, CASE WHEN state <> 'leased' THEN state WHEN job_id % 3 = 0 THEN 'failed' ELSE 'ready' END AS state,
+CASE WHEN state = 'leased' THEN 'lost' END AS last_error, epoch_us(CASE WHEN state = 'leased' THEN TIMESTAMP '2024-01-01 12:01:30' ELSE due END) AS due FROM jobs""")
+def _failures(spark, d):
+    rows = _jobs(spark, d).withColumn("attempts", F.when(F.col("job_id") % 3 == 0, 3).otherwise(1))
+    return jobs.fail_all(rows, F.col("state") == jobs.LEASED, "lost", AT, 90).select("job_id", "state", "last_error", F.unix_micros("available_at").alias("due"))
+
+
+@keyed("job_leases", f"""WITH {_JOBS_SQL}, mine AS (SELECT job_id FROM jobs WHERE {_CLAIMABLE} ORDER BY priority DESC, due, job_id LIMIT 3),
+again AS (SELECT job_id, row_number() OVER (ORDER BY priority DESC, due, job_id) AS place FROM jobs WHERE {_CLAIMABLE.replace("12:00:00", "12:15:00")} AND job_id <> (SELECT min(job_id) FROM mine))
+SELECT job_id, CASE WHEN job_id = (SELECT min(job_id) FROM mine) THEN 'w1' ELSE 'w2' END AS worker FROM (SELECT min(job_id) AS job_id FROM mine UNION ALL SELECT job_id FROM again WHERE place <= 5)""")
+def _leases(spark, d):
+    """Three jobs of a worker, one kept by a heartbeat; the others' leases run out and another worker may have them."""
+    rows = jobs.claim(_jobs(spark, d), AT, "w1", 600, 3)
+    first = rows.where("locked_by = 'w1'").agg(F.min("job_id")).first()[0]
+    if first is not None:
+        rows = jobs.heartbeat(rows, first, "w1", AT + timedelta(minutes=9), 600)
+    rows = jobs.claim(rows, AT + timedelta(minutes=15), "w2", 600, 5)
+    held = rows.where((F.col("locked_by") == "w2") | ((F.col("locked_by") == "w1") & (F.col("lease_until") > F.lit(AT + timedelta(minutes=15)))))
+    return held.select("job_id", F.col("locked_by").alias("worker"))
+
+
+@keyed("evaluate_query", sql("SELECT post_id FROM posts WHERE post_id % 2 = 0 AND score > 100 AND NOT is_deleted AND post_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error')"))
+def _evaluated(spark, d):
+    star = Star(spark, d)
+    return runs.evaluate("score:>100", star.catalog(), star.own().where("post_id % 2 = 0"), star.events("error").select("post_id"), NOW)
+
+
+@keyed("run_states", "SELECT * FROM (VALUES (3, 3, 'running', -1), (1, 2, 'failed', -1), (2, 1, 'done', (SELECT count(*) FROM orders WHERE floor(o_totalprice / 1000) > 100 AND o_orderkey % 17 <> 0))) t(place, run_id, state, total)")
+def _run_states(spark, d):
+    table = spark.createDataFrame([], runs.RUNS)
+    for k, text in enumerate(("score:>100", "bolt", "rating:s"), 1):
+        table = runs.start(table, k, text, AT)
+    n = search("score:>100", Star(spark, d).catalog(), now=NOW, ordered=False).count()
+    table = runs.complete(table, 1, n, AT + timedelta(minutes=1))
+    table = runs.fail(table, 2, "gone", AT + timedelta(minutes=2))
+    return runs.listed(table).select(F.when(F.col("state") == "done", 2).when(F.col("state") == "failed", 1).otherwise(3).alias("place"), F.col("run_id").cast("int").alias("run_id"), "state", F.coalesce("total", F.lit(-1)).alias("total"))
+
+
+# streams, run to the end of what is there
+@keyed("stream_ingest", f"SELECT post_id, rating, score FROM ({_PAYLOAD_SQL}) WHERE post_id % 50 <> 0 AND has_file AND rating <> 'x'")
+def _stream_ingest(spark, d):
+    path = fresh_folder(spark, "ingest")
+    _payloads(spark, d).write.text(f"{path}/in")
+    state = {"at": 0}
+    export.write_store(snapshot.accepted(snapshot.from_payloads(spark.createDataFrame([], "value string"))), f"{path}/store", 0)
+
+    def write(rows, number):
+        export.write_store(rows, f"{path}/store", number + 1)
+        state["at"] = number + 1
+
+    lines = spark.readStream.text(f"{path}/in")
+    streams.ingest(spark, lines, f"{path}/checkpoint", lambda: export.read_store(spark, f"{path}/store"), write).start().awaitTermination()
+    return export.read_store(spark, f"{path}/store").select("post_id", "rating", "score")
+
+
+@keyed("stream_watermark", """SELECT CAST(epoch(start) AS BIGINT) AS start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def _watermark(spark, d):
+    """Only windows that the watermark has passed are written."""
+    path = fresh_folder(spark, "windows")
+    rows = Star(spark, d).table("events").select("ts", "event_type", "value")
+    rows.write.parquet(f"{path}/in")
+    found_ = streams.windowed(streams.stream(spark, f"{path}/in", "ts timestamp, event_type string, value double", files=1 << 20))
+    found_.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema(found_.schema).parquet(f"{path}/out").select(F.unix_seconds("start").alias("start"), "event_type", "n")
+
+
+@keyed("standing_search", sql("SELECT post_id FROM posts WHERE score > 250 AND rating <> 's' AND NOT is_deleted"))
+def _standing(spark, d):
+    path = fresh_folder(spark, "standing")
+    Star(spark, d).own().select("post_id", "score", "rating", "is_deleted").write.parquet(f"{path}/in")
+    posts = streams.stream(spark, f"{path}/in", "post_id long, score int, rating string, is_deleted boolean")
+    hits = streams.standing_search(posts, "score:>250 -rating:s").select("post_id")
+    hits.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    return spark.read.schema("post_id long").parquet(f"{path}/out")
