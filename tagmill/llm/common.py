@@ -45,7 +45,7 @@ def saved(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of one key that a join may leave in one task; hotter keys, HOT_KEYS at most, are broadcast.
-HOT_ROWS, HOT_KEYS = 1000, 1000
+HOT_ROWS, HOT_KEYS = 200, 1000
 
 
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

@@ -130,9 +130,20 @@ def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+def hot_hubs(pairs: DataFrame) -> DataFrame:
+    """a, parts of the fewer than HOT_KEYS documents with many of the pairs (a, b), parts to deal theirs into."""
+    least = max(HOT_ROWS, pairs.count() // HOT_KEYS)
+    counted = pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > least)
+    return saved(pairs.sparkSession, counted.select("a", F.ceil(F.col("c") / least).cast("int").alias("parts")), "hot")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough; hot documents a (a, parts) have a copy of their set for each part of their pairs."""
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    copies = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(F.broadcast(hot), "a", "left")
+    copies = copies.select("a", "sa", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    both = dealt.join(copies, ["a", "part"]).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
@@ -220,8 +231,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         # every row of such an id goes by the text that stands for it
         light = light.join(twice, "doc_id", "left")
         light = light.select("doc_id", "n_shingles", *(F.coalesce(F.col("text")[f], F.col(f)).alias(f) for f in ("f1", "f2")))
-    classes = light.where("doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")).where(f"f1 <> {kernel.EMPTY[0]} or f2 <> {kernel.EMPTY[1]}")
-    classes = saved(spark, classes, "classes")
+    counted = saved(spark, light.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    classes = counted.where(f"rep is not null and (f1 <> {kernel.EMPTY[0]} or f2 <> {kernel.EMPTY[1]})").drop("c")
+    # texts of very many copies, the empty one too
+    copied = counted.where(F.col("c") > max(HOT_ROWS, marked.count() // HOT_KEYS)).select("f1", "f2")
     reps = marked.join(classes, (marked["doc_id"] == classes["rep"]) & (marked["f1"] == classes["f1"]) & (marked["f2"] == classes["f2"]), "left_semi").dropDuplicates(["doc_id"])
     reps = saved(spark, reps, "representatives")
 
@@ -230,8 +243,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     hot = buckets.where(F.col("c") > max(HOT_ROWS, reps.count() * (kernel.MINIMA // rows) // HOT_KEYS)).select("key")
     buckets = saved(spark, hot_join(banded, buckets, ["key"], hot=hot).where("doc_id <> hub"), "buckets")
     low = reps.select("doc_id", "n_shingles", "low")
-    star = buckets.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(low.toDF("a", "na", "la"), "a").join(low.toDF("b", "nb", "lb"), "b")
+    star = saved(spark, buckets.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), "star")
+    hubs = hot_hubs(star)
+    star = hot_join(star, low.toDF("a", "na", "la"), ["a"], hot=hubs.select("a")).join(low.toDF("b", "nb", "lb"), "b")
     sure = percent / 100
     spread = (1 - 2.0**-kernel.BITS) ** -1 * (sure * (1 - sure) / kernel.MINIMA) ** 0.5 + 0.003
     star = star.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate(F.col("la"), F.col("lb")) >= sure - 5 * spread))
@@ -241,7 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     if not twice.isEmpty():
         sets = sets.join(reps.select("doc_id", "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi")
     sets = saved(spark, sets.drop("f1", "f2").dropDuplicates(["doc_id"]), "sets")
-    links = saved(spark, confirmed(star, sets, percent), "links")
+    links = saved(spark, confirmed(star, sets, percent, hubs), "links")
 
     labels = components(links)
     open_ = buckets.where("c > 2").join(labels.toDF("doc_id", "comp"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")).select("key", "doc_id", "n", "comp")
@@ -250,8 +264,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     more = rest_links(open_.join(mixed, "key", "left_semi"), sets, percent)
     labels = components(links.unionByName(saved(spark, more, "rest")))
 
-    out = light.join(classes, ["f1", "f2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("comp", "rep").alias("comp"))
+    out = hot_join(light, named, ["f1", "f2"], "left", hot=copied)
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", known.alias("component_id"))
 
 
