@@ -15,6 +15,8 @@ HOPS = 16
 MAX_NAMES = 10_000
 #: Edges up to which the names of queries are resolved on the driver; larger graphs are joined, with the same result.
 LOCAL_EDGES = 200_000
+#: Tags that may be broadcast with their categories; more are joined by a shuffle.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def latest_aliases(aliases: DataFrame) -> DataFrame:
@@ -90,7 +92,9 @@ def packed_tags(post_tags: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def tags_of_posts(post_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """post_id, category, names (sorted) of each post's known tags."""
+    """post_id, category, names (sorted) of each post's known tags; a tag may come several times."""
+    tags = cut(tags.select("name", "category"))
+    tags = tags.hint("broadcast" if tags.count() <= MAX_BROADCAST_ROWS else "merge")
     rows = post_tags.join(tags, post_tags["tag"] == tags["name"])
     return rows.groupBy("post_id", "category").agg(F.array_sort(F.collect_set("name")).alias("names"))
 

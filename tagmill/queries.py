@@ -244,13 +244,13 @@ def _expand(spark, d):
 SELECT post_id, c.b FROM ptags JOIN (VALUES ('bolt', 'fastener'), ('rod', 'fastener'), ('bolt', 'hardware'), ('rod', 'hardware'), ('gear', 'hardware'), ('fastener', 'hardware')) c(a, b) ON tag = c.a) t"""))
 def _implied_all(spark, d):
     star = Star(spark, d)
-    return T.implied_membership(star.edges(), T.closure(star.implications()))  # made distinct once, at the end
+    return T.implied_membership(star.edges(whole=True), T.closure(star.implications()))  # made distinct once, at the end
 
 
 @keyed("tags_of_posts", sql("SELECT post_id, k.category, string_agg(DISTINCT tag, ',' ORDER BY tag) AS names FROM ptags JOIN (SELECT tag, min(category) AS category FROM ptags WHERE category IN ('general', 'species') GROUP BY 1) k USING (tag) GROUP BY 1, 2"))
 def _tags_of(spark, d):
     star = Star(spark, d)
-    rows = T.tags_of_posts(star.post_tags().select("post_id", "tag"), star.tags())
+    rows = T.tags_of_posts(star.edges(whole=True).select("post_id", "tag"), star.categories())
     return rows.withColumn("names", F.array_join("names", ","))
 
 

@@ -53,19 +53,29 @@ class Star:
 
     def post_tags(self) -> DataFrame:
         """post_id, category, tag, each once."""
-        return self.edges().distinct()
+        return self.edges(whole=True).distinct()
 
-    def edges(self) -> DataFrame:
-        """post_id, category, tag of every item."""
+    def edges(self, whole: bool = False) -> DataFrame:
+        """post_id, category, tag of every item.
+
+        whole: no filter on tags will follow, so the parts are shuffled and explode after the
+        join: Spark's guess of their size leaves out the explode, and it broadcasts what the
+        driver cannot hold.
+        """
         parts = self.table("part").select("p_partkey", F.split("p_name", " ").alias("words"), "p_type", "p_brand")
-        parts = parts.select("p_partkey", F.explode(F.array(
+        tags = F.explode(F.array(
             F.struct(F.lit("general").alias("category"), F.lower(F.col("words")[0]).alias("tag")),
             F.struct(F.lit("species").alias("category"), F.lower(F.col("words")[1]).alias("tag")),
             F.struct(F.lit("meta").alias("category"), F.lower("p_type").alias("tag")),
             F.struct(F.lit("artist").alias("category"), F.lower("p_brand").alias("tag")),
-        )).alias("t"))
+        )).alias("t")
         lines = self.table("lineitem").select("l_orderkey", "l_partkey")
-        return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(F.col("l_orderkey").alias("post_id"), "t.category", "t.tag")
+        if whole:
+            rows = lines.join(parts.hint("merge"), lines["l_partkey"] == parts["p_partkey"]).select("l_orderkey", tags)
+        else:
+            parts = parts.select("p_partkey", tags)
+            rows = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
+        return rows.select(F.col("l_orderkey").alias("post_id"), "t.category", "t.tag")
 
     def tag_columns(self) -> DataFrame:
         """all_tags and tags: sets are gathered straight from the items, with map-side partial sets."""
@@ -117,6 +127,11 @@ class Star:
         orders = self.table("orders").select(F.col("o_orderkey").alias("post_id"), "o_custkey")
         return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select("post_id", "collection_id", "name")
 
+    def categories(self) -> DataFrame:
+        """name, category of the tags that posts have: tags() without its counts, which take every post's tag once."""
+        known = self.edges(whole=True).where(F.col("category").isin("general", "species"))
+        return known.groupBy(F.col("tag").alias("name")).agg(F.min("category").alias("category"))
+
     def tags(self) -> DataFrame:
         words = F.split("p_name", " ")
         counted = self.post_tags().where(F.col("category").isin("general", "species")).groupBy(F.col("tag").alias("name")).agg(F.min("category").alias("category"), F.count("*").alias("post_count"))
