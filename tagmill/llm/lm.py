@@ -22,6 +22,8 @@ are ignored.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,8 @@ FOLDS, HELD = 5, 1
 #: Bytes of text of a chunk; words of a bucket; counted sequences a task holds before it sends them.
 CHUNK, BUCKET, PENDING = 8 << 20, 1 << 21, 3 << 20
 PIECE = 1 << 19
+#: Counted values of a chunk's sections that are held before they are merged.
+FOLD = 1 << 19
 _END, _BLANK = 10, 32
 #: Sequences seated in a task, on average; tasks that score chunks, beyond which each scores several.
 SEATED, SCORERS = 200_000, 1 << 16
@@ -100,12 +104,13 @@ def _count(batches):
             n = _unplanes(counts, seqs).astype(np.int64)
             held.append((_unpack(keys, seqs)[n > 0], n[n > 0]))
             if sum(len(k) for k, _ in held) > PENDING:
-                held[:] = [py.summed(*map(np.concatenate, zip(*held, strict=True)))]
+                held[:] = [_folded(held)]
                 if len(held[0][0]) > PENDING // 2:
                     yield from sent()
     if held:
-        held[:] = [py.summed(*map(np.concatenate, zip(*held, strict=True)))]
+        held[:] = [_folded(held)]
         yield from sent()
+    released()
 
 
 def part_of(keys, parts: int):
@@ -150,6 +155,8 @@ def seated(chunks: DataFrame) -> dict:
             first = np.flatnonzero(np.diff(rest, prepend=-1))
             out.append((part, DISH, depth, len(dishes), _pack(dishes), _planes(a.astype(np.float32).view(np.uint32))))
             out.append((part, WEIGHT, depth, len(first), _pack(dishes[first] >> 8), _planes(b.astype(np.float32).view(np.uint32))))
+        del found, best, tables, pairs, order
+        released()
         return pd.DataFrame(out, columns=["part", "kind", "depth", "n", "keys", "vals"])
 
     grouped = counts.withColumn("part", part_of(F.col("key"), parts).cast("int"))
@@ -271,12 +278,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             ids, held = batch.column("doc_id"), batch.column("held")
             for i, j in pieces(offsets, CHUNK):
                 out = np.asarray(held.slice(i, j - i).to_numpy(zero_copy_only=False), bool)
-                size, kinds, seqs = np.zeros(j - i, np.int64), [], []
-                for a, b, hashes, n, keys, width in spelled(text, offsets[i : j + 1]):
-                    size[a:b] += n
-                    kinds.append(_counted(hashes.view(np.int64), np.repeat(out[a:b], n)))
-                    seqs.append(_counted(keys, np.repeat(out[a:b], width)))
-                (kinds, train), (seqs, counts) = (py.summed(*map(np.concatenate, zip(*x, strict=True))) for x in (kinds, seqs))
+                size, (kinds, train), (seqs, counts) = tallied(text, offsets[i : j + 1], out)
                 docs = pa.StructArray.from_arrays([ids.slice(i, j - i), pa.array(out), pa.array(size), pa.array(np.diff(offsets[i : j + 1]).astype(np.int64))], ["doc_id", "held", "n", "bytes"])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -293,10 +295,43 @@ def chunked(docs: DataFrame) -> DataFrame:
                     ["chunk", "docs", "kinds", "words", "train", "seqs", "keys", "counts", "text"],
                 )
                 number += 1
+                released()
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, schema)
 
 
+def tallied(text: np.ndarray, offsets: np.ndarray, out: np.ndarray):
+    """Words of each row; distinct words and sequences of all rows, each with its count in rows that are not held out."""
+    size, kinds, seqs = np.zeros(len(out), np.int64), [], []
+    for a, b, hashes, n, keys, width in spelled(text, offsets):
+        size[a:b] += n
+        _gather(kinds, *_counted(hashes.view(np.int64), np.repeat(out[a:b], n)))
+        _gather(seqs, *_counted(keys, np.repeat(out[a:b], width)))
+    return size, _folded(kinds), _folded(seqs)
+
+
+def _gather(held: list, values: np.ndarray, counts: np.ndarray) -> None:
+    """Adds to what is held; merges it once the new are more than FOLD and than those merged before."""
+    held.append((values, counts))
+    if sum(len(v) for v, _ in held[1:]) > max(FOLD, len(held[0][0])):
+        held[:] = [_folded(held)]
+
+
+def _folded(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, with their counts summed; empties what is held, so that it need not lie beside the sums."""
+    values, counts = map(np.concatenate, zip(*held, strict=True))
+    held.clear()
+    return py.summed(values, counts)
+
+
+def released() -> None:
+    """Freed memory back to the system: workers are kept, and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def _counted(x: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, those held out (out) with count 0."""
     a, n = np.unique(x[~out], return_counts=True)
@@ -370,6 +405,8 @@ def answered(chunks: DataFrame, model: dict) -> DataFrame:
 
         own = assemble(list(rows[["kind", "depth", "n", "keys", "vals"]].itertuples(index=False, name=None)), shared.value)
         found = [_planes(chances(own, _unpack(k, n)).astype(np.float32).view(np.uint32)) for k, n in zip(asked["keys"], asked["seqs"], strict=True)]
+        del own
+        released()
         return pd.DataFrame({"chunk": asked["chunk"], "part": asked["part"], "seqs": asked["seqs"], "chances": found})
 
     dealt = chunks.select("chunk", "seqs", "keys").mapInPandas(deal, "chunk long, part int, seqs long, keys binary")
@@ -391,33 +428,37 @@ def score(docs: DataFrame, held: str = "held") -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+    def scored(batch, k):
+        row = {x: batch.column(x)[k] for x in batch.schema.names}
+        parts = sorted(row["parts"].as_py() or [], key=lambda p: p["bucket"])
+        count = np.concatenate([np.diff(_unpack(p["counts"], p["kinds"]), prepend=0) for p in parts] or [np.zeros(0, np.int64)])
+        width = 0.5 * (v + 1) + n
+        logs = np.log10((count + 0.5) / width)
+        kinds = _unpack(row["words"].as_py(), row["kinds"].as_py())
+        keys = _unpack(row["keys"].as_py(), row["seqs"].as_py())
+        keys = keys[np.argsort(part_of(keys, spread), kind="stable")]
+        said = [_unplanes(p["chances"], p["seqs"]).view(np.float32) for p in sorted(row["answers"].as_py(), key=lambda p: p["part"])]
+        chance = py.hash_table(keys, np.concatenate(said))
+        inner = row["docs"].values
+        size = np.asarray(inner.field("n")).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.asarray(inner.field("bytes")))]).astype(np.int64)
+        text = np.frombuffer(pa.decompress(row["text"].as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+        base, known, scores = np.full(len(size), np.log10((ends + 0.5) / width)), np.full(len(size), int(ends > 0)), np.zeros(len(size))
+        for i, j, hashes, tokens, asked, letters_ in spelled(text, offsets):
+            at, own = np.searchsorted(kinds, hashes.view(np.int64)), np.repeat(np.arange(j - i), tokens)
+            base[i:j] += np.bincount(own, weights=logs[at], minlength=j - i)
+            known[i:j] += np.bincount(own, weights=count[at] > 0, minlength=j - i).astype(np.int64)
+            scores[i:j] += np.bincount(np.repeat(np.arange(j - i), letters_), weights=py.get(chance, asked), minlength=j - i)
+        return pa.RecordBatch.from_arrays(
+            [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(scores)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
     def finish(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {x: batch.column(x)[k] for x in batch.schema.names}
-                parts = sorted(row["parts"].as_py() or [], key=lambda p: p["bucket"])
-                count = np.concatenate([np.diff(_unpack(p["counts"], p["kinds"]), prepend=0) for p in parts] or [np.zeros(0, np.int64)])
-                width = 0.5 * (v + 1) + n
-                logs = np.log10((count + 0.5) / width)
-                kinds = _unpack(row["words"].as_py(), row["kinds"].as_py())
-                keys = _unpack(row["keys"].as_py(), row["seqs"].as_py())
-                keys = keys[np.argsort(part_of(keys, spread), kind="stable")]
-                said = [_unplanes(p["chances"], p["seqs"]).view(np.float32) for p in sorted(row["answers"].as_py(), key=lambda p: p["part"])]
-                chance = py.hash_table(keys, np.concatenate(said))
-                inner = row["docs"].values
-                size = np.asarray(inner.field("n")).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(np.asarray(inner.field("bytes")))]).astype(np.int64)
-                text = np.frombuffer(pa.decompress(row["text"].as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
-                base, known, scores = np.full(len(size), np.log10((ends + 0.5) / width)), np.full(len(size), int(ends > 0)), np.zeros(len(size))
-                for i, j, hashes, tokens, asked, letters_ in spelled(text, offsets):
-                    at, own = np.searchsorted(kinds, hashes.view(np.int64)), np.repeat(np.arange(j - i), tokens)
-                    base[i:j] += np.bincount(own, weights=logs[at], minlength=j - i)
-                    known[i:j] += np.bincount(own, weights=count[at] > 0, minlength=j - i).astype(np.int64)
-                    scores[i:j] += np.bincount(np.repeat(np.arange(j - i), letters_), weights=py.get(chance, asked), minlength=j - i)
-                yield pa.RecordBatch.from_arrays(
-                    [inner.field("doc_id"), inner.field("held"), pa.array(size + 1), pa.array(known), pa.array(np.full(len(size), n)), pa.array(base), pa.array(scores)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+                yield scored(batch, k)
+                released()
 
     # as many parts as the chunks need, the same on all three sides
     wide = min(SCORERS, max(8, chunks.count()))

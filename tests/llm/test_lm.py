@@ -200,3 +200,30 @@ def test_tables_follow_their_conditional():
     for _ in range(40):
         py._drawn(np.full(n, float(c)), np.full(n, theta), tables, last, r)
     assert tables.mean() == pytest.approx(want, rel=0.03)
+
+
+def test_counts_of_a_chunk_are_merged_as_they_come(monkeypatch):
+    """Otherwise a worker holds every section's sequences, their sums and the sort's copies at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(97, 123, (5000, 6)).astype(np.uint8)
+    vocabulary[:, -1] = 32
+    text = vocabulary[rng.zipf(1.3, 700_000) % 5000].ravel()
+    offsets, out = np.arange(0, len(text) + 1, 6000), np.arange(len(text) // 6000) % 5 == 1
+    monkeypatch.setattr(lm, "PIECE", 1 << 16)
+    peaks, found = [], []
+    for fold in (1 << 16, 1 << 40):
+        monkeypatch.setattr(lm, "FOLD", fold)
+        tracemalloc.start()
+        found.append(lm.tallied(text, offsets, out))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    for (size, *pairs), (size_, *pairs_) in [found]:
+        assert (size == size_).all() and size.sum() == 700_000
+        assert all((x == y).all() for a, b in zip(pairs, pairs_, strict=True) for x, y in zip(a, b, strict=True))
+    own = np.concatenate([keys[~np.repeat(out[a:b], width)] for a, b, _, _, keys, width in lm.spelled(text, offsets)])
+    keys, counts = np.unique(own, return_counts=True)
+    seqs, n = found[0][2]
+    assert (seqs[n > 0] == keys).all() and (n[n > 0] == counts).all()
+    assert peaks[0] < 0.6 * peaks[1]
